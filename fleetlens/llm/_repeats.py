@@ -11,6 +11,11 @@ settles the later; a passage that stands in a third of all texts so meets its
 shard once a chunk. A shard keeps the segments whose anchor occurs again,
 settles equal segments, and gives the rest to an index (op 6: FM-index, op 7:
 suffix sort). Removed stretches go back to the chunk of their text.
+
+With short windows the segments would be many times the text, so anchors can be
+asked for first: chunks send 32 bits of each, shards answer a bit, and only
+segments whose anchor occurs again are dealt. Bits that agree by chance only
+add segments.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fleetlens.llm._common import chunks
+from fleetlens.llm._common import CHUNK_BYTES, chunks
 
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Symbols that are hashed at once; longer texts are cut into overlapping pieces.
@@ -220,34 +225,101 @@ def _doc_order(ids: np.ndarray, keys: np.ndarray, by_row: bool) -> np.ndarray:
     return rank
 
 
-def find_cuts(docs: DataFrame, read: Read, resolve: Callable, w: int, m: int, by_row: bool, n_shards: int, n_chunks: int) -> DataFrame:
-    """(chunk, cuts): removed stretches of symbols, as blobs for the chunk of the text. docs: _id, _key, text."""
+def _row_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return [b"" if x is None else d.decompress(x) for x in column.to_pylist()]
+
+
+def _cut_by(key: np.ndarray) -> list[tuple[int, int]]:
+    """[first, end) of the runs of a sorted key."""
+    if not len(key):
+        return []
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).tolist()
+    return list(zip(cut[:-1], cut[1:], strict=True))
+
+
+def _slices(raw: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
+    """Rows of about ``limit`` bytes."""
+    group = np.cumsum([len(x) for x in raw]) // limit if raw else np.zeros(0, np.int64)
+    return (slice(a, b) for a, b in _cut_by(group))
+
+
+def _shards(h: np.ndarray, n_shards: int) -> np.ndarray:
+    return (mixed(h) % np.uint64(n_shards)).astype(np.int64)
+
+
+def _asked(h: np.ndarray, n_shards: int) -> np.ndarray:
+    """Shard and 32 bits of each anchor as one number; a shard's size is bounded, so that chance hits are few at any scale."""
+    return (_shards(h, n_shards) << 32) | (h >> np.uint64(32)).astype(np.int64)
+
+
+def anchors_again(packed: DataFrame, read: Read, w: int, m: int, n_shards: int) -> DataFrame:
+    """(chunk, shard, again): for each chunk's different anchors, in order, a bit that is set if another chunk has it too."""
+
+    def ask(t: pa.Table) -> pa.Table:
+        z, raw = zstandard.ZstdCompressor(level=1), _row_bytes(t.column("_text"))
+        key = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(_asked(segments_of(read(raw[x]), w, m)[4], n_shards)) for x in _slices(raw))]))
+        chunk = t.column("_chunk")[0].as_py()
+        rows = [(int(key[a] >> 32), chunk, pack([key[a:b].astype(np.uint32)], z)) for a, b in _cut_by(key >> 32)]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["shard", "chunk", "grams"])
+
+    def answer(t: pa.Table) -> pa.Table:
+        lists = [unpack(x, [np.uint32])[0] for x in t.column("grams").to_pylist()]
+        _, back, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        again = np.split(times[back] > 1, np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "again": pa.array([np.packbits(x).tobytes() for x in again], pa.binary())})
+
+    return packed.groupBy("_chunk").applyInArrow(ask, "shard int, chunk int, grams binary").groupBy("shard").applyInArrow(answer, "chunk int, shard int, again binary")
+
+
+def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int, by_row: bool, n_shards: int, n_chunks: int, ask_first: bool) -> DataFrame:
+    """(chunk, cuts): removed stretches of symbols, as blobs for the chunk of the text.
+
+    packed: _id, _key, _chunk, _text (compressed) if anchors are asked for first, else _id, _key, text.
+    """
+
+    def deal_rows(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], z: zstandard.ZstdCompressor, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        s = read(texts)
+        doc, start, windows, anchor, h = segments_of(s, w, m)
+        if only is not None and len(doc):
+            key = _asked(h, n_shards)
+            i = np.flatnonzero(only[np.minimum(np.searchsorted(only, key), len(only) - 1)] == key) if len(only) else np.zeros(0, np.int64)
+            doc, start, windows, anchor, h = doc[i], start[i], windows[i], anchor[i], h[i]
+        if not len(doc):
+            return
+        at = (np.cumsum(s.counts) - s.counts)[doc] + start
+        size = windows + w - 1
+        rank = _doc_order(ids, keys, by_row)[doc]
+        order = dense_order(rank, start)
+        begin, end = s.begin[at], s.end[at + size - 1]
+        done = settle(content_hash(s.values, at, size) ^ h, order if by_row else rank, order, s.raw, begin, end - begin)
+        shard = _shards(h, n_shards)
+        by = np.lexsort((start, doc, shard))
+        out, raw = [], s.raw.tobytes()
+        for a, e in _cut_by(shard[by]):
+            i = by[a:e]
+            own, row = np.unique(doc[i], return_inverse=True)
+            sent = i[~done[i]]
+            meta = [row.astype(np.int32), start[i], windows[i].astype(np.int32), anchor[i].astype(np.int32), (end - begin)[i].astype(np.int32), done[i]]
+            out.append((int(shard[i[0]]), pack([ids[own], keys[own]], z), pack(meta, z), z.compress(b"".join([raw[x:y] for x, y in zip(begin[sent].tolist(), end[sent].tolist(), strict=True)]))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["shard", "ids", "meta", "text"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in chunks(batches):
-            ids, keys = b.column("_id").to_numpy(), b.column("_key").to_numpy()
-            s = read([x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()])
-            doc, start, windows, anchor, h = segments_of(s, w, m)
-            if not len(doc):
-                continue
-            at = (np.cumsum(s.counts) - s.counts)[doc] + start
-            size = windows + w - 1
-            rank = _doc_order(ids, keys, by_row)[doc]
-            order = dense_order(rank, start)
-            begin, end = s.begin[at], s.end[at + size - 1]
-            done = settle(content_hash(s.values, at, size) ^ h, order if by_row else rank, order, s.raw, begin, end - begin)
-            shard = (mixed(h) % np.uint64(n_shards)).astype(np.int64)
-            by = np.lexsort((start, doc, shard))
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(shard[by])) + 1, [len(by)]])
-            out, raw = [], s.raw.tobytes()
-            for a, e in zip(cut[:-1], cut[1:], strict=True):
-                i = by[a:e]
-                own, row = np.unique(doc[i], return_inverse=True)
-                sent = i[~done[i]]
-                meta = [row.astype(np.int32), start[i], windows[i].astype(np.int32), anchor[i].astype(np.int32), (end - begin)[i].astype(np.int32), done[i]]
-                out.append((int(shard[i[0]]), pack([ids[own], keys[own]], z), pack(meta, z), z.compress(b"".join([raw[x:y] for x, y in zip(begin[sent].tolist(), end[sent].tolist(), strict=True)]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["shard", "ids", "meta", "text"])
+            yield from deal_rows(b.column("_id").to_numpy(), b.column("_key").to_numpy(), [x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()], z)
+
+    def deal_again(left: pa.Table, right: pa.Table) -> pa.Table:
+        z, raw = zstandard.ZstdCompressor(level=3), _row_bytes(left.column("_text"))
+        ids, keys = left.column("_id").to_numpy(), left.column("_key").to_numpy()
+        own = [_asked(segments_of(read(raw[x]), w, m)[4], n_shards) for x in _slices(raw)]
+        key, times = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
+        again = times > 1
+        for s, bits in zip(right.column("shard").to_pylist(), right.column("again").to_pylist(), strict=True):
+            a, b = np.searchsorted(key, [s << 32, (s + 1) << 32])
+            again[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        found = [y for x in _slices(raw) for y in deal_rows(ids[x], keys[x], raw[x], z, key[again])]
+        return pa.Table.from_batches(found, pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("meta", pa.binary()), ("text", pa.binary())]))
 
     def settle_shard(t: pa.Table) -> pa.Table:
         z, d = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
@@ -275,11 +347,15 @@ def find_cuts(docs: DataFrame, read: Read, resolve: Callable, w: int, m: int, by
         doc, a, b = _merged(doc, a, b)
         chunk = keys[doc] % n_chunks  # numpy's remainder is never negative, as pmod
         by = np.argsort(chunk, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(chunk[by])) + 1, [len(by)]]) if len(by) else np.zeros(1, np.int64)
-        out = [(int(chunk[by[x]]), pack([ids[doc[by[x:y]]], keys[doc[by[x:y]]], a[by[x:y]], b[by[x:y]]], z)) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        out = [(int(chunk[by[x]]), pack([ids[doc[by[x:y]]], keys[doc[by[x:y]]], a[by[x:y]], b[by[x:y]]], z)) for x, y in _cut_by(chunk[by])]
         return pa.table({"chunk": pa.array([x for x, _ in out], pa.int32()), "cuts": pa.array([x for _, x in out], pa.binary())})
 
-    return docs.mapInArrow(deal, _DEALT).groupBy("shard").applyInArrow(settle_shard, _CUTS)
+    if ask_first:
+        again = anchors_again(packed, read, w, m, n_shards)
+        dealt = packed.groupBy("_chunk").cogroup(again.groupBy("chunk")).applyInArrow(deal_again, _DEALT)
+    else:
+        dealt = packed.mapInArrow(deal, _DEALT)
+    return dealt.groupBy("shard").applyInArrow(settle_shard, _CUTS)
 
 
 def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,7 +374,7 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return doc[first], a[first], reach[last]
 
 
-def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callable, w: int, m: int, by_row: bool, shard_bytes: int, chunk_bytes: int, fields: str) -> DataFrame:
+def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callable, w: int, m: int, by_row: bool, shard_bytes: int, chunk_bytes: int, fields: str, ask_first: bool = False) -> DataFrame:
     """``docs`` with all its columns and those that ``keep`` makes, named in ``fields``.
 
     keep(text bytes or None, stretches) gives the values of ``fields`` for a row.
@@ -306,7 +382,8 @@ def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callabl
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_shards, n_chunks = max(1, -(-total // shard_bytes)), max(1, -(-total // chunk_bytes))
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID))).withColumn("_key", F.xxhash64("doc_id", "text"))
-    cuts = find_cuts(keyed.select("_id", "_key", "text"), read, resolve, w, m, by_row, n_shards, n_chunks)
+    left = squeezed(keyed).withColumn("_chunk", F.pmod("_key", F.lit(n_chunks)).cast("int"))
+    cuts = find_cuts(left if ask_first else keyed.select("_id", "_key", "text"), read, resolve, w, m, by_row, n_shards, n_chunks, ask_first)
     columns = docs.columns
     schema = docs.selectExpr("*", *[f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in fields.split(", ")]).schema
 
@@ -328,7 +405,6 @@ def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callabl
             out[name] = pa.array(values, {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[kind])
         return pa.table(out)
 
-    left = squeezed(keyed).withColumn("_chunk", F.pmod("_key", F.lit(n_chunks)).cast("int"))
     return left.groupBy("_chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(finish, schema)
 
 

@@ -173,7 +173,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, shard_bytes: in
     columns may not be named n_bytes, n_removed, n_spans, kept, or with a leading
     underscore; ``docs`` is cut to fit by the caller.
     """
-    return _repeats.remove_repeats(docs, read_bytes, _resolver(window), _keep, window, _GRAM, False, shard_bytes, chunk_bytes, "n_bytes long, n_removed long, n_spans long, kept binary")
+    return _repeats.remove_repeats(docs, read_bytes, _resolver(window), _keep, window, _GRAM, False, shard_bytes, chunk_bytes, "n_bytes long, n_removed long, n_spans long, kept binary", ask_first=True)
 
 
 def whole_characters(kept: bytes | None) -> str:
