@@ -34,9 +34,11 @@ def read_bytes(raw: list[bytes]) -> Symbols:
 class PrefixHashes:
     """Polynomial prefix hashes of a text, modulo 2**64, and what they tell of its suffixes."""
 
-    def __init__(self, text: np.ndarray) -> None:
-        self.text = text
+    def __init__(self, text: np.ndarray, window: int) -> None:
+        self.text, self.window = text, window
         self.prefix, self.power = _repeats.prefix_hashes(_BYTE[text])
+        # the hash of each whole window, where the searches begin
+        self.whole = _repeats.grams(_BYTE[text], window)
 
     def equal(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         """Whether the hashes of ``size`` bytes at a and b agree, both shifted to one power."""
@@ -44,26 +46,29 @@ class PrefixHashes:
         x = (self.prefix[a + size] - self.prefix[a]) * self.power[last - a]
         return x == (self.prefix[b + size] - self.prefix[b]) * self.power[last - b]
 
-    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Common extension of the suffixes at a and b, up to ``most``, by binary search."""
-        out, size = np.zeros(len(a), np.int64), 1 << (most.bit_length() - 1)
-        while size:
-            i = np.flatnonzero(out + size <= most)
-            i = i[self.equal(a[i] + out[i], b[i] + out[i], size)]
-            out[i] += size
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common extension of the suffixes at a and b, up to the window, by binary search."""
+        out = np.where(self.whole[a] == self.whole[b], self.window, 0)
+        open_ = np.flatnonzero(out == 0)
+        a, b, n, size = a[open_], b[open_], out[open_], 1 << (self.window.bit_length() - 1)
+        while size and len(open_):
+            i = np.flatnonzero(n + size < self.window)
+            i = i[self.equal(a[i] + n[i], b[i] + n[i], size)]
+            n[i] += size
             size >>= 1
+        out[open_] = n
         return out
 
-    def compare(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """-1, 0 or 1 as the suffix at a is less than, equal to or greater than that at b, over ``most`` bytes."""
-        n = self.common(a, b, most)
-        i = np.minimum(n, most - 1)
+    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the suffix at a is less than, equal to or greater than that at b, over the window."""
+        n = self.common(a, b)
+        i = np.minimum(n, self.window - 1)
         x, y = self.text[a + i].astype(np.int64), self.text[b + i].astype(np.int64)
-        return np.where(n >= most, 0, np.sign(x - y))
+        return np.where(n >= self.window, 0, np.sign(x - y))
 
 
-def merge_sorted(hashes: PrefixHashes, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at ``at`` in order, and the group of equal first 8 bytes of each place: a stable mergesort within these groups.
+def merge_sorted(hashes: PrefixHashes, at: np.ndarray) -> np.ndarray:
+    """The suffixes at ``at`` in order: by their first 8 bytes, then by a stable mergesort within groups that share these.
 
     Runs of one length are merged at once: each suffix finds its rank in the
     sibling run by binary search with the hash comparison.
@@ -89,7 +94,7 @@ def merge_sorted(hashes: PrefixHashes, at: np.ndarray, most: int) -> tuple[np.nd
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
-            c = hashes.compare(order[base[open_] + mid], me[open_], most)
+            c = hashes.compare(order[base[open_] + mid], me[open_])
             less = (c < 0) | (c == 0) & right[open_]  # of equal ones the left run's come first
             low[open_[less]] = mid[less] + 1
             high[open_[~less]] = mid[~less]
@@ -98,7 +103,7 @@ def merge_sorted(hashes: PrefixHashes, at: np.ndarray, most: int) -> tuple[np.nd
         merged = order.copy()
         merged[target] = me
         order, run = merged, 2 * run
-    return order, group
+    return order
 
 
 def _resolver(w: int):
@@ -125,9 +130,9 @@ def _resolver(w: int):
         place = np.cumsum(some.size) - some.size
         at = gather(place, some.windows)
         owner = np.repeat(np.arange(len(rank)), some.windows)
-        hashes = PrefixHashes(text)
+        hashes = PrefixHashes(text, w)
         # suffixes whose window's hash is alone can't be equal to another; the sort leaves them out
-        whole = _repeats.grams(_BYTE[text], w)[at]
+        whole = hashes.whole[at]
         by = np.argsort(whole, kind="stable")
         same = whole[by[1:]] == whole[by[:-1]]
         again = np.zeros(len(at), bool)
@@ -137,9 +142,9 @@ def _resolver(w: int):
             return cuts
         of = np.full(len(text), -1, np.int64)
         of[at] = owner
-        ordered, _ = merge_sorted(hashes, at, w)
+        ordered = merge_sorted(hashes, at)
         a, b = ordered[:-1], ordered[1:]
-        near = np.flatnonzero(hashes.common(a, b, w) >= w)
+        near = np.flatnonzero(hashes.common(a, b) >= w)
         equal = np.zeros(len(a), bool)
         equal[near] = _repeats.same_bytes(text, a[near], b[near], np.full(len(near), w), np.full(len(near), w))
         head = np.concatenate([[True], ~equal])
