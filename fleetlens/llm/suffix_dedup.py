@@ -21,7 +21,8 @@ from fleetlens.llm._common import texts
 from fleetlens.llm._repeats import Segments, Symbols, gather
 
 WINDOW = 50
-_GRAM = 12
+#: Long enough that prose repeats few by chance, at half of the window.
+_GRAM = 24
 _BYTE = _repeats.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
