@@ -1 +1,98 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express. The others are held against plain versions in tests/llm."""
+
+from __future__ import annotations
+
+from fleetlens.llm.license_scans import LICENSE_RULES, SENTENCES
+from fleetlens.llm.url_filters import RULES, TWO_LABEL_SUFFIXES
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _case(value: int) -> str:
+    return " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{(h + p) if value == 0 else v}'" for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1])))
+
+
+_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+_LAST = "array_to_string(list_slice(string_split(host, '.'), -{}, -1), '.')"
+
+
+def _strength(groups: str, prior: str) -> str:
+    return f"""(select least(greatest(coalesce(sum((n - 1) * {prior} * (1 - {prior})) / greatest(sum(n * pow(k / n - {prior}, 2)) - sum({prior} * (1 - {prior})), 1e-9) - 1, 200.0), 2.0), 200.0) from {groups} where n > 0)"""
+
+
+OP1 = f"""
+with parts as (select page_id, {LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+good as (select doc_id as page_id, avg(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels where doc_id is not null group by 1),
+counts as (select host, count(good) as n, coalesce(sum(good), 0) as k from parts left join good using (page_id) group by 1),
+hosts as (select *, case when {_LAST.format(2)} in ({_TWO}) then {_LAST.format(3)} else {_LAST.format(2)} end as domain,
+    case when {_LAST.format(2)} in ({_TWO}) then {_LAST.format(2)} else {_LAST.format(1)} end as suffix from counts),
+d0 as (select suffix, domain, sum(n) as n, sum(k) as k from hosts group by 1, 2),
+s0 as (select suffix, sum(n) as n, sum(k) as k from d0 group by 1),
+s1 as (select *, (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) from s0) as top from s0),
+s2 as (select suffix, (k + s * top) / (n + s) as suffix_rate from s1, (select {_strength("s1", "top")} as s)),
+d1 as (select * from d0 join s2 using (suffix)),
+d2 as (select domain, (k + s * suffix_rate) / (n + s) as domain_rate from d1, (select {_strength("d1", "suffix_rate")} as s)),
+h1 as (select * from hosts join d2 using (domain)),
+h2 as (select host, (k + s * domain_rate) / (n + s) as rate, n + s + 1 as size from h1, (select {_strength("h1", "domain_rate")} as s))
+select page_id, host, path, case {_case(0)} end as rule,
+    case {_case(1)} else case when rate + 1.64 * sqrt(rate * (1 - rate) / size) < 0.5 then 'block' else 'allow' end end as verdict,
+    round(rate, 6) as reputation
+from parts left join h2 using (host)
+"""
+
+_ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(LOWER.format("coalesce(text, '')"))
+OP2 = f"""
+with d as (select row_number() over () as r, doc_id, {_ITEM_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item_id, {_ITEM_WORDS} as w from benchmark where item_id is not null),
+bw as (select item_id, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i, w from b where len(w) > 0),
+win as (select distinct item_id, size, array_to_string(w[i : i + size - 1], ' ') as s from bw),
+sizes as (select distinct size from win),
+dw as (select r, size, unnest(range(1, len(w) - size + 2)) as i, w from d, sizes where len(w) >= size),
+hits as (select r, dw.size, i, item_id from (select r, size, i, array_to_string(w[i : i + size - 1], ' ') as s from dw) dw join win on dw.s = win.s and dw.size = win.size),
+words as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + size)) as p from hits) group by 1),
+items as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as names from hits group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)
+"""
+
+# what a source gives is the first words of its stream, repeated; the schedule says only in which order
+OP3 = f"""
+with d as (select row_number() over () as r, doc_id, source, len({WORDS}) as size from documents),
+s0 as (select source, cast(sum(size) as bigint) as source_size from d group by 1),
+s1 as (select *, cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as bigint) as weight, 3 * source_size as cap from s0),
+s2 as (select *, row_number() over (order by cap / weight, source nulls last) as nth,
+    (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) as level from s1),
+s3 as (select *, coalesce((select level from s2 where level * weight <= cap order by nth limit 1), 0.0) as first from s2),
+s4 as (select source, source_size, least(cast(cap as double), first * weight) as target from s3),
+p as (select r, doc_id, size, source_size, target, cast(round(target) as bigint) as words,
+    coalesce(sum(size) over (partition by d.source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id, size rows between unbounded preceding and 1 preceding), 0) as place
+    from d join s4 on d.source is not distinct from s4.source)
+select doc_id, size, source_size, target,
+    cast(case when size = 0 then 0 else (words // source_size) * size + greatest(0, least(place + size, words % source_size) - place) end as bigint) as taken from p
+"""
+
+_KNOWN = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
+_NAMES = "list_filter([" + ", ".join(f"case when regexp_matches(ids, '{'.*'.join(f',{x}\\b' for x in seq)}') then '{name}' end" for name, seq in LICENSE_RULES) + "], lambda x: x is not null)"
+OP5 = rf"""
+with s as (select row_number() over () as r, doc_id, string_split_regex({LOWER.format("coalesce(text, '')")}, '[\n\r]+|[.!?;][\x20\t]+') as s from documents),
+k as (select r, doc_id, list_filter(list_transform(s, lambda x: {_KNOWN}[trim(regexp_replace(x, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'))]), lambda x: x is not null) as a from s),
+j as (select doc_id, case when len(a) = 0 then '' else array_to_string(a, ',') end as sentence_ids, ',' || case when len(a) = 0 then '' else array_to_string(a, ',') end || ',' as ids from k),
+n as (select doc_id, sentence_ids, {_NAMES} as names from j)
+select doc_id, sentence_ids, case when len(names) = 0 then '' else array_to_string(list_sort(list_distinct(names)), ',') end as licenses, names[1] as license from n
+"""
+
+OP6 = f"""
+with d as (select doc_id, {WORDS} as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) as s from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+marked as (select doc_id, i, row_number() over (partition by s order by doc_id, i) > 1 as again from win),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from marked where again),
+words as (select doc_id, p, w[p] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+left_ as (select doc_id, string_agg(word, ' ' order by p) as t from words anti join gone using (doc_id, p) group by 1),
+n as (select doc_id, count(*) as n_removed from gone group by 1)
+select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join n using (doc_id) left join left_ using (doc_id)
+"""
+
+ORACLES = {"op1_url_filters": OP1, "op2_benchmark_decontamination": OP2, "op3_mixing": OP3, "op5_license_scans": OP5, "op6_substring_dedup": OP6}
