@@ -15,7 +15,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes that a kernel works on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -58,3 +58,16 @@ def ascii_lower(c):
 
 def blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
+
+
+#: Spark's bound for the bytes of an Arrow batch, which is in memory several times over.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def map_batches(df: DataFrame, f, schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes; a session with a smaller bound keeps it."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_CONF).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)

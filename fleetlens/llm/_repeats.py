@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fleetlens.llm._common import CHUNK_BYTES, chunks
+from fleetlens.llm._common import CHUNK_BYTES, chunks, map_batches
 
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Symbols that are hashed at once; longer texts are cut into overlapping pieces.
@@ -306,7 +306,7 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in chunks(batches):
+        for b in chunks(batches, limit=2 * CHUNK_BYTES):  # larger blobs compress better
             yield from deal_rows(b.column("_id").to_numpy(), b.column("_key").to_numpy(), [x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()], z)
 
     def deal_again(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -354,7 +354,7 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
         again = anchors_again(packed, read, w, m, n_shards)
         dealt = packed.groupBy("_chunk").cogroup(again.groupBy("chunk")).applyInArrow(deal_again, _DEALT)
     else:
-        dealt = packed.mapInArrow(deal, _DEALT)
+        dealt = map_batches(packed, deal, _DEALT)
     return dealt.groupBy("shard").applyInArrow(settle_shard, _CUTS)
 
 
@@ -418,7 +418,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
             packed = [None if x is None else z.compress(x) for x in b.column("text").cast(pa.large_binary()).to_pylist()]
             yield b.set_column(i, pa.field("_text", pa.binary()), pa.array(packed, pa.binary()))
 
-    return docs.mapInArrow(squeeze, ", ".join("_text binary" if f.name == "text" else f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_batches(docs, squeeze, ", ".join("_text binary" if f.name == "text" else f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
 #: Word hashes that a worker keeps.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._common import ASCII_LOWER, batch_of, chunks, texts
+from fleetlens.llm._common import ASCII_LOWER, batch_of, chunks, map_batches, texts
 
 #: Word bytes stay (A-Z lower-cased), all others become blanks: 0x00-0x2F, 0x3A-0x60, 0x7B-0x7F after lower-casing.
 _TO_WORDS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in ASCII_LOWER)
@@ -123,7 +123,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                 own = [hit[e - len(w) : e] for e, w in zip(ends, words, strict=True)]
                 yield batch_of(SCHEMA, [b.column("doc_id"), [len(w) for w in words], [int(x.sum()) for x in own], [sorted(x) for x in items], [_runs(x) for x in own]])
 
-        found.append(docs.mapInArrow(scan, DDL))
+        found.append(map_batches(docs, scan, DDL))
     if len(found) == 1:
         return found[0]
     every = found[0]
@@ -158,7 +158,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "docu
                 i = b.schema.get_field_index("text")
                 yield b.set_column(i, b.schema.field(i), pa.array(left, b.schema.field(i).type))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = map_batches(docs, clean, schema)
     return docs
 
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._common import ASCII_LOWER, chunks
+from fleetlens.llm._common import ASCII_LOWER, chunks, map_batches
 from fleetlens.llm._repeats import MIN_ID, gather, mixed, pack, read_hashes, squeezed, unpack
 
 #: Marks that no word can be: words hold no blanks.
@@ -255,7 +255,7 @@ def leaders_of(docs: DataFrame, shards: int) -> dict[int, int]:
             best = c.most_common(_LEADERS)
             yield pa.RecordBatch.from_arrays([pa.array(read_hashes([w for w, _ in best]).view(np.int64)), pa.array([x for _, x in best], pa.int64()), pa.array([n] + [0] * (len(best) - 1), pa.int64())], names=["word", "n", "total"])
 
-    seen = docs.select("text").mapInArrow(top, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    seen = map_batches(docs.select("text"), top, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     seen = seen.persist()
     try:
         total = seen.agg(F.sum("total")).first()[0] or 0

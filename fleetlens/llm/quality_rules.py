@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._common import batch_of, chunks, texts
+from fleetlens.llm._common import batch_of, chunks, map_batches, texts
 
 LEVEL = 3
 CHUNK = 4096
@@ -86,11 +86,8 @@ def judge(t: bytes, z: zstandard.ZstdCompressor) -> tuple[float, int, bool]:
         return 0.0, 0, False
     ratio = len(t) / len(z.compress(t))
     low, high = next((a, b) for upto, a, b in BANDS if len(t) <= upto)
-    bad = full = len(t) // CHUNK
-    if full >= 2:
-        bad = sum(not CHUNK_BAND[0] <= CHUNK / len(z.compress(t[i * CHUNK : (i + 1) * CHUNK])) <= CHUNK_BAND[1] for i in range(full))
-    else:
-        bad = 0
+    full = len(t) // CHUNK if len(t) >= 2 * CHUNK else 0
+    bad = sum(not CHUNK_BAND[0] <= CHUNK / len(z.compress(t[i * CHUNK : (i + 1) * CHUNK])) <= CHUNK_BAND[1] for i in range(full))
     return ratio, bad, low <= ratio <= high and bad <= BAD_CHUNKS * full
 
 
@@ -116,7 +113,7 @@ def quality(docs: DataFrame) -> DataFrame:
         for b in chunks(batches):
             yield batch_of(SCHEMA, [b.column("doc_id"), *(list(c) for c in zip(*_judged(texts(b.column("text"))), strict=True))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DDL)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, DDL)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -126,4 +123,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
         for b in chunks(batches):
             yield b.filter(pa.array([r[6] for r in _judged(texts(b.column("text")))]))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_batches(docs, scan, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fleetlens.llm import _repeats
-from fleetlens.llm._common import texts
+from fleetlens.llm._common import map_batches, texts
 from fleetlens.llm._repeats import Segments, Symbols, gather
 
 WINDOW = 50
@@ -203,4 +203,4 @@ def keep_unrepeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out["n_chars"] = pa.array([None if x is None else len(x) for x in new], pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
-    return remove_repeated_bytes(docs.select(*plain), window).mapInArrow(texts_of, schema)
+    return map_batches(remove_repeated_bytes(docs.select(*plain), window), texts_of, schema)

@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._common import batch_of, chunks
+from fleetlens.llm._common import batch_of, chunks, map_batches
 
 BLANK = "▁"
 #: Stretch counts that a worker keeps.
@@ -110,4 +110,4 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
             n = [pieces.tokens(t) for t in rows]
             yield batch_of(SCHEMA, [b.column("doc_id"), [len(t.encode()) for t in rows], n, [x > limit for x in n]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DDL)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, DDL)
