@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_AROUND = Window.partitionBy("doc_id").orderBy("idx")
-
 
 def _is(c: Column, *words: str) -> Column:
     return F.coalesce(F.upper(c).isin(*words), F.lit(False))
@@ -15,9 +13,10 @@ def _is(c: Column, *words: str) -> Column:
 def findings(tokens: DataFrame) -> DataFrame:
     """(doc_id, rule, severity, line, col, start) of all rules that fire. Keywords in brackets or quotes are names and don't count."""
     t = tokens.where("kind != 'Comment'")
+    around = Window.partitionBy("doc_id").orderBy("idx")
     for i in (1, 2, 3):
-        t = t.withColumn(f"p{i}", F.lag("text", i).over(_AROUND)).withColumn(f"n{i}", F.lead("text", i).over(_AROUND))
-    t = t.withColumn("line_before", F.lag("line").over(_AROUND)).withColumn("line_after", F.lead("line").over(_AROUND)).withColumn("next_kind", F.lead("kind").over(_AROUND))
+        t = t.withColumn(f"p{i}", F.lag("text", i).over(around)).withColumn(f"n{i}", F.lead("text", i).over(around))
+    t = t.withColumn("line_before", F.lag("line").over(around)).withColumn("line_after", F.lead("line").over(around)).withColumn("next_kind", F.lead("kind").over(around))
     x, p1, p2, n1, n2 = (F.col(c) for c in ("text", "p1", "p2", "n1", "n2"))
     word = F.col("kind") == "Word"
     fires = [

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_K = F.get_json_object("props", "$.k").cast("long")
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each captured interval of a query and plan."""
-    return _table(spark, sf_dir, "events").select(F.col("event_id"), F.col("user_id").alias("query_id"), (_K % 3).alias("plan_id"), F.col("ts").alias("captured_at"), F.col("value").alias("total_duration_ms"), (1 + _K % 5).alias("executions"), F.col("event_type").alias("query_sql_text"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _table(spark, sf_dir, "events").select(F.col("event_id"), F.col("user_id").alias("query_id"), (k % 3).alias("plan_id"), F.col("ts").alias("captured_at"), F.col("value").alias("total_duration_ms"), (1 + k % 5).alias("executions"), F.col("event_type").alias("query_sql_text"))
 
 
 def index_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
