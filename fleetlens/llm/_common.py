@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +65,45 @@ def blob(a: np.ndarray) -> bytes:
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def map_batches(df: DataFrame, f, schema) -> DataFrame:
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with batches of bounded bytes; a session with a smaller bound keeps it."""
     conf = df.sparkSession.conf
     now = conf.get(BATCH_CONF).rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in f(batches):
+            yield b
+            release()
+
+    return df.mapInArrow(released, schema)
+
+
+def for_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of one group that leaves no freed memory behind."""
+
+    def one(t: pa.Table) -> pa.Table:
+        out = f(t)
+        release()
+        return out
+
+    return one
+
+
+def for_groups(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a pair of groups."""
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        release()
+        return out
+
+    return two

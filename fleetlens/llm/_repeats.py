@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fleetlens.llm._common import CHUNK_BYTES, chunks, map_batches
+from fleetlens.llm._common import CHUNK_BYTES, chunks, for_group, for_groups, map_batches
 
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Symbols that are hashed at once; longer texts are cut into overlapping pieces.
@@ -269,7 +269,7 @@ def anchors_again(packed: DataFrame, read: Read, w: int, m: int, n_shards: int)
         again = np.split(times[back] > 1, np.cumsum([len(x) for x in lists])[:-1])
         return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "again": pa.array([np.packbits(x).tobytes() for x in again], pa.binary())})
 
-    return packed.groupBy("_chunk").applyInArrow(ask, "shard int, chunk int, grams binary").groupBy("shard").applyInArrow(answer, "chunk int, shard int, again binary")
+    return packed.groupBy("_chunk").applyInArrow(for_group(ask), "shard int, chunk int, grams binary").groupBy("shard").applyInArrow(for_group(answer), "chunk int, shard int, again binary")
 
 
 def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int, by_row: bool, n_shards: int, n_chunks: int, ask_first: bool) -> DataFrame:
@@ -352,10 +352,10 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
 
     if ask_first:
         again = anchors_again(packed, read, w, m, n_shards)
-        dealt = packed.groupBy("_chunk").cogroup(again.groupBy("chunk")).applyInArrow(deal_again, _DEALT)
+        dealt = packed.groupBy("_chunk").cogroup(again.groupBy("chunk")).applyInArrow(for_groups(deal_again), _DEALT)
     else:
         dealt = map_batches(packed, deal, _DEALT)
-    return dealt.groupBy("shard").applyInArrow(settle_shard, _CUTS)
+    return dealt.groupBy("shard").applyInArrow(for_group(settle_shard), _CUTS)
 
 
 def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -405,7 +405,7 @@ def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callabl
             out[name] = pa.array(values, {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[kind])
         return pa.table(out)
 
-    return left.groupBy("_chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(finish, schema)
+    return left.groupBy("_chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(for_groups(finish), schema)
 
 
 def squeezed(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm._common import ASCII_LOWER, chunks, map_batches
+from fleetlens.llm._common import ASCII_LOWER, chunks, for_group, for_groups, map_batches
 from fleetlens.llm._repeats import MIN_ID, gather, mixed, pack, read_hashes, squeezed, unpack
 
 #: Marks that no word can be: words hold no blanks.
@@ -334,8 +334,8 @@ def score(docs: DataFrame, weight: float = WEIGHT, shard_bytes: int = 2 << 20, c
         columns = [ids, [not x for x in train], chunk.sizes, add((word > 0).astype(np.int64)), np.full(len(ids), n), add(np.log10(single)), add(np.log10(both))]
         return pa.table({m: pa.array(c, k) for m, c, k in zip(names, columns, kinds, strict=True)})
 
-    answers = packed.groupBy("_chunk").applyInArrow(ask, _SENT).groupBy("shard").applyInArrow(answer, _ANSWER).checkpoint()
+    answers = packed.groupBy("_chunk").applyInArrow(for_group(ask), _SENT).groupBy("shard").applyInArrow(for_group(answer), _ANSWER).checkpoint()
     per_shard = answers.groupBy("shard").agg(F.first("n").alias("n"), F.first("v").alias("v"))
     n, v = per_shard.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     totals = docs.sparkSession.sparkContext.broadcast((int(n), int(v)))
-    return packed.groupBy("_chunk").cogroup(answers.select("chunk", "shard", "counts", "codes").groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed.groupBy("_chunk").cogroup(answers.select("chunk", "shard", "counts", "codes").groupBy("chunk")).applyInArrow(for_groups(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

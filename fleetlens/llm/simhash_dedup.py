@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fleetlens.llm._common import ASCII_LOWER, chunks, ensure_checkpoint_dir, map_batches, texts
+from fleetlens.llm._common import ASCII_LOWER, chunks, ensure_checkpoint_dir, for_group, map_batches, texts
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Distinct fingerprints up to which blocks of these lengths are used, so that an anchor's load stays bounded.
@@ -121,7 +121,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block_length: int | Non
         u, v = u.view(np.int64), v.view(np.int64)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    return map_batches(distinct.select("fingerprint"), deal, "anchor long, fingerprint long, home boolean").groupBy("anchor").applyInArrow(compare, "u long, v long").distinct()
+    return map_batches(distinct.select("fingerprint"), deal, "anchor long, fingerprint long, home boolean").groupBy("anchor").applyInArrow(for_group(compare), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -10,14 +10,11 @@ a window goes if its group has one in a smaller document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fleetlens.llm import _repeats
-from fleetlens.llm._common import map_batches, texts
 from fleetlens.llm._repeats import Segments, Symbols, gather
 
 WINDOW = 50
@@ -187,20 +184,11 @@ def whole_characters(kept: bytes | None) -> str:
     return (kept or b"").decode("utf-8", "ignore")
 
 
-def keep_unrepeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with its columns, the texts without the repeated strings, n_chars (if any) made new; texts that become empty stay as such."""
-    own = docs.columns
-    plain = [c for c in own if c not in ("n_bytes", "n_removed", "n_spans", "kept") and not c.startswith("_")]
-    schema = docs.select(*plain).schema
+def keep_unrepeated(docs: DataFrame, window: int = WINDOW, shard_bytes: int = 2 << 20, chunk_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` with its columns, the texts without the repeated strings, n_chars (if any) made new; texts that become empty stay as such, null stays null."""
 
-    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [None if old is None else whole_characters(x) for old, x in zip(b.column("text").is_valid().to_pylist(), texts(b.column("kept")), strict=True)]
-            new = [x if ok else None for x, ok in zip(new, b.column("text").is_valid().to_pylist(), strict=True)]
-            out = {c: b.column(c) for c in plain}
-            out["text"] = pa.array(new, pa.string())
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([None if x is None else len(x) for x in new], pa.int64())
-            yield pa.RecordBatch.from_pydict(out)
+    def text_of(t: bytes | None, cuts: list[tuple[int, int]]) -> tuple[str | None]:
+        return (None if t is None else whole_characters(_keep(t, cuts)[3]),)
 
-    return map_batches(remove_repeated_bytes(docs.select(*plain), window), texts_of, schema)
+    new = _repeats.remove_repeats(docs, read_bytes, _resolver(window), text_of, window, _GRAM, False, shard_bytes, chunk_bytes, "_new string", ask_first=True)
+    return new.select(*[F.col("_new").alias(c) if c == "text" else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
