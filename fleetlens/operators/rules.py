@@ -1,30 +1,155 @@
-"""Rules over token rows: each is a filter on a token and its neighbours, comments left out."""
+"""Rules over token rows: each is a filter on a token, its neighbours and its statement, comments left out.
+
+One window by script gives the neighbours, a second the statement and the batch
+a token stands in, a third what the whole script, batch or statement holds.
+Keywords in brackets or quotes are names and don't count. A script without
+tokens has no findings.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BACK, AHEAD = 3, 8
+_DML = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE")
+
 
 def _is(c: Column, *words: str) -> Column:
-    return F.coalesce(F.upper(c).isin(*words), F.lit(False))
-
-
-def findings(tokens: DataFrame) -> DataFrame:
-    """(doc_id, rule, severity, line, col, start) of all rules that fire. Keywords in brackets or quotes are names and don't count."""
-    t = tokens.where("kind != 'Comment'")
-    around = Window.partitionBy("doc_id").orderBy("idx")
-    for i in (1, 2, 3):
-        t = t.withColumn(f"p{i}", F.lag("text", i).over(around)).withColumn(f"n{i}", F.lead("text", i).over(around))
-    t = t.withColumn("line_before", F.lag("line").over(around)).withColumn("line_after", F.lead("line").over(around)).withColumn("next_kind", F.lead("kind").over(around))
-    x, p1, p2, n1, n2 = (F.col(c) for c in ("text", "p1", "p2", "n1", "n2"))
-    word = F.col("kind") == "Word"
-    fires = [
-        ("hygiene.select_star", "warning", (x == "*") & (_is(p1, "SELECT", "DISTINCT", "ALL") | (_is(p2, "TOP")))),
-        ("hygiene.nolock", "error", word & _is(x, "NOLOCK", "READUNCOMMITTED") & p1.isin("(", ",")),
-        ("sarg.leading_wildcard", "warning", (F.col("kind") == "String") & F.ltrim(x).startswith("'%") & _is(p1, "LIKE")),
-        ("sarg.not_in_nullable", "warning", word & _is(x, "IN") & _is(p1, "NOT") & (n1 == "(") & _is(n2, "SELECT")),
+    return F.coalesce(c.isin(*words), F.lit(False))
+
+
+def _at(i: int) -> Column:
+    """The upper-case text ``i`` tokens on."""
+    return F.col("u" if i == 0 else f"n{i}" if i > 0 else f"p{-i}")
+
+
+def _seq(*words: str | tuple[str, ...], start: int = 0) -> Column:
+    """Tokens from ``start`` on are these words; a tuple lists alternatives."""
+    hit = F.lit(True)
+    for i, w in enumerate(words):
+        hit &= _is(_at(start + i), *((w,) if isinstance(w, str) else w))
+    return hit
+
+
+def _has(hit: Column, over: Column) -> Column:
+    return F.coalesce(F.max(hit.cast("int")).over(over), F.lit(0)) == 1
+
+
+def _begins_tran() -> Column:
+    tran = ("TRAN", "TRANSACTION")
+    return _seq("BEGIN", tran) | _seq("BEGIN", "DISTRIBUTED", tran)
+
+
+def in_context(tokens: DataFrame) -> DataFrame:
+    """Tokens but comments, with neighbours, ``batch``, ``stmt`` and the ``head`` of the statement."""
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    t = tokens.where("kind != 'Comment'").withColumn("u", F.upper("text"))
+    near = {f"p{i}": F.lag("u", i).over(order) for i in range(1, BACK + 1)} | {f"n{i}": F.lead("u", i).over(order) for i in range(1, AHEAD + 1)}
+    near |= {"line_before": F.lag("line").over(order), "line_after": F.lead("line").over(order), "next_start": F.lead("start").over(order)}
+    t = t.withColumns(near)
+    alone = F.coalesce(F.col("line_before") != F.col("line"), F.lit(True)) & F.coalesce((F.col("line_after") != F.col("line")) | F.col("n1").rlike("^[0-9]+$"), F.lit(True))
+    go = _is(_at(0), "GO") & alone
+    listed = _is(_at(-1), "GRANT", "DENY", "REVOKE", ",")
+    head = (
+        F.when(go | _is(_at(0), ";"), "")
+        .when(_seq("ALTER", "DATABASE"), "ALTER DATABASE")
+        .when(_seq("UPDATE", "STATISTICS"), "UPDATE STATISTICS")
+        .when(_is(_at(0), "DBCC"), F.concat_ws(" ", "u", "n1"))
+        .when(_is(_at(0), "GRANT") & ~_is(_at(-1), "WITH"), "GRANT")
+        .when(_is(_at(0), *_DML, "EXEC", "EXECUTE", "ALTER", "CREATE", "DROP", "DENY", "REVOKE", "DECLARE", "BEGIN", "COMMIT", "ROLLBACK", "PRINT", "IF", "WHILE", "USE") & ~listed, F.col("u"))
+    )
+    clause = F.when(go | _is(_at(0), ";", "WHERE", "SET", "SELECT", "FROM", "ON", "HAVING", "VALUES", "UPDATE", "DECLARE"), F.col("u"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"_go": go.cast("int"), "_head": head, "_clause": clause})
+    return t.withColumns({"batch": F.sum("_go").over(so_far), "stmt": F.count("_head").over(so_far), "head": F.last("_head", ignorenulls=True).over(so_far), "clause": F.last("_clause", ignorenulls=True).over(so_far)})
+
+
+def _wholes(t: DataFrame) -> DataFrame:
+    """What the script, the batch and the statement of a token hold."""
+    script, batch, stmt = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "batch"), Window.partitionBy("doc_id", "stmt")
+    tran, recompile = ("TRAN", "TRANSACTION"), _seq("OPTION", "(", "RECOMPILE")
+    t = t.withColumn("_saved", F.collect_set(F.when(_seq("SAVE", tran), F.col("n2"))).over(script))
+    rolls_back = _is(_at(0), "ROLLBACK") & ~(_seq(tran, start=1) & F.coalesce(F.array_contains("_saved", F.col("n2")), F.lit(False)))
+    first = lambda hit: F.min(F.when(hit, F.col("idx"))).over(script) == F.col("idx")
+    return t.withColumns({
+        "first_begin": first(_begins_tran()),
+        "first_recompile": first(recompile),
+        "first_optimized": first(_seq("OPTIMIZED_LOCKING", "=", "ON")),
+        "commits": _has(_is(_at(0), "COMMIT"), script),
+        "rolls_back": _has(rolls_back, script),
+        "tries": _has(_seq(("BEGIN",), ("TRY",)), script),
+        "recompiles": F.sum(recompile.cast("int")).over(script),
+        "queries": F.sum(_is(_at(0), *_DML).cast("int")).over(script),
+        "recovery": _has(_seq("ACCELERATED_DATABASE_RECOVERY", "=", "ON"), script),
+        "nocount": _has(_seq("SET", "NOCOUNT", "ON"), batch),
+        "partial_shrink": _has(_is(_at(0), "EMPTYFILE", "TRUNCATEONLY"), stmt),
+        "fullscan": _has(_is(_at(0), "FULLSCAN"), stmt),
+        "incremental": _has(_is(_at(0), "INCREMENTAL"), stmt),
+        "everywhere": _has(_seq("-", "1"), stmt),
+        "escalation_flag": _has(_is(_at(0), "1211", "1224"), stmt),
+    })
+
+
+def _rules(target: int | None) -> list[tuple[str, str, Column]]:
+    """(rule, severity, when it fires at a token). Rules that need a newer server are silent without ``target``."""
+    word, string = F.col("kind") == "Word", F.col("kind") == "String"
+    since = lambda year: F.lit(target is not None and target >= year)
+    name = F.upper(F.regexp_replace("text", r'^[\["]|[\]"]$', ""))
+    column = "^[A-Z_\\[\"]"
+    configures = string & (_is(_at(-1), "SP_CONFIGURE") | _seq("SP_CONFIGURE", "N", start=-2))
+    sets = lambda option, value: configures & _is(_at(0), f"'{option}'") & _seq(",", value, start=1)
+    database = F.col("head") == "ALTER DATABASE"
+    between = F.lit(False)
+    for gap in (0, 2):
+        between |= _seq(("YEAR", "MONTH", "DAY"), "(") & F.coalesce(F.col("n2").rlike(column), F.lit(False)) & _seq(")", "BETWEEN", start=3 + gap)
+        between |= _seq(("DATEPART", "DATENAME"), "(") & _is(_at(3), ",") & F.coalesce(F.col("n4").rlike(column), F.lit(False)) & (_seq(")", "BETWEEN", start=5 + gap))
+    return [
+        ("hygiene.select_star", "warning", _is(_at(0), "*") & (_is(_at(-1), "SELECT", "DISTINCT", "ALL") | _is(_at(-2), "TOP"))),
+        ("hygiene.nolock", "error", word & _is(_at(0), "NOLOCK", "READUNCOMMITTED") & _is(_at(-1), "(", ",")),
+        ("hygiene.at_at_identity", "warning", _is(_at(0), "@@IDENTITY") | _seq("@", "@IDENTITY")),
+        ("hygiene.global_temp_table", "warning", word & F.col("u").startswith("##") & (_seq("CREATE", "TABLE", start=-2) | (_is(_at(-1), "INTO") & ~_is(_at(-2), "INSERT", "MERGE")))),
+        ("sarg.leading_wildcard", "warning", string & F.ltrim("text").startswith("'%") & (_is(_at(-1), "LIKE") | _seq("LIKE", "N", start=-2))),
+        ("sarg.not_in_nullable", "warning", word & _seq("NOT", "IN", "(", "SELECT", start=-1)),
+        ("sarg.datetime_fn_between", "warning", between),
+        ("deprecated.outer_join_star_equal", "error", (F.col("clause") == "WHERE") & ((_seq("*", "=") & F.coalesce(F.col("n2").rlike(column), F.lit(False))) | (_seq("=", "*"))) & (F.col("next_start") == F.col("start") + 1) & F.coalesce(F.col("p1").rlike(column), F.lit(False))),
+        ("deprecated.sp_dboption", "error", word & (name == "SP_DBOPTION")),
+        ("deprecated.raiserror_legacy", "error", _is(_at(0), "RAISERROR") & ~_is(_at(1), "(")),
+        ("deprecated.set_rowcount_dml", "warning", _seq("SET", "ROWCOUNT") & ~_is(_at(2), "0") & (_is(_at(3), "INSERT", "UPDATE", "DELETE", "MERGE") | (_is(_at(3), ";") & _is(_at(4), "INSERT", "UPDATE", "DELETE", "MERGE")))),
+        ("modern.missing_set_nocount", "info", _is(_at(0), "PROC", "PROCEDURE") & _is(_at(-1), "CREATE", "ALTER") & ~F.col("nocount")),
+        ("modern.string_agg_replaces_for_xml", "info", _seq("FOR", "XML", "PATH") & F.lit(target is None or target >= 2017)),
+        ("modern.sp_executesql_optimized_2025", "info", _is(_at(0), "SP_EXECUTESQL") & (_is(_at(-1), "EXEC", "EXECUTE") | _seq(("EXEC", "EXECUTE"), "SYS", ".", start=-3)) & since(2025)),
+        ("plan.option_recompile_overuse", "warning", F.col("first_recompile") & (F.col("recompiles") >= 3) & (F.col("recompiles") * 3 >= F.col("queries"))),
+        ("plan.optimize_for_unknown", "info", _seq("OPTIMIZE", "FOR", "UNKNOWN") | (_is(_at(0), "UNKNOWN") & F.coalesce(F.col("p1").startswith("@"), F.lit(False)))),
+        ("plan.merge_join_hint_pinned", "warning", word & _seq(("LOOP", "MERGE", "HASH", "REMOTE"), "JOIN")),
+        ("plan.read_committed_lock_hint_redundant_with_optimized_locking", "info", _is(_at(0), "READCOMMITTEDLOCK") & _is(_at(-1), "(", ",") & since(2025)),
+        ("locking.set_transaction_isolation_read_uncommitted", "error", _seq("SET", "TRANSACTION", "ISOLATION", "LEVEL", "READ", "UNCOMMITTED")),
+        ("locking.lock_escalation_disabled_globally", "error", (_is(_at(0), "1211", "1224") & (F.col("head") == "DBCC TRACEON")) | (_is(_at(0), "T1211", "T1224") & _is(_at(-1), "-"))),
+        ("maintenance.adr_required_for_optimized_locking", "warning", F.col("first_optimized") & ~F.col("recovery") & since(2025)),
+        ("stats.auto_create_stats_off", "error", _seq("AUTO_CREATE_STATISTICS", "OFF")),
+        ("stats.auto_update_stats_off", "error", _seq("AUTO_UPDATE_STATISTICS", "OFF")),
+        ("stats.update_statistics_fullscan_on_huge_table", "info", _seq("UPDATE", "STATISTICS") & F.col("fullscan") & ~F.col("incremental")),
+        ("joins.right_outer_join_readability", "info", _seq("RIGHT", "JOIN") | _seq("RIGHT", "OUTER", "JOIN")),
+        ("config.auto_shrink_on", "warning", database & _seq("AUTO_SHRINK", "ON")),
+        ("config.auto_close_on", "warning", database & _seq("AUTO_CLOSE", "ON")),
+        ("config.page_verify_not_checksum", "warning", database & _seq("PAGE_VERIFY", ("NONE", "TORN_PAGE_DETECTION"))),
+        ("config.recovery_model_simple", "info", database & _seq("RECOVERY", "SIMPLE")),
+        ("config.dbcc_shrink", "warning", _seq("DBCC", ("SHRINKDATABASE", "SHRINKFILE")) & ~F.col("partial_shrink")),
+        ("config.dbcc_traceon_global", "warning", _seq("DBCC", "TRACEON") & F.col("everywhere") & ~F.col("escalation_flag")),
+        ("config.maxdop_zero", "warning", sets("MAX DEGREE OF PARALLELISM", "0")),
+        ("config.cost_threshold_default", "warning", sets("COST THRESHOLD FOR PARALLELISM", "5")),
+        ("security.xp_cmdshell", "critical", (word & (name == "XP_CMDSHELL")) | (configures & _is(_at(0), "'XP_CMDSHELL'"))),
+        ("security.grant_to_public", "warning", (F.col("head") == "GRANT") & _is(_at(0), "PUBLIC", "[PUBLIC]") & _is(_at(-1), "TO", ",") & ~_is(_at(1), ".")),
+        ("security.grant_control", "warning", (F.col("head") == "GRANT") & _is(_at(0), "CONTROL") & _is(_at(-1), "GRANT", ",")),
+        ("security.grant_with_grant_option", "warning", _seq("WITH", "GRANT", "OPTION")),
+        ("tran.begin_without_try_catch", "warning", F.col("first_begin") & F.col("commits") & ~F.col("tries") & ~F.col("rolls_back")),
+        ("tran.begin_without_commit", "warning", F.col("first_begin") & ~F.col("commits") & ~F.col("rolls_back")),
     ]
-    found = F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity, hit in fires])
+
+
+def findings(tokens: DataFrame, target: int | None = 2025) -> DataFrame:
+    """(doc_id, rule, severity, line, col, start) of all rules that fire on servers of the year ``target``; null if not known."""
+    t = _wholes(in_context(tokens))
+    found = F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity, hit in _rules(target)])
     hits = t.select("doc_id", "line", "col", "start", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f"))
     return hits.select("doc_id", "f.rule", "f.severity", "line", "col", "start")
