@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens import advice, reporting
 from fleetlens.functions import tsql
 from fleetlens.operators import rules, telemetry
+from fleetlens.plans import queries as plans
 from fleetlens.sources import views
 
 TOP, POINTS = 20, 12
@@ -43,7 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_cooldown": lambda s, d: telemetry.fired_alerts(_breaches(s, d)),
         "script_tokens": lambda s, d: tsql.tokens(corpus(s, d)),
         "script_findings": lambda s, d: rules.findings(tsql.tokens(corpus(s, d))),
-    } | advice.queries() | reporting.queries()
+    } | advice.queries() | reporting.queries() | plans.queries()
 
 
 _DELTAS = """
@@ -75,4 +76,4 @@ def oracle_sql() -> dict[str, str]:
         "alert_cooldown": """with recursive b as (select distinct event_type as rule_id, epoch_us(ts) // 1000000 as secs from events where value >= 450),
             fired as (select rule_id, min(secs) as fired_at from b group by 1 union all select rule_id, fired_at from (select f.rule_id, (select min(b.secs) from b where b.rule_id = f.rule_id and b.secs >= f.fired_at + 900) as fired_at from fired f) where fired_at is not null)
             select rule_id, fired_at from fired""",
-    } | advice.oracle_sql(_DELTAS) | reporting.oracle_sql()
+    } | advice.oracle_sql(_DELTAS) | reporting.oracle_sql() | plans.oracle_sql()

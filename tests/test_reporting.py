@@ -1,22 +1,6 @@
-import duckdb
-import pytest
-
-from fleetlens import reporting
 from fleetlens.functions import tsql
 from fleetlens.operators import reports
 
-SF = "/root/testdata/sf0.001"
-
-
-@pytest.mark.parametrize("name", sorted(reporting.oracle_sql()))
-def test_against_sql(spark, name):
-    c = duckdb.connect()
-    for t in ("events", "customer"):
-        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = reporting.queries()[name](spark, SF), c.sql(reporting.oracle_sql()[name])
-    assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda found, columns: sorted(str([x[columns.index(k)] for k in sorted(columns)]) for x in found)
-    assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), want.columns)
 
 
 def test_specs_name_whole_segments(spark):
