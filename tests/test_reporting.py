@@ -2,7 +2,6 @@ from fleetlens.functions import tsql
 from fleetlens.operators import reports
 
 
-
 def test_specs_name_whole_segments(spark):
     cases = [("*", "a.b", True), (" ALL ", "a.b", True), ("A", "a.b", True), ("a.*", "a.b", True), ("A.B", "a.b", True), ("hyg", "hygiene.x", False), ("", "a.b", False), ("a.b", "a.bc", False), (None, "a.b", False), ("a.b.*", "a.b", True)]
     got = spark.createDataFrame(cases, "spec string, rule string, want boolean").select("want", reports.matches(*map(reports.F.col, ("spec", "rule"))).alias("got")).collect()
