@@ -21,12 +21,18 @@ WARNINGS = {
 
 
 def treemap(operators: DataFrame) -> DataFrame:
-    """(plan_id, seq, parent_seq, name, value): an operator's own share of the cost, 0.0001 at least."""
-    cost = F.coalesce("subtree_cost", F.lit(0.0))
-    below = operators.where("parent_seq is not null").groupBy("plan_id", F.col("parent_seq").alias("seq")).agg(F.sum(cost).alias("_below"))
-    own = F.greatest(F.when(F.col("_below").isNull(), cost).otherwise(cost - F.col("_below")), F.lit(0.0001))
+    """(plan_id, seq, parent_seq, name, value): an operator's own share of the cost, 0.0001 at least.
+
+    Each operator states its cost for itself and for the one above, so that plans are parsed and dealt once.
+    """
+    cost, number = F.coalesce("subtree_cost", F.lit(0.0)), F.lit(None).cast("int")
     name = F.concat(F.coalesce("physical_op", F.lit("")), F.lit(" ("), F.col("node_id").cast("string"), F.lit(")"))
-    return operators.where("seq is not null").join(below, ["plan_id", "seq"], "left").select("plan_id", "seq", "parent_seq", name.alias("name"), own.alias("value"))
+    own = F.struct("seq", "parent_seq", name.alias("name"), cost.alias("cost"), F.lit(None).cast("double").alias("below"))
+    above = F.struct(F.col("parent_seq").alias("seq"), number.alias("parent_seq"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("cost"), cost.alias("below"))
+    said = operators.where("seq is not null").select("plan_id", F.explode(F.array(own, above)).alias("x")).select("plan_id", "x.*").where("seq is not null")
+    both = said.groupBy("plan_id", "seq").agg(*[F.max(c).alias(c) for c in ("parent_seq", "name", "cost")], F.sum("below").alias("below"))
+    value = F.greatest(F.col("cost") - F.coalesce("below", F.lit(0.0)), F.lit(0.0001))
+    return both.select("plan_id", "seq", "parent_seq", "name", value.alias("value"))
 
 
 def sibling_seeks(operators: DataFrame) -> DataFrame:
