@@ -105,7 +105,7 @@ def _rules(target: int | None) -> list[tuple[str, str, Column]]:
         between |= _seq(("YEAR", "MONTH", "DAY"), "(") & F.coalesce(F.col("n2").rlike(column), F.lit(False)) & _seq(")", "BETWEEN", start=3 + gap)
         between |= _seq(("DATEPART", "DATENAME"), "(") & _is(_at(3), ",") & F.coalesce(F.col("n4").rlike(column), F.lit(False)) & (_seq(")", "BETWEEN", start=5 + gap))
     return [
-        ("hygiene.select_star", "warning", _is(_at(0), "*") & (_is(_at(-1), "SELECT", "DISTINCT", "ALL") | _is(_at(-2), "TOP"))),
+        ("hygiene.select_star", "warning", _is(_at(0), "*") & (_is(_at(-1), "SELECT", "DISTINCT", "ALL") | _is(_at(-2), "TOP")) & ~_seq("IN", "(", "SELECT", start=-3)),
         ("hygiene.nolock", "error", word & _is(_at(0), "NOLOCK", "READUNCOMMITTED") & _is(_at(-1), "(", ",")),
         ("hygiene.at_at_identity", "warning", _is(_at(0), "@@IDENTITY") | _seq("@", "@IDENTITY")),
         ("hygiene.global_temp_table", "warning", word & F.col("u").startswith("##") & (_seq("CREATE", "TABLE", start=-2) | (_is(_at(-1), "INTO") & ~_is(_at(-2), "INSERT", "MERGE")))),

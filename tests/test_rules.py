@@ -6,6 +6,7 @@ from fleetlens.functions import tsql
 from fleetlens.operators import rules
 
 FIRES = {
+    "hygiene.select_star": ("SELECT TOP 5 * FROM a", "SELECT a FROM b WHERE c IN (SELECT * FROM d)"),
     "hygiene.at_at_identity": ("SELECT @@IDENTITY", "SELECT SCOPE_IDENTITY() -- @@IDENTITY"),
     "hygiene.global_temp_table": ("SELECT a INTO ##t FROM b", "INSERT INTO ##t SELECT a FROM b"),
     "sarg.datetime_fn_between": ("SELECT a FROM b WHERE YEAR(b.c) BETWEEN 1 AND 2", "SELECT a FROM b WHERE c BETWEEN 1 AND 2"),
