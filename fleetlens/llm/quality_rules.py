@@ -1,9 +1,9 @@
 """Quality rules by compression bands.
 
-Each text is compressed by zstandard as a whole and in fixed chunks. A ratio of
-raw to compressed bytes above its band means repetition, one below it noise. The
-bands follow the length, since a frame has a fixed cost and longer texts share
-more. One pass over the rows; nothing is shuffled.
+Each text is compressed by zstandard as a whole and in fixed chunks, the last
+partial one too. A ratio of raw to compressed bytes above its band means
+repetition, one below it noise. The bands follow the length, since a frame has a
+fixed cost and longer texts share more. One pass over the rows; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm._common import batch_of, chunks, map_batches, texts
 
 LEVEL = 3
-CHUNK = 4096
+CHUNK = 1024
 #: (bytes up to, lowest ratio, highest ratio) of whole texts, prose being about the middle; shorter texts aren't judged by their ratio.
 BANDS = [
     (64, 0.0, 99.0),
@@ -34,9 +34,19 @@ BANDS = [
     (16384, 1.7, 5.0),
     (1 << 62, 1.8, 6.0),
 ]
-#: The same for a full chunk of a longer text, and the share of a text's full chunks that may lie outside.
-CHUNK_BAND = (1.4, 5.0)
-BAD_CHUNKS = 0.25
+#: The same for chunks: lower limits lie between prose and base64 of that length. A last piece of 64 bytes or less isn't judged.
+CHUNK_BANDS = [
+    (64, 0.0, 99.0),
+    (128, 0.75, 2.2),
+    (192, 1.06, 2.4),
+    (256, 1.12, 2.6),
+    (384, 1.2, 3.0),
+    (512, 1.26, 3.0),
+    (768, 1.3, 3.4),
+    (1024, 1.33, 3.4),
+]
+#: The share of a text's bytes that may lie in chunks outside their band.
+BAD_SHARE = 0.1
 _SPACE = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
 _LINE = re.compile(rb"[^\x20\x09-\x0D]")
@@ -80,15 +90,24 @@ def base_counts(t: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
+def _band(bands: list[tuple[int, float, float]], n: int) -> tuple[float, float]:
+    return next((a, b) for upto, a, b in bands if n <= upto)
+
+
+def _fits(chunk: bytes, z: zstandard.ZstdCompressor) -> bool:
+    low, high = _band(CHUNK_BANDS, len(chunk))
+    return low <= len(chunk) / len(z.compress(chunk)) <= high
+
+
 def judge(t: bytes, z: zstandard.ZstdCompressor) -> tuple[float, int, bool]:
-    """Ratio of the whole text, its full chunks outside their band, and whether it passes."""
+    """Ratio of the whole text, its chunks outside their band, and whether it passes."""
     if not t:
         return 0.0, 0, False
     ratio = len(t) / len(z.compress(t))
-    low, high = next((a, b) for upto, a, b in BANDS if len(t) <= upto)
-    full = len(t) // CHUNK if len(t) >= 2 * CHUNK else 0
-    bad = sum(not CHUNK_BAND[0] <= CHUNK / len(z.compress(t[i * CHUNK : (i + 1) * CHUNK])) <= CHUNK_BAND[1] for i in range(full))
-    return ratio, bad, low <= ratio <= high and bad <= BAD_CHUNKS * full
+    low, high = _band(BANDS, len(t))
+    pieces = [t[i : i + CHUNK] for i in range(0, len(t), CHUNK)]
+    bad = [len(x) for x in pieces if not _fits(x, z)]
+    return ratio, len(bad), low <= ratio <= high and sum(bad) <= BAD_SHARE * len(t)
 
 
 def _judged(raw: list[bytes]) -> list[tuple]:

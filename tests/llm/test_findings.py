@@ -41,3 +41,21 @@ def test_near_copies_of_nulls_and_repeated_ids(spark):
     rows = [(1, None), (2, ""), (3, "One two"), (4, "one  two"), (5, "c d e f g h"), (5, "i j k l m n"), (None, "one two"), (None, "alone here"), (None, "alone here")]
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, None), (3, "One two"), (5, "c d e f g h"), (5, "i j k l m n"), (None, "alone here")]))
+
+
+
+def test_noise_at_the_end_of_short_and_middling_texts(spark):
+    import base64
+
+    from fleetlens.llm import quality_rules
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").select("doc_id", "text")
+    clean = [(r["doc_id"], r["text"]) for r in quality_rules.keep_good(docs).collect() if 2000 < len(r["text"].encode()) < 7000]
+    noise = base64.b64encode(random.Random(7).randbytes(1125)).decode()
+    rows = [(i, f"{t} {noise}") for i, t in clean]
+    assert len(rows) > 10
+    kept = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert kept == 0
+    # a last partial chunk alone
+    last = [(i, t.encode()[:4096].decode(errors="ignore") + noise[:700]) for i, t in clean if len(t.encode()) > 4096]
+    assert last and quality_rules.keep_good(spark.createDataFrame(last, "doc_id long, text string")).count() == 0
