@@ -1,7 +1,7 @@
 """Licence scans by sentence rules.
 
-Each text is cut into sentences, the sentences are normalised, and those that a
-table knows become identifiers. Licence rules are ordered: each is a sequence of
+Each text is cut into sentences, wrapped and commented lines joined, the
+sentences are normalised, and those that a table knows become identifiers. Licence rules are ordered: each is a sequence of
 identifiers that must stand in this order in a text, others between them
 allowed. All of it is one projection of the row: no shuffle, no join, and the
 known tables are constants of a few dozen entries.
@@ -38,6 +38,17 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "all rights reserved": "reserved-notice",
 }
+#: Whole sentences of the texts as they are published, with the variants in use; the SQL has only those above.
+WHOLE_SENTENCES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-condition",
+    **{f"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and {x}": "mit-warranty" for x in ("noninfringement", "non infringement")},
+    **{f"neither the name of {x} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse" for x in ("the copyright holder", "the copyright holders", "the copyright owner", "the author", "the organization", "the university", "the project", "the company")},
+    "neither the name of the copyright holder nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
+    **{f"{begin}you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {n} of the license or at your option any later version": f"gpl{n}-or-later-grant" for begin in ("", "this program is free software ") for n in (2, 3)},
+    **{f"you may obtain a copy of the license at {x} www apache org licenses license 2 0": "apache2-copy" for x in ("http", "https")},
+}
 #: Licence rules in order of precedence: (licence, identifiers in the order they must have).
 LICENSE_RULES = [
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty"]),
@@ -53,20 +64,59 @@ LICENSE_RULES = [
     ("CC-BY-4.0", ["cc-by4-notice"]),
     ("All-rights-reserved", ["reserved-notice"]),
 ]
-#: A sentence ends at a line's end, or at . ! ? ; before white space.
-SENTENCE_END = "[\\n\\r]+|[.!?;][\\x20\\t]+"
-NOT_WORD = "[^a-z0-9\\x{80}-\\x{10FFFF}]+"
+#: The same with the rules of whole sentences, each before the rule that it is closest to.
+_WHOLE_RULES = {
+    "BSD-2-Clause": ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    "GPL-3.0-or-later": ("GPL-3.0-or-later", ["gpl3-or-later-grant"]),
+    "GPL-2.0-or-later": ("GPL-2.0-or-later", ["gpl2-or-later-grant"]),
+}
+ALL_RULES = [r for rule in LICENSE_RULES for r in (_WHOLE_RULES.get(rule[0]), rule) if r]
+#: What isn't a word: typographic quotes are left out like the plain ones.
+NOT_WORD = "[^a-z0-9\\x{80}-\\x{2017}\\x{2020}-\\x{10FFFF}]+"
+_NO_WORD = "[^a-z0-9\\x{80}-\\x{10FFFF}\\n]*"
+#: A sentence ends at . ! ? ; before white space, at a line without words (those of comment leaders too), and at the colon of a grant or of a list of conditions.
+SENTENCE_END = f"[.!?;][\\x20\\t\\n\\r]+|\\n{_NO_WORD}(?:(?:dnl|rem){_NO_WORD})?\\n|(?<=free software|conditions are met):"
+#: Comment leaders that are words.
+_LEADER = "(?:^|[\\n\\r])[\\x20\\t]*(?:dnl|rem)[\\x20\\t]"
+#: Lines that a known sentence may stand on below others of its block.
+_WRAPPED = 100
 
 
 def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
-    """The identifiers of known sentences in order, repeats included. Null and empty texts give an empty array."""
-    known = SENTENCES if known is None else known
+    """The identifiers of known sentences in order, repeats included. Null and empty texts give an empty array.
+
+    A sentence over several lines is looked up whole; one that the table lacks
+    is looked up line by line, and from each line on to its end, as headings
+    and notices on lines of their own often have no full stop.
+    """
+    known = SENTENCES | WHOLE_SENTENCES if known is None else known
     pairs = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    sentences = F.split(ascii_lower(F.coalesce(text, F.lit(""))), SENTENCE_END)
-    # the words of a sentence, one blank between them; few sentences are of a length that the table has
+    # few sentences are of a length that the table has
     longest, shortest = max(map(len, known)), min(map(len, known))
-    likely = F.filter(sentences, lambda s: (F.length(s) >= shortest) & (F.length(s) <= 2 * longest))
-    return F.filter(F.transform(likely, lambda s: F.try_element_at(pairs, F.trim(F.regexp_replace(s, NOT_WORD, " ")))), lambda x: x.isNotNull())
+
+    def fits(s: Column) -> Column:
+        return (F.length(s) >= shortest) & (F.length(s) <= 2 * longest)
+
+    def look(s: Column) -> Column:
+        return F.when(fits(s), F.try_element_at(pairs, F.trim(F.regexp_replace(F.regexp_replace(s, _LEADER, " "), NOT_WORD, " "))))
+
+    def found(*ids: Column) -> Column:
+        return F.filter(F.array(*ids), lambda x: x.isNotNull())
+
+    def by_lines(lines: Column) -> Column:
+        def from_line(x: Column, i: Column) -> Column:
+            left = F.size(lines) - i
+            return found(look(x), F.when((i > 0) & (left > 1) & (left <= _WRAPPED), look(F.array_join(F.slice(lines, i + 1, left), "\n"))))
+
+        return F.flatten(F.transform(lines, from_line))
+
+    def of_sentence(s: Column) -> Column:
+        whole = found(look(s))
+        return F.when(~s.rlike("[\\n\\r]") | (F.size(whole) > 0), whole).otherwise(F.flatten(F.transform(F.array(F.split(s, "[\\n\\r]+")), by_lines)))
+
+    sentences = F.split(ascii_lower(F.coalesce(text, F.lit(""))), SENTENCE_END)
+    likely = F.filter(sentences, lambda s: fits(s) | ((F.length(s) > 2 * longest) & s.rlike("[\\n\\r]")))
+    return F.flatten(F.transform(likely, of_sentence))
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -79,7 +129,7 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None, rules: l
     Repeated rows come back as often; extra columns are left aside.
     """
     ids = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    found = [(name, ids.rlike(".*".join(f",{x}(?=,)" for x in seq))) for name, seq in (LICENSE_RULES if rules is None else rules)]
+    found = [(name, ids.rlike(".*".join(f",{x}(?=,)" for x in seq))) for name, seq in (ALL_RULES if rules is None else rules)]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(hit, name) for name, hit in found]), lambda x: x.isNotNull())))
     first = F.coalesce(*[F.when(hit, name) for name, hit in found])
     # the sequence is computed once, by row, before the rules read it

@@ -59,3 +59,77 @@ def test_noise_at_the_end_of_short_and_middling_texts(spark):
     # a last partial chunk alone
     last = [(i, t.encode()[:4096].decode(errors="ignore") + noise[:700]) for i, t in clean if len(t.encode()) > 4096]
     assert last and quality_rules.keep_good(spark.createDataFrame(last, "doc_id long, text string")).count() == 0
+
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD2 = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL3 = """Foo does things
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+"""
+GPL2 = """Foo is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+LICENCES = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "Apache-2.0": APACHE}
+
+
+def test_published_licence_texts(spark):
+    from fleetlens.llm import license_scans
+
+    def commented(text, begin, leader, end):
+        return begin + "".join(f"{leader} {x}".rstrip() + "\n" for x in text.splitlines()) + end
+
+    shapes = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: " ".join(t.split("\n")), lambda t: commented(t, "/*\n", " *", " */\nint x;\n"), lambda t: commented(t, "", "#", "import os\n"), lambda t: commented(t, "", "//", "\nx()\n"), lambda t: commented(t, "", "dnl", "AC_INIT\n"), lambda t: t.replace('"', "”")]
+    rows = [(100 * i + j, shape(t)) for i, t in enumerate(LICENCES.values()) for j, shape in enumerate(shapes) if not (j == 2 and t is not GPL2)]
+    got = {r["doc_id"]: r["license"] for r in license_scans.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = list(LICENCES)
+    assert got == {i: names[i // 100] for i, _ in rows}
