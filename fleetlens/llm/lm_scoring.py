@@ -200,8 +200,9 @@ class Chunk:
             if i < n and int(unique[i]) == h:
                 wide[i] = fan
         pair_shard = (home[context] + (keys % wide[context].astype(np.uint64)).astype(np.int64)) % shards
-        # words go to their own shard and to those of their pairs; sorted by shard and word
-        everyone = np.unique(np.concatenate([home * n + np.arange(n), pair_shard * n + context]))
+        # words go to their own shard and to those of their pairs, leaders to all they are spread over, as counts there add up over chunks; sorted by shard and word
+        spread = [(home[i] + np.arange(wide[i])) % shards * n + i for i in np.flatnonzero(wide > 1)]
+        everyone = np.unique(np.concatenate([home * n + np.arange(n), pair_shard * n + context, *spread]))
         self.entry_shard, entry = everyone // n, everyone % n
         is_begin = unique[entry] == read_hashes([BEGIN])[0]
         self.entry = entry

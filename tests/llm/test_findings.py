@@ -133,3 +133,17 @@ def test_published_licence_texts(spark):
     got = {r["doc_id"]: r["license"] for r in license_scans.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     names = list(LICENCES)
     assert got == {i: names[i // 100] for i, _ in rows}
+
+
+
+def test_leaders_with_few_followers_over_many_shards(spark):
+    import pytest
+
+    from fleetlens.llm import lm_scoring
+    from test_operators import plain_scores
+
+    rows = [(i, f"the x{i} " * 40) for i in range(40)]
+    want = dict(plain_scores(rows))
+    for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=200, chunk_bytes=800).collect():
+        w = want[r["doc_id"]]
+        assert r["score"] == pytest.approx(w[5], rel=0.02, abs=0.02 * w[1])
