@@ -4,7 +4,7 @@ Windows of each benchmark item are hashed into a sorted table that every task
 gets; training texts are scanned for windows whose hash is in it, and each hit
 is verified word by word. The broadcast is bounded by ``block_bytes`` of their
 text: a larger benchmark is scanned in several blocks, each broadcast on
-its own, and the hits of the blocks are merged.
+its own, and each row passes through the blocks one after another.
 """
 
 from __future__ import annotations
@@ -105,33 +105,37 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     ``benchmark`` is (item_id, text). A window is ``window`` consecutive words of
     an item, or all words of a shorter item; ``spans`` are the hit words' runs as
     [first, end). Null texts have no words, and an item without words or with a
-    null id hits nothing. Repeated rows come back as often while the benchmark
-    fits one block; beyond it, rows that agree in doc_id and text are one.
+    null id hits nothing. Rows come back one by one, repeated ones as often.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
-    for block in _blocks(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text"), block_bytes):
-        shared = spark.sparkContext.broadcast(block)  # at most block_bytes of text, or one item
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.lit(None).cast(t).alias(c) for c, t in (("items", "array<string>"), ("spans", "array<array<long>>"))])
+    blocks = _blocks(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text"), block_bytes)
+    following = next(blocks)
+    while following is not None:
+        shared = spark.sparkContext.broadcast(following)  # at most block_bytes of text, or one item
+        following = next(blocks, None)
+        last = following is None
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value, window)
             for b in chunks(batches):
                 words = [words_of(t) for t in texts(b.column("text"))]
                 hit, items = windows.scan(words)
                 ends = np.cumsum([len(w) + 1 for w in words]) - 1
                 own = [hit[e - len(w) : e] for e, w in zip(ends, words, strict=True)]
-                yield batch_of(SCHEMA, [b.column("doc_id"), [len(w) for w in words], [int(x.sum()) for x in own], [sorted(x) for x in items], [_runs(x) for x in own]])
-
-        found.append(map_batches(docs, scan, DDL))
-    if len(found) == 1:
-        return found[0]
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    merged = every.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s[0], s[1] - 1))))
-    return merged.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), "items", "spans")
+                # what the blocks before have hit
+                for x, names, old_names, old in zip(own, items, b.column("items").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                    names.update(old_names or [])
+                    for i, j in old or []:
+                        x[i:j] = True
+                items, spans = [sorted(x) for x in items], [_runs(x) for x in own]
+                if last:
+                    yield batch_of(SCHEMA, [b.column("doc_id"), [len(w) for w in words], [int(x.sum()) for x in own], items, spans])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *[pa.array(x, SCHEMA.field(c).type) for c, x in (("items", items), ("spans", spans))]], names=["doc_id", "text", "items", "spans"])
+
+        found = map_batches(found, scan, DDL if last else "doc_id long, text string, items array<string>, spans array<array<long>>")
+    return found
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

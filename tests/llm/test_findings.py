@@ -147,3 +147,15 @@ def test_leaders_with_few_followers_over_many_shards(spark):
     for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=200, chunk_bytes=800).collect():
         w = want[r["doc_id"]]
         assert r["score"] == pytest.approx(w[5], rel=0.02, abs=0.02 * w[1])
+
+
+
+def test_rows_that_share_a_doc_id_stay_apart_over_blocks(spark):
+    from fleetlens.llm import decontamination
+
+    rows = [(None, "a one two b"), (None, "c three four d"), (None, "e f g h"), (1, "one two three four"), (1, "one two three four"), (1, "three four x y"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("p", "one two"), ("q", "three four"), ("r", "two three")], "item_id string, text string")
+    found = lambda n: sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["spans"])) for r in decontamination.find_hits(docs, bench, block_bytes=n).collect())
+    assert found(1) == found(1 << 20)
+    assert len(found(1)) == len(rows)
