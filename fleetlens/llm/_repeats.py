@@ -28,11 +28,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from fleetlens.llm._common import CHUNK_BYTES, chunks, for_group, for_groups, map_batches
 
 BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Symbols that are hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
@@ -108,57 +110,102 @@ class Segments:
         return Segments(self.doc[i], self.start[i], self.windows[i], self.anchor[i], self.raw, self.at[i], self.size[i])
 
 
-def segments_of(s: Symbols, w: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first symbol, windows, anchor's offset, anchor's hash) of each segment, texts cut into pieces of bounded size."""
-    found = []
-    starts = np.cumsum(s.counts) - s.counts
-    group, bounds = [], []
-    for d, (a, n) in enumerate(zip(starts.tolist(), s.counts.tolist(), strict=True)):
-        for p in range(0, max(n - w + 1, 0), PIECE):
-            group.append((d, a, a + p, min(a + p + PIECE + w - 1, a + n)))
+#: Symbols that are hashed before the next ones, so that they stay in the processor's cache.
+_BLOCK = 1 << 15
+
+
+def _least_grams(values: np.ndarray, w: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the hash of its m-gram, and for each window the least hash's high bits with its place below."""
+    n = len(values)
+    h, least = np.empty(n - m + 1, np.uint64), np.empty(n - w + 1, np.uint64)
+    for i in range(0, n - w + 1, _BLOCK):
+        own = grams(values[i : i + _BLOCK + w - 1], m)
+        h[i : i + len(own)] = own
+        least[i : i + _BLOCK] = sliding_min((own & ~_LOW) | np.arange(i, i + len(own), dtype=np.uint64), w - m + 1)
+    return h, least
+
+
+def _pieces(counts: np.ndarray, w: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first symbol, end, texts, their starts, their ends) of stretches of about PIECE symbols; a longer text is cut so that each window is in one stretch."""
+    ends = np.cumsum(counts)
+    starts = ends - counts
     i = 0
-    while i < len(group):
-        j, total = i, 0
-        while j < len(group) and (j == i or total + group[j][3] - group[j][2] <= PIECE):
-            total += group[j][3] - group[j][2]
-            j += 1
-        bounds.append((i, j))
+    while i < len(counts):
+        if counts[i] >= PIECE:
+            for p in range(int(starts[i]), int(ends[i]) - w + 1, PIECE):
+                e = min(p + PIECE + w - 1, int(ends[i]))
+                yield p, e, np.array([i]), np.array([p]), np.array([e])
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
+        yield int(starts[i]), int(ends[j - 1]), np.arange(i, j), starts[i:j], ends[i:j]
         i = j
-    for i, j in bounds:
-        own = np.array(group[i:j], np.int64)
-        size = own[:, 3] - own[:, 2]
-        place = gather(own[:, 2], size)
-        piece = np.repeat(np.arange(j - i), size)
-        h = grams(s.values[place], m)
-        key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-        best = (sliding_min(key, w - m + 1) & _LOW).astype(np.int64)
-        valid = np.flatnonzero(piece[w - 1 :] == piece[: len(piece) - w + 1])
-        best = best[valid]
-        new = np.concatenate([[True], (best[1:] != best[:-1]) | (piece[valid[1:]] != piece[valid[:-1]])])
-        first = np.flatnonzero(new)
-        n = np.diff(np.concatenate([first, [len(valid)]]))
-        at, anchor = valid[first], best[first]
-        p = piece[at]
-        found.append((own[p, 0], place[at] - own[p, 1], n, anchor - at, h[anchor]))
+
+
+def segments_of(s: Symbols, w: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first symbol, windows, anchor's offset, anchor's hash) of each segment, found in pieces of bounded size."""
+    found = []
+    first = np.cumsum(s.counts) - s.counts
+    for begin, end, text, starts, ends in _pieces(s.counts, w):
+        if end - begin < w:
+            continue
+        h, least = _least_grams(s.values[begin:end], w, m)
+        starts, last = starts - begin, np.maximum(ends - begin - w + 1, starts - begin)  # windows start in [starts, last)
+        cut = np.zeros(len(least) + 1, bool)
+        cut[1:-1] = least[1:] != least[:-1]
+        cut[starts[starts < len(cut)]] = True
+        cut[last[last < len(cut)]] = True
+        at = np.flatnonzero(cut[:-1])
+        stop = np.append(at[1:], len(least))
+        own = np.searchsorted(starts, at, "right") - 1
+        ok = (own >= 0) & (at < last[own])
+        at, stop, own = at[ok], stop[ok], own[ok]
+        anchor = (least[at] & _LOW).astype(np.int64)
+        found.append((text[own], at + begin - first[text[own]], stop - at, anchor - at, h[anchor]))
     if not found:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending different values and how often each occurs."""
+    a = np.sort(a)
+    head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    return a[head], np.diff(np.append(head, len(a)))
+
+
+def again(a: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    by = np.argsort(a, kind="stable")
+    same, out = a[by[1:]] == a[by[:-1]], np.zeros(len(a), bool)
+    out[by[1:][same]] = True
+    out[by[:-1][same]] = True
+    return out
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def prefix_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Polynomial prefix hashes of the values, and the powers of the base; both have one entry more than the values."""
-    power = np.full(len(values) + 1, BASE)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
+    power = powers(BASE, len(values) + 1)
     prefix = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * power[:-1], out=prefix[1:])
     return prefix, power
 
 
-def content_hash(values: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """A hash of each stretch of symbols, not of its place."""
-    prefix, power = prefix_hashes(values)
-    return mixed((prefix[at + size] - prefix[at]) * power[len(values) - at])
+class Stretches:
+    """Hashes of stretches of symbols that tell their content, not their place, alike in every text."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.prefix, _ = prefix_hashes(values)
+        self.shift = powers(_INVERSE, len(values) + 1)
+
+    def hash(self, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return mixed((self.prefix[at + size] - self.prefix[at]) * self.shift[at])
 
 
 def dense_order(rank: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -170,12 +217,17 @@ def dense_order(rank: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Whether the bytes at a and b agree."""
+    """Whether the bytes at a and b agree; eight at a time, the last eight of a stretch overlapping those before."""
     out = size == size_b
-    i = np.flatnonzero(out & (size > 0))
+    i = np.flatnonzero(out & (size >= 8))
     if len(i):
-        n = size[i]
-        out[i] = np.logical_and.reduceat(raw[gather(a[i], n)] == raw[gather(b[i], n)], np.cumsum(n) - n)
+        eight = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,))
+        n = (size[i] + 7) >> 3
+        ends = np.cumsum(n)
+        step = np.minimum(8 * (np.arange(ends[-1]) - np.repeat(ends - n, n)), np.repeat(size[i] - 8, n))
+        out[i] = np.logical_and.reduceat(eight[np.repeat(a[i], n) + step] == eight[np.repeat(b[i], n) + step], ends - n)
+    for j in np.flatnonzero(out & (size < 8) & (size > 0)).tolist():
+        out[j] = bytes(raw[a[j] : a[j] + size[j]]) == bytes(raw[b[j] : b[j] + size[j]])
     return out
 
 
@@ -258,16 +310,15 @@ def anchors_again(packed: DataFrame, read: Read, w: int, m: int, n_shards: int)
 
     def ask(t: pa.Table) -> pa.Table:
         z, raw = zstandard.ZstdCompressor(level=1), _row_bytes(t.column("_text"))
-        key = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(_asked(segments_of(read(raw[x]), w, m)[4], n_shards)) for x in _slices(raw))]))
+        key, _ = distinct(np.concatenate([np.zeros(0, np.int64), *(distinct(_asked(segments_of(read(raw[x]), w, m)[4], n_shards))[0] for x in _slices(raw))]))
         chunk = t.column("_chunk")[0].as_py()
         rows = [(int(key[a] >> 32), chunk, pack([key[a:b].astype(np.uint32)], z)) for a, b in _cut_by(key >> 32)]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["shard", "chunk", "grams"])
 
     def answer(t: pa.Table) -> pa.Table:
         lists = [unpack(x, [np.uint32])[0] for x in t.column("grams").to_pylist()]
-        _, back, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        again = np.split(times[back] > 1, np.cumsum([len(x) for x in lists])[:-1])
-        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "again": pa.array([np.packbits(x).tobytes() for x in again], pa.binary())})
+        bits = np.split(again(np.concatenate(lists)), np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "again": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
 
     return packed.groupBy("_chunk").applyInArrow(for_group(ask), "shard int, chunk int, grams binary").groupBy("shard").applyInArrow(for_group(answer), "chunk int, shard int, again binary")
 
@@ -278,13 +329,8 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
     packed: _id, _key, _chunk, _text (compressed) if anchors are asked for first, else _id, _key, text.
     """
 
-    def deal_rows(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], z: zstandard.ZstdCompressor, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        s = read(texts)
-        doc, start, windows, anchor, h = segments_of(s, w, m)
-        if only is not None and len(doc):
-            key = _asked(h, n_shards)
-            i = np.flatnonzero(only[np.minimum(np.searchsorted(only, key), len(only) - 1)] == key) if len(only) else np.zeros(0, np.int64)
-            doc, start, windows, anchor, h = doc[i], start[i], windows[i], anchor[i], h[i]
+    def deal_rows(ids: np.ndarray, keys: np.ndarray, s: Symbols, segments: tuple, z: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+        doc, start, windows, anchor, h = segments
         if not len(doc):
             return
         at = (np.cumsum(s.counts) - s.counts)[doc] + start
@@ -292,7 +338,7 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
         rank = _doc_order(ids, keys, by_row)[doc]
         order = dense_order(rank, start)
         begin, end = s.begin[at], s.end[at + size - 1]
-        done = settle(content_hash(s.values, at, size) ^ h, order if by_row else rank, order, s.raw, begin, end - begin)
+        done = settle(Stretches(s.values).hash(at, size) ^ h, order if by_row else rank, order, s.raw, begin, end - begin)
         shard = _shards(h, n_shards)
         by = np.lexsort((start, doc, shard))
         out, raw = [], s.raw.tobytes()
@@ -307,18 +353,24 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in chunks(batches, limit=2 * CHUNK_BYTES):  # larger blobs compress better
-            yield from deal_rows(b.column("_id").to_numpy(), b.column("_key").to_numpy(), [x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()], z)
+            s = read([x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()])
+            yield from deal_rows(b.column("_id").to_numpy(), b.column("_key").to_numpy(), s, segments_of(s, w, m), z)
 
     def deal_again(left: pa.Table, right: pa.Table) -> pa.Table:
         z, raw = zstandard.ZstdCompressor(level=3), _row_bytes(left.column("_text"))
         ids, keys = left.column("_id").to_numpy(), left.column("_key").to_numpy()
-        own = [_asked(segments_of(read(raw[x]), w, m)[4], n_shards) for x in _slices(raw)]
-        key, times = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
-        again = times > 1
+        segments = [segments_of(read(raw[x]), w, m) for x in _slices(raw)]
+        own = [_asked(x[4], n_shards) for x in segments]
+        key, times = distinct(np.concatenate([np.zeros(0, np.int64), *own]))
+        twice = times > 1
         for s, bits in zip(right.column("shard").to_pylist(), right.column("again").to_pylist(), strict=True):
             a, b = np.searchsorted(key, [s << 32, (s + 1) << 32])
-            again[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        found = [y for x in _slices(raw) for y in deal_rows(ids[x], keys[x], raw[x], z, key[again])]
+            twice[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        found = []
+        for i, x in enumerate(_slices(raw)):
+            chosen = np.flatnonzero(twice[np.searchsorted(key, own[i])])
+            kept, segments[i], own[i] = tuple(y[chosen] for y in segments[i]), (), own[i][:0]
+            found += deal_rows(ids[x], keys[x], read(raw[x]), kept, z)
         return pa.Table.from_batches(found, pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("meta", pa.binary()), ("text", pa.binary())]))
 
     def settle_shard(t: pa.Table) -> pa.Table:
@@ -374,18 +426,18 @@ def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return doc[first], a[first], reach[last]
 
 
-def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callable, w: int, m: int, by_row: bool, shard_bytes: int, chunk_bytes: int, fields: str, ask_first: bool = False) -> DataFrame:
-    """``docs`` with all its columns and those that ``keep`` makes, named in ``fields``.
+def with_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callable, w: int, m: int, by_row: bool, shard_bytes: int, chunk_bytes: int, fields: str, ask_first: bool = False) -> DataFrame:
+    """(row, text, made): ``docs`` with its other columns in one struct, so that no name of theirs matters here, and what ``keep`` makes, named in ``fields``.
 
     keep(text bytes or None, stretches) gives the values of ``fields`` for a row.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_shards, n_chunks = max(1, -(-total // shard_bytes)), max(1, -(-total // chunk_bytes))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID))).withColumn("_key", F.xxhash64("doc_id", "text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    keyed = docs.select(row.alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("_id"), F.xxhash64("doc_id", "text").alias("_key"))
     left = squeezed(keyed).withColumn("_chunk", F.pmod("_key", F.lit(n_chunks)).cast("int"))
-    cuts = find_cuts(left if ask_first else keyed.select("_id", "_key", "text"), read, resolve, w, m, by_row, n_shards, n_chunks, ask_first)
-    columns = docs.columns
-    schema = docs.selectExpr("*", *[f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in fields.split(", ")]).schema
+    cuts = find_cuts(left.select("_id", "_key", "_chunk", "_text") if ask_first else keyed.select("_id", "_key", "text"), read, resolve, w, m, by_row, n_shards, n_chunks, ask_first)
+    schema = keyed.selectExpr("row", "text", *[f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in fields.split(", ")]).schema
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[tuple[int, int], list] = {}
@@ -395,11 +447,10 @@ def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callabl
                 found.setdefault((i, k), []).append((x, y))
         d = zstandard.ZstdDecompressor()
         rows = []
-        packed = left.column("_text").to_pylist()
-        text = [None if x is None else d.decompress(x) for x in packed]
+        text = [None if x is None else d.decompress(x) for x in left.column("_text").to_pylist()]
         for i, k, t in zip(left.column("_id").to_pylist(), left.column("_key").to_pylist(), text, strict=True):
             rows.append(keep(t, found.get((i, k), [])))
-        out = {c: left.column(c) if c != "text" else pa.array([None if t is None else t.decode() for t in text], pa.string()) for c in columns}
+        out = {"row": left.column("row"), "text": pa.array([None if t is None else t.decode() for t in text], pa.string())}
         for f, values in zip(fields.split(", "), zip(*rows, strict=True) if rows else [[]] * len(fields.split(", ")), strict=True):
             name, kind = f.split()
             out[name] = pa.array(values, {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[kind])
@@ -408,6 +459,14 @@ def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callabl
     return left.groupBy("_chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(for_groups(finish), schema)
 
 
+def remove_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callable, w: int, m: int, by_row: bool, shard_bytes: int, chunk_bytes: int, fields: str, ask_first: bool = False) -> DataFrame:
+    """``docs`` with its columns and those that ``keep`` makes, which replace columns of their names."""
+    found = with_repeats(docs, read, resolve, keep, w, m, by_row, shard_bytes, chunk_bytes, fields, ask_first)
+    made = [f.split()[0] for f in fields.split(", ")]
+    old = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in made]
+    return found.select(*old, *made)
+
+
 def squeezed(docs: DataFrame) -> DataFrame:
     """``docs`` with _text, the compressed text, in text's place, so that it is small in a shuffle."""
 
@@ -418,7 +477,33 @@ def squeezed(docs: DataFrame) -> DataFrame:
             packed = [None if x is None else z.compress(x) for x in b.column("text").cast(pa.large_binary()).to_pylist()]
             yield b.set_column(i, pa.field("_text", pa.binary()), pa.array(packed, pa.binary()))
 
-    return map_batches(docs, squeeze, ", ".join("_text binary" if f.name == "text" else f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_batches(docs, squeeze, StructType([StructField("_text", BinaryType()) if f.name == "text" else f for f in docs.schema.fields]))
+
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: A 64-bit value for each byte.
+BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_symbols(raw: list[bytes]) -> Symbols:
+    """The words of some texts, each followed by one blank in ``raw``, which counts as its end; values are hashes of their bytes."""
+    a = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    space = _SPACES[a]
+    last = space.copy()  # a blank after a word
+    last[1:] &= ~space[:-1]
+    last[:1] = False
+    text = np.where(space, np.uint8(32), a)[~space | last]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    before = np.searchsorted(np.flatnonzero(last), np.cumsum(size + 1))
+    begin, end = word_places(text)
+    return Symbols(Stretches(BYTE[text]).hash(begin, end - begin), text, begin, end + 1, np.diff(before, prepend=0))
+
+
+def word_places(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[begin, end) of each word of a text where one blank follows each."""
+    end = np.flatnonzero(text == 32)
+    return np.concatenate([[0], end[:-1] + 1]) if len(end) else end, end
 
 
 #: Word hashes that a worker keeps.

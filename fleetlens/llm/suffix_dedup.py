@@ -15,18 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import _repeats
-from fleetlens.llm._repeats import Segments, Symbols, gather
+from fleetlens.llm._repeats import BYTE, Segments, Symbols, gather
 
 WINDOW = 50
 #: Long enough that prose repeats few by chance, at half of the window.
 _GRAM = 24
-_BYTE = _repeats.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def read_bytes(raw: list[bytes]) -> Symbols:
     a = np.frombuffer(b"".join(raw), np.uint8)
     place = np.arange(len(a) + 1)
-    return Symbols(_BYTE[a], a, place[:-1], place[1:], np.array([len(x) for x in raw], np.int64))
+    return Symbols(BYTE[a], a, place[:-1], place[1:], np.array([len(x) for x in raw], np.int64))
 
 
 class PrefixHashes:
@@ -34,9 +33,9 @@ class PrefixHashes:
 
     def __init__(self, text: np.ndarray, window: int) -> None:
         self.text, self.window = text, window
-        self.prefix, self.power = _repeats.prefix_hashes(_BYTE[text])
+        self.prefix, self.power = _repeats.prefix_hashes(BYTE[text])
         # the hash of each whole window, where the searches begin
-        self.whole = _repeats.grams(_BYTE[text], window)
+        self.whole = _repeats.grams(BYTE[text], window)
 
     def equal(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         """Whether the hashes of ``size`` bytes at a and b agree, both shifted to one power."""
@@ -108,20 +107,20 @@ def _resolver(w: int):
     def resolve(seg: Segments, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Stretches to remove. rank: of the doc_id."""
         order = _repeats.dense_order(rank, seg.start)
-        values = _BYTE[seg.raw]
+        values = BYTE[seg.raw]
         # anchors that occur once can't have an equal window elsewhere; equal segments are settled by the smallest document
-        h = _repeats.content_hash(values, seg.at + seg.anchor, _GRAM)
-        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        left = np.flatnonzero(times[back] > 1)
+        stretches = _repeats.Stretches(values)
+        h = stretches.hash(seg.at + seg.anchor, _GRAM)
+        left = np.flatnonzero(_repeats.again(h))
         if not len(left):
             return [(np.zeros(0, np.int64),) * 3]
         some, rank = seg.take(left), rank[left]
-        g = _repeats.content_hash(values, some.at, some.size)
+        g = stretches.hash(some.at, some.size)
         done = _repeats.settle(g, rank, order[left], some.raw, some.at, some.size)
         cuts = [(some.doc[done], some.start[done], some.start[done] + some.size[done])]
         some, rank, h = some.take(~done), rank[~done], h[left][~done]
-        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
-        some, rank = some.take(times[back] > 1), rank[times[back] > 1]
+        twice = _repeats.again(h)
+        some, rank = some.take(twice), rank[twice]
         if not len(rank):
             return cuts
         text = some.raw[gather(some.at, some.size)]
@@ -131,11 +130,8 @@ def _resolver(w: int):
         hashes = PrefixHashes(text, w)
         # suffixes whose window's hash is alone can't be equal to another; the sort leaves them out
         whole = hashes.whole[at]
-        by = np.argsort(whole, kind="stable")
-        same = whole[by[1:]] == whole[by[:-1]]
-        again = np.zeros(len(at), bool)
-        again[by[1:][same]] = again[by[:-1][same]] = True
-        at, owner = at[again], owner[again]
+        twice = _repeats.again(whole)
+        at, owner = at[twice], owner[twice]
         if not len(at):
             return cuts
         of = np.full(len(text), -1, np.int64)
@@ -172,9 +168,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, shard_bytes: in
 
     A byte goes if it lies in a string of ``window`` bytes that also starts in a
     text with a smaller doc_id. A null doc_id comes before all others; rows that
-    share a doc_id don't count for each other. A null text is empty. Input
-    columns may not be named n_bytes, n_removed, n_spans, kept, or with a leading
-    underscore; ``docs`` is cut to fit by the caller.
+    share a doc_id don't count for each other. A null text is empty. Made columns
+    take the place of input columns of their name, in any case of letters; all
+    other input columns are handed on.
     """
     return _repeats.remove_repeats(docs, read_bytes, _resolver(window), _keep, window, _GRAM, False, shard_bytes, chunk_bytes, "n_bytes long, n_removed long, n_spans long, kept binary", ask_first=True)
 
@@ -190,5 +186,5 @@ def keep_unrepeated(docs: DataFrame, window: int = WINDOW, shard_bytes: int = 2
     def text_of(t: bytes | None, cuts: list[tuple[int, int]]) -> tuple[str | None]:
         return (None if t is None else whole_characters(_keep(t, cuts)[3]),)
 
-    new = _repeats.remove_repeats(docs, read_bytes, _resolver(window), text_of, window, _GRAM, False, shard_bytes, chunk_bytes, "_new string", ask_first=True)
-    return new.select(*[F.col("_new").alias(c) if c == "text" else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    found = _repeats.with_repeats(docs, read_bytes, _resolver(window), text_of, window, _GRAM, False, shard_bytes, chunk_bytes, "new string", ask_first=True)
+    return found.select(*[F.col("new").alias(c) if c == "text" else F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])

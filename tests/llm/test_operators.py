@@ -262,3 +262,37 @@ def test_pipeline(spark):
     want = {i: n - gone for i, n, gone, *_ in plain_bytes([(r["doc_id"], r["text"]) for r in one.collect()])}
     assert all(0 <= want[i] - len(t.encode()) <= 8 for i, t in cut.items() if want[i] == len(t.encode())) and set(cut) == set(want)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("window", [5, 20, 28, 45])
+def test_repeated_windows_of_other_lengths(spark, window):
+    rng = np.random.default_rng(window)
+    passage = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(20)]
+    rows = [(i, " ".join(passage[j] for j in rng.integers(0, 20, 3)) + f" u{i} v{i}") for i in range(60)] + [(60 + i, " ".join(rng.choice(list("abc"), 60))) for i in range(8)]
+    got = substring_dedup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], sha(bytes(r["kept"]))) for r in got) == sorted(plain_words(rows, window))
+
+
+def test_matching_statistics():
+    codes = np.concatenate([np.random.default_rng(6).integers(1, 8, 3000), [0]]).astype(np.uint8)
+    at = np.arange(0, 2970, 7)
+    length, low, high = substring_dedup.FMIndex(codes, 30).match(codes, at, 30)
+    text = codes.tobytes()
+
+    def twice(p):
+        return text.find(p, text.find(p) + 1) >= 0
+
+    assert length.tolist() == [max(n for n in range(31) if twice(text[i + 30 - n : i + 30])) for i in at.tolist()]
+
+
+def test_columns_of_any_name_pass_the_repeat_removers(spark):
+    from pyspark.sql import functions as F
+
+    clash = ["row", "N_Words", "kept", "_id", "_key", "_chunk", "_text", "_new", "new", "chunk", "cuts", "n_bytes", "odd.name"]
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").select("doc_id", "text", *[F.lit(f"old {c}").alias(c) for c in clash])
+    words = substring_dedup.remove_repeated_windows(df)
+    assert words.columns == ["doc_id", "text", *[c for c in clash if c not in ("N_Words", "kept")], "n_words", "n_removed", "kept"]
+    assert sorted((r["doc_id"], r["n_words"], r["_text"], r["odd.name"]) for r in words.collect()) == [(1, 2, "old _text", "old odd.name"), (2, 0, "old _text", "old odd.name")]
+    assert suffix_dedup.remove_repeated_bytes(df).count() == 2
+    kept = suffix_dedup.keep_unrepeated(df)
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
