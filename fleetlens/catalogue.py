@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens import advice, reporting
-from fleetlens.functions import tsql
+from fleetlens import advice, reporting, scenarios
+from fleetlens.functions import scopes, tsql
 from fleetlens.operators import rules, telemetry
 from fleetlens.plans import queries as plans
 from fleetlens.sources import views
@@ -43,7 +43,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vital_series_newest_n": lambda s, d: telemetry.newest_points(views.query_store(s, d), POINTS),
         "alert_cooldown": lambda s, d: telemetry.fired_alerts(_breaches(s, d)),
         "script_tokens": lambda s, d: tsql.tokens(corpus(s, d)),
-        "script_findings": lambda s, d: rules.findings(tsql.tokens(corpus(s, d))),
+        "script_findings": lambda s, d: rules.findings_in(scopes.scopes(corpus(s, d))),
+        "rule_grades": lambda s, d: scenarios.graded(s),
     } | advice.queries() | reporting.queries() | plans.queries()
 
 
@@ -73,6 +74,7 @@ def oracle_sql() -> dict[str, str]:
             where n >= 6 and executions >= 10 and sd > 0 and ms - mean >= 3 * sd and ms - mean >= 5 order by current_ms - baseline_ms desc, query_id limit 50""",
         "welford_baseline": f"{w}, {_SAMPLES} select query_id, count(*) as n, round(avg(ms), 6) as mean, round(var_pop(ms) * count(*), 4) as m2, round(max(ms) filter (where age = 1), 6) as last_ms from samples group by 1",
         "vital_series_newest_n": f"{w} select query_id, {POINTS} + 1 - age as place, captured_at, total_duration_ms from (select *, row_number() over (partition by query_id order by captured_at desc, event_id desc) as age from query_store) where age <= {POINTS}",
+        "rule_grades": scenarios.SQL,
         "alert_cooldown": """with recursive b as (select distinct event_type as rule_id, epoch_us(ts) // 1000000 as secs from events where value >= 450),
             fired as (select rule_id, min(secs) as fired_at from b group by 1 union all select rule_id, fired_at from (select f.rule_id, (select min(b.secs) from b where b.rule_id = f.rule_id and b.secs >= f.fired_at + 900) as fired_at from fired f) where fired_at is not null)
             select rule_id, fired_at from fired""",

@@ -15,7 +15,7 @@ FIRES = {
     "deprecated.raiserror_legacy": ("RAISERROR 50001 'a'", "RAISERROR('a', 16, 1)"),
     "deprecated.set_rowcount_dml": ("SET ROWCOUNT 5; DELETE FROM a WHERE b = 1", "SET ROWCOUNT 0; DELETE FROM a WHERE b = 1"),
     "modern.missing_set_nocount": ("CREATE PROC a AS SELECT 1", "CREATE PROCEDURE a AS SET NOCOUNT ON SELECT 1"),
-    "modern.string_agg_replaces_for_xml": ("SELECT a FROM b FOR XML PATH('')", "SELECT a FROM b FOR XML AUTO"),
+    "modern.string_agg_replaces_for_xml": ("SELECT ',' + a FROM b FOR XML PATH('')", "SELECT a FROM b FOR XML AUTO"),
     "modern.sp_executesql_optimized_2025": ("EXEC sys.sp_executesql @a", "SELECT 'sp_executesql'"),
     "plan.option_recompile_overuse": ("SELECT 1 OPTION (RECOMPILE) " * 3, "SELECT 1 OPTION (RECOMPILE) " * 2),
     "plan.optimize_for_unknown": ("SELECT a FROM b OPTION (OPTIMIZE FOR (@p UNKNOWN))", "SELECT a FROM b OPTION (OPTIMIZE FOR (@p = 1))"),
@@ -62,6 +62,56 @@ def test_empty_scripts_have_none(found):
 
 
 def test_no_target_silences_rules_of_newer_servers(spark):
-    sql = [(0, "ALTER DATABASE a SET OPTIMIZED_LOCKING = ON SELECT a FROM b WITH (READCOMMITTEDLOCK) FOR XML PATH"), (1, "EXEC sp_executesql @a")]
+    sql = [(0, "ALTER DATABASE a SET OPTIMIZED_LOCKING = ON SELECT a FROM dbo.b WITH (READCOMMITTEDLOCK)"), (2, "SELECT ',' + a FROM dbo.b FOR XML PATH('')"), (1, "EXEC sp_executesql @a")]
     t = tsql.tokens(spark.createDataFrame(sql, "doc_id long, sql string"))
     assert {r["rule"] for r in rules.findings(t, None).collect()} == {"modern.string_agg_replaces_for_xml"}
+
+
+@pytest.fixture(scope="module")
+def scoped(spark):
+    from fleetlens import scenarios
+    from fleetlens.functions import scopes
+
+    got = rules.findings_in(scopes.scopes(scenarios.scripts(spark).select("doc_id", "sql"))).collect()
+    return [(r["doc_id"], r["rule"]) for r in got]
+
+
+def test_scoped_rules_fire_once_and_stay_silent(scoped):
+    from fleetlens.scenarios import PAIRS
+
+    wrong = {rule: n for i, rule in enumerate(PAIRS) if (n := [scoped.count((2 * i + j, rule)) for j in (0, 1)]) != [1, 0]}
+    assert wrong == {}
+
+
+def test_tokens_and_scripts_give_the_same_findings(spark, scoped):
+    from fleetlens import scenarios
+
+    got = rules.findings(tsql.tokens(scenarios.scripts(spark))).collect()
+    assert sorted((r["doc_id"], r["rule"]) for r in got) == sorted(scoped)
+
+
+def test_every_rule_has_its_texts(spark):
+    from fleetlens.operators import texts
+    from fleetlens.scenarios import PAIRS
+
+    assert not {r for r in [*PAIRS, *FIRES] if r not in texts.TEXTS}
+    rows = spark.createDataFrame([("hygiene.nolock",), ("x.y",), (None,)], "rule string")
+    got = {r["rule"]: (r["message"], r["recommendation"]) for r in texts.explained(rows).collect()}
+    assert got == {"hygiene.nolock": texts.TEXTS["hygiene.nolock"], "x.y": ("x.y", None), None: (None, None)}
+
+
+def test_compat_by_target(spark):
+    from fleetlens.functions import scopes
+
+    df = spark.createDataFrame([(0, "SELECT STRING_AGG(a, ',') FROM dbo.b"), (1, "DROP TABLE IF EXISTS dbo.b"), (2, "SELECT dbo.TRIM(a), 'TRIM(' FROM dbo.b")], "doc_id long, sql string")
+    for year, want in ((2014, {0, 1}), (2016, {0}), (2025, set()), (None, set())):
+        got = rules.findings_in(scopes.scopes(df), year).where("rule = 'compat.unsupported_on_target'").collect()
+        assert {r["doc_id"] for r in got} == want
+
+
+def test_odd_scripts_have_scopes(spark):
+    from fleetlens.functions import scopes
+
+    odd = ["", None, ")", "(((", "SELECT", "WITH", "WITH a AS", "CASE END END", "'", "[", "GO", ";", "EXEC(", "SELECT * FROM", "CREATE TABLE", "CREATE TABLE a (", "é", "@", "N'x", "a..b.c", "MERGE", "UPDATE", "DELETE TOP", "ROW_NUMBER() OVER (", "/* x"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, sql string")
+    rules.findings_in(scopes.scopes(df)).count()

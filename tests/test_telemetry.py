@@ -39,6 +39,6 @@ def test_tokens_count_bytes_and_nest_comments():
 
 
 def test_rules_fire_and_stay_silent(spark):
-    sql = ["SELECT * FROM a WITH (NOLOCK) WHERE b NOT IN (SELECT c FROM d) AND e LIKE '%f'", "SELECT [*], a /* NOLOCK */ FROM b WHERE c LIKE 'x%' AND d IN (1)", None]
+    sql = ["SELECT * FROM dbo.a WITH (NOLOCK) WHERE b NOT IN (SELECT c FROM dbo.d) AND e LIKE '%f'", "SELECT [*], a /* NOLOCK */ FROM dbo.b WHERE c LIKE 'x%' AND d IN (1)", None]
     got = rules.findings(tsql.tokens(spark.createDataFrame(list(enumerate(sql)), "doc_id long, sql string"))).collect()
     assert {(r["doc_id"], r["rule"]) for r in got} == {(0, x) for x in ("hygiene.select_star", "hygiene.nolock", "sarg.not_in_nullable", "sarg.leading_wildcard")}
