@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens import advice, reporting, scenarios
+from fleetlens import advice, fleet_queries, reporting, scenarios
 from fleetlens.functions import scopes, tsql
 from fleetlens.operators import rules, telemetry
 from fleetlens.plans import queries as plans
@@ -19,8 +19,8 @@ IGNORABLE = ["view"]
 
 
 def _breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("value >= 450")
-    return events.select(F.col("event_type").alias("rule_id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("at"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("value >= 120")
+    return events.select((F.col("user_id") % 5).alias("instance_id"), F.col("event_type").alias("rule_id"), F.expr("unix_micros(cast(ts as timestamp)) div 1000000").alias("at"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "script_tokens": lambda s, d: tsql.tokens(corpus(s, d)),
         "script_findings": lambda s, d: rules.findings_in(scopes.scopes(corpus(s, d))),
         "rule_grades": lambda s, d: scenarios.graded(s),
-    } | advice.queries() | reporting.queries() | plans.queries()
+    } | advice.queries() | fleet_queries.queries() | reporting.queries() | plans.queries()
 
 
 _DELTAS = """
@@ -75,7 +75,7 @@ def oracle_sql() -> dict[str, str]:
         "welford_baseline": f"{w}, {_SAMPLES} select query_id, count(*) as n, round(avg(ms), 6) as mean, round(var_pop(ms) * count(*), 4) as m2, round(max(ms) filter (where age = 1), 6) as last_ms from samples group by 1",
         "vital_series_newest_n": f"{w} select query_id, {POINTS} + 1 - age as place, captured_at, total_duration_ms from (select *, row_number() over (partition by query_id order by captured_at desc, event_id desc) as age from query_store) where age <= {POINTS}",
         "rule_grades": scenarios.SQL,
-        "alert_cooldown": """with recursive b as (select distinct event_type as rule_id, epoch_us(ts) // 1000000 as secs from events where value >= 450),
-            fired as (select rule_id, min(secs) as fired_at from b group by 1 union all select rule_id, fired_at from (select f.rule_id, (select min(b.secs) from b where b.rule_id = f.rule_id and b.secs >= f.fired_at + 900) as fired_at from fired f) where fired_at is not null)
-            select rule_id, fired_at from fired""",
-    } | advice.oracle_sql(_DELTAS) | reporting.oracle_sql() | plans.oracle_sql()
+        "alert_cooldown": """with recursive b as (select distinct user_id % 5 as instance_id, event_type as rule_id, epoch_us(ts) // 1000000 as secs from events where value >= 120),
+            fired as (select instance_id, rule_id, min(secs) as fired_at from b group by 1, 2 union all select instance_id, rule_id, fired_at from (select f.instance_id, f.rule_id, (select min(b.secs) from b where b.rule_id = f.rule_id and b.instance_id = f.instance_id and b.secs >= f.fired_at + 900) as fired_at from fired f) where fired_at is not null)
+            select instance_id, rule_id, fired_at from fired""",
+    } | advice.oracle_sql(_DELTAS) | fleet_queries.oracle_sql(_DELTAS) | reporting.oracle_sql() | plans.oracle_sql()

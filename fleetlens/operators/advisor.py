@@ -8,7 +8,7 @@ column, never from all pairs of a table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Limits of the findings and recommendations.
@@ -153,3 +153,87 @@ def parameter_sniffing(skew: DataFrame) -> DataFrame:
     """Queries with several plans whose worst execution reads ten times the mean."""
     hit = (F.col("plans") >= SKEW_PLANS) & (F.col("executions") >= SKEW_EXECUTIONS) & (F.col("avg_reads") > 0) & (F.col("max_reads") / F.col("avg_reads") >= SKEW_RATIO)
     return skew.where(hit).select("query_id", F.round(F.col("max_reads") / F.col("avg_reads"), 4).alias("ratio"), F.when(F.col("max_reads") >= SKEW_READS, "high").otherwise("medium").alias("priority"))
+
+
+def quoted(*names: Column) -> Column:
+    """A dotted name with brackets around its parts."""
+    return F.concat_ws(".", *[F.concat(F.lit("["), F.replace(n, F.lit("]"), F.lit("]]")), F.lit("]")) for n in names])
+
+
+def _column_list(columns: Column) -> Column:
+    return F.array_join(F.transform(columns, lambda c: F.concat(F.lit("["), c, F.lit("]"))), ", ")
+
+
+def create_ddl(found: DataFrame) -> DataFrame:
+    """``found`` (table_name, key_columns, included_columns) with ``ddl``, the statement that creates the index; names follow the key columns."""
+    extra = F.coalesce("included_columns", F.array().cast("array<string>"))
+    name = F.substring(F.concat(F.lit("IX_"), F.regexp_replace(F.concat_ws("_", "table_name", F.array_join("key_columns", "_")), "[^A-Za-z0-9_]", "")), 1, 120)
+    include = F.when(F.size(extra) > 0, F.concat(F.lit(" INCLUDE ("), _column_list(extra), F.lit(")"))).otherwise("")
+    return found.withColumn("ddl", F.concat(F.lit("CREATE NONCLUSTERED INDEX ["), name, F.lit("] ON "), quoted(F.col("table_name")), F.lit(" ("), _column_list(F.col("key_columns")), F.lit(")"), include, F.lit(";")))
+
+
+def drop_ddl(found: DataFrame, index: str = "index_name") -> DataFrame:
+    return found.withColumn("ddl", F.concat(F.lit("DROP INDEX "), quoted(F.col(index)), F.lit(" ON "), quoted(F.col("table_name")), F.lit(";")))
+
+
+def workload_boost(per_day: Column) -> Column:
+    """What a score gains by how often queries on the table run: 1 where they don't, 2 at nine times a day."""
+    return F.when(per_day > 0, 1 + F.log(1 + per_day) / F.log(F.lit(10.0))).otherwise(1.0)
+
+
+def boosted(found: DataFrame, workload: DataFrame) -> DataFrame:
+    """``found`` (table_name, score) with the score raised by the busiest row of ``workload`` (table_name, execution_count, window_hours) on its table, and executions_per_day."""
+    busiest = workload.where("window_hours > 0").groupBy("table_name").agg(F.max(F.col("execution_count") * 24.0 / F.col("window_hours")).alias("executions_per_day"))
+    joined = found.join(busiest, "table_name", "left")
+    return joined.withColumn("score", F.round(F.col("score") * workload_boost(F.col("executions_per_day")), 6))
+
+
+def with_days_seen(found: DataFrame, history: DataFrame) -> DataFrame:
+    """``found`` with ``note``: on how many of the observed days of ``history`` (table_name, days_seen, days_observed) the request showed; null where that is unknown."""
+    noted = history.select("table_name", F.format_string("seen on %d of %d days", "days_seen", "days_observed").alias("note"))
+    return found.join(noted, "table_name", "left")
+
+
+def merge_same_keys(indexes: DataFrame) -> DataFrame:
+    """(table_name, keep, retire, kind, priority, reclaimed_kb, confidence): indexes of one table with equal key columns, each against the one that stays.
+
+    kind exact: the included columns are the same set too; a primary key or
+    unique index stays, else the first by name, and neither kind is retired.
+    kind overlapping: neither side is unique and included columns differ; the
+    one with more reads stays. Groups have a representative, so that n equal
+    indexes give n - 1 rows, not all pairs.
+    """
+    lower = lambda c: F.transform(c, lambda x: F.lower(x))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    i = indexes.where("index_name is not null and size(key_columns) > 0").select("table_name", "index_name", F.array_join(lower("key_columns"), "\x1f").alias("keys"), F.array_join(F.array_sort(lower(F.coalesce("included_columns", F.array().cast("array<string>")))), "\x1f").alias("extra"), (flag("is_primary_key") | flag("is_unique")).alias("bound"), _reads().alias("reads"), F.coalesce("reserved_kb", F.lit(0)).alias("kb"))
+    exact = Window.partitionBy("table_name", "keys", "extra").orderBy(F.desc("bound"), "index_name")
+    e = i.withColumn("keep", F.first("index_name").over(exact)).withColumn("place", F.row_number().over(exact))
+    equal = e.where((F.col("place") > 1) & ~F.col("bound")).select("table_name", "keep", F.col("index_name").alias("retire"), F.lit("exact").alias("kind"), "kb", "reads")
+    heads = e.where((F.col("place") == 1) & ~F.col("bound"))
+    similar = Window.partitionBy("table_name", "keys").orderBy(F.desc_nulls_last("reads"), "index_name")
+    o = heads.withColumn("keep", F.first("index_name").over(similar)).withColumn("place", F.row_number().over(similar))
+    overlapping = o.where("place > 1").select("table_name", "keep", F.col("index_name").alias("retire"), F.lit("overlapping").alias("kind"), "kb", "reads")
+    return equal.unionByName(overlapping).select("table_name", "keep", "retire", "kind", F.when(F.col("kind") == "overlapping", "low").otherwise(merge_priority(F.col("kb"))).alias("priority"), F.col("kb").alias("reclaimed_kb"), F.when(F.col("reads").isNull(), "estimated").otherwise("observed").alias("confidence"))
+
+
+def merge_priority(reclaimed_kb: Column) -> Column:
+    return F.when(reclaimed_kb > 0, "medium").otherwise("low")
+
+
+def alter_column(columns: DataFrame) -> DataFrame:
+    """(table_name, column_name, ddl, priority): legacy LOB columns and the statement that gives each its modern type."""
+    kind = F.lower("type_name")
+    modern = F.when(kind == "text", "varchar(max)").when(kind == "ntext", "nvarchar(max)").otherwise("varbinary(max)")
+    ddl = F.concat(F.lit("ALTER TABLE "), quoted(F.col("table_name")), F.lit(" ALTER COLUMN "), quoted(F.col("column_name")), F.lit(" "), modern, F.lit(";"))
+    return columns.where(kind.isin(LOB_TYPES)).select("table_name", "column_name", ddl.alias("ddl"), F.lit("medium").alias("priority"))
+
+
+#: Kinds whose evidence is counters that a restart clears.
+USAGE_KINDS = ("create_index", "drop_index", "merge_index", "columnstore")
+
+
+def stamped(found: DataFrame, counter_age_seconds: int | None) -> DataFrame:
+    """``found`` (kind, confidence) with counter_age_seconds on what counters tell; under a day of them makes observed estimated."""
+    usage = F.col("kind").isin(*USAGE_KINDS)
+    age = F.when(usage, F.lit(counter_age_seconds).cast("long"))
+    return found.withColumns({"counter_age_seconds": age, "confidence": F.when(F.coalesce(age < 86_400, F.lit(False)) & (F.col("confidence") == "observed"), "estimated").otherwise(F.col("confidence"))})

@@ -7,8 +7,12 @@ come from ``max_by``, which combines before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Fixed values of the regression test and the trust rule.
 Z_SCORE, MIN_SAMPLES, MIN_EXECUTIONS, MIN_DELTA_MS = 3.0, 6, 10, 5.0
@@ -84,14 +88,36 @@ def newest_points(store: DataFrame, n: int) -> DataFrame:
 
 
 def fired_alerts(breaches: DataFrame, cooldown: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Of (rule_id, at seconds), those that fire: the first, and each at least ``cooldown`` after the last that fired.
+    """Of (keys, at seconds), those that fire: a key's first, and each at least ``cooldown`` after its last that fired.
 
-    A rule's breaches fold in order, as only fired ones start the cooldown; they
-    are cut to one a second before.
+    All columns but ``at`` are the key: the rule, and in a fleet the instance.
+    Breaches are cut to one a second. After a gap of the cooldown the next one
+    fires in any case, so that a key's breaches fall into runs that are folded
+    apart, in order, with one number of state; nothing is gathered. Rows
+    without a time are left out.
     """
-    times = breaches.where("at is not null").distinct().groupBy("rule_id").agg(F.array_sort(F.collect_list("at")).alias("times"))
-    step: Column = F.aggregate("times", F.expr("cast(array() as array<bigint>)"), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) >= cooldown), F.concat(kept, F.array(t))).otherwise(kept))
-    return times.select("rule_id", F.explode(step).alias("fired_at"))
+    keys = [c for c in breaches.columns if c != "at"]
+    schema = StructType([*[breaches.schema[k] for k in keys], StructField("fired_at", LongType())])
+    by = Window.partitionBy(*keys).orderBy("at")
+    once = breaches.where("at is not null").select(*keys, F.col("at").cast("long").alias("at")).distinct()
+    parted = once.withColumn("parts", F.coalesce(F.col("at") - F.lag("at").over(by) >= cooldown, F.lit(True)))
+    runs = parted.withColumn("run", F.sum(F.col("parts").cast("long")).over(by))
+    in_order = runs.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "at").select(*keys, "run", "at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = None, 0
+        for b in batches:
+            own = [b.column(k).to_pylist() for k in keys]
+            fired = []
+            for i, (run, t) in enumerate(zip(b.column("run").to_pylist(), b.column("at").to_pylist(), strict=True)):
+                key = (*(c[i] for c in own), run)
+                if key != current or t - last >= cooldown:
+                    fired.append(i)
+                    current, last = key, t
+            rows = b.take(pa.array(fired, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], rows.column("at")], names=[*keys, "fired_at"])
+
+    return in_order.mapInArrow(fold, schema)
 
 
 def top_wait(waits: DataFrame, ignorable: list[str]) -> DataFrame:

@@ -93,13 +93,17 @@ def events_once(events: DataFrame, text: str) -> DataFrame:
 
 #: Fixed values of the default alert rules: (rule, metric, comparator, threshold, severity).
 ALERT_RULES = [
-    ("runnable_per_scheduler", "runnable_ratio", "ge", 1.0, "warning"),
-    ("memory_grants_pending", "pending_grants", "gt", 0.0, "error"),
-    ("page_life_low", "page_life_seconds", "lt", None, "warning"),
-    ("data_latency_high", "data_latency_ms", "ge", 20.0, "warning"),
-    ("log_latency_high", "log_latency_ms", "ge", 5.0, "warning"),
-    ("single_use_plans", "single_use_pct", "ge", 50.0, "info"),
-    ("deadlocks_recent", "deadlocks", "gt", 0.0, "error"),
+    ("cpu.runnable_tasks_high", "runnable_tasks", "ge", 10.0, "warning"),
+    ("cpu.signal_wait_pct_high", "signal_pct", "gt", 35.0, "warning"),
+    ("memory.ple_below_floor", "ple_seconds", "lt", None, "warning"),
+    ("memory.pending_memory_grants", "pending_grants", "ge", 1.0, "warning"),
+    ("plancache.adhoc_singleuse_pct", "single_use_pct", "ge", 20.0, "warning"),
+    ("tempdb.pagelatch_contention", "pagelatch_waiters", "ge", 10.0, "warning"),
+    ("io.data_file_latency_ms.warning", "data_latency_ms", "gt", 20.0, "warning"),
+    ("io.data_file_latency_ms.critical", "data_latency_ms", "gt", 100.0, "critical"),
+    ("io.log_write_latency_ms", "log_latency_ms", "gt", 5.0, "warning"),
+    ("reliability.deadlocks", "deadlocks", "ge", 1.0, "critical"),
+    ("reliability.blocking", "blocked", "ge", 1.0, "warning"),
 ]
 _COMPARE = {"gt": lambda v, t: v > t, "ge": lambda v, t: v >= t, "lt": lambda v, t: v < t, "le": lambda v, t: v <= t}
 

@@ -21,9 +21,10 @@ def query_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deltas of reads and updates of an index."""
-    of = lambda flag: F.when(F.col("l_returnflag") == flag, F.col("l_quantity").cast("long")).otherwise(0)
-    return _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("table_id"), F.col("l_partkey").alias("index_id"), F.col("l_shipdate").alias("captured_at"), of("A").alias("seeks"), of("R").alias("scans"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).cast("long").alias("lookups"), of("N").alias("updates"))
+    """Deltas of reads and updates of an index; reads are the discounted or undiscounted lines of three kinds, so that some indexes have none."""
+    when = lambda hit, n: F.when(hit, n).otherwise(0).cast("long")
+    quantity, high = F.col("l_quantity").cast("long"), F.col("l_discount") >= 0.085
+    return _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("table_id"), F.col("l_partkey").alias("index_id"), F.col("l_shipdate").alias("captured_at"), when((F.col("l_returnflag") == "A") & (F.col("l_discount") >= 0.095), quantity).alias("seeks"), when((F.col("l_returnflag") == "R") & high, quantity).alias("scans"), when((F.col("l_linestatus") == "F") & (F.col("l_discount") < 0.005), F.lit(1)).alias("lookups"), when(F.col("l_returnflag") == "N", quantity).alias("updates"))
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ SQL = """
 query_store as (select event_id, user_id as query_id, cast(json_extract_string(props, '$.k') as bigint) % 3 as plan_id, ts as captured_at, value as total_duration_ms,
     1 + cast(json_extract_string(props, '$.k') as bigint) % 5 as executions, event_type as query_sql_text from events),
 index_usage as (select l_suppkey % 10 as table_id, l_partkey as index_id, l_shipdate as captured_at,
-    case when l_returnflag = 'A' then cast(trunc(l_quantity) as bigint) else 0 end as seeks, case when l_returnflag = 'R' then cast(trunc(l_quantity) as bigint) else 0 end as scans,
-    case when l_linestatus = 'F' then 1 else 0 end as lookups, case when l_returnflag = 'N' then cast(trunc(l_quantity) as bigint) else 0 end as updates from lineitem),
+    case when l_returnflag = 'A' and l_discount >= 0.095 then cast(trunc(l_quantity) as bigint) else 0 end as seeks, case when l_returnflag = 'R' and l_discount >= 0.085 then cast(trunc(l_quantity) as bigint) else 0 end as scans,
+    case when l_linestatus = 'F' and l_discount < 0.005 then 1 else 0 end as lookups, case when l_returnflag = 'N' then cast(trunc(l_quantity) as bigint) else 0 end as updates from lineitem),
 hourly as (select user_id % 5 as instance_id, event_type as wait_type, date_trunc('hour', ts) as captured_at, cast(sum(cast(round(value * 1000) as bigint)) as bigint) as ms from events group by all),
 counters as (select instance_id, wait_type, captured_at, cast(sum(ms) over (partition by instance_id, wait_type, date_diff('day', date '2024-01-01', cast(captured_at as date)) // 7 order by captured_at) as bigint) as total_ms from hourly)
 """

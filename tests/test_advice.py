@@ -14,9 +14,9 @@ def test_structure_findings_at_their_limits(spark):
 
 
 def test_breaches_at_the_threshold(spark):
-    rows = [(1, 0, 1.0, 0, 299, None), (2, 0, 0.99, 1, 300, 4.0), (3, 0, None, None, 599, 8.0)]
-    got = vitals.breaches(spark.createDataFrame(rows, "instance_id long, captured_at long, runnable_ratio double, pending_grants long, page_life_seconds long, memory_gb double")).collect()
-    assert {(r["instance_id"], r["rule_id"]) for r in got} == {(1, "runnable_per_scheduler"), (1, "page_life_low"), (2, "memory_grants_pending"), (3, "page_life_low")}
+    rows = [(1, 0, 10.0, 0, 299, None, 20.0), (2, 0, 9.99, 1, 300, 4.0, 20.1), (3, 0, None, None, 599, 8.0, 100.1)]
+    got = vitals.breaches(spark.createDataFrame(rows, "instance_id long, captured_at long, runnable_tasks double, pending_grants long, ple_seconds long, memory_gb double, data_latency_ms double")).collect()
+    assert {(r["instance_id"], r["rule_id"]) for r in got} == {(1, "cpu.runnable_tasks_high"), (1, "memory.ple_below_floor"), (2, "memory.pending_memory_grants"), (2, "io.data_file_latency_ms.warning"), (3, "memory.ple_below_floor"), (3, "io.data_file_latency_ms.warning"), (3, "io.data_file_latency_ms.critical")}
 
 
 def test_io_deltas_clamp(spark):

@@ -32,3 +32,28 @@ def test_baselines_outlive_a_batch(spark, tmp_path):
     got = replayed(spark, tmp_path, [samples.where("event_id < 5"), samples.where("event_id >= 5")], alerts.judged_samples, "baseline")
     want = vitals.judged_samples(store).collect()
     assert len(want) > 0 and sorted((r["query_id"], r["event_id"], r["n"], round(r["mean_ms"], 4)) for r in got) == sorted((r["query_id"], r["event_id"], r["n"], r["mean_ms"]) for r in want)
+
+
+def test_cooldown_of_a_stream_is_by_instance(spark, tmp_path):
+    rows = [(1, "r", 0), (2, "r", 10), (1, "r", 899)], [(2, "r", 905), (1, "r", 900), (2, "r", 910)]
+    frames = [spark.createDataFrame(r, "instance_id long, rule_id string, at long") for r in rows]
+    got = replayed(spark, tmp_path, frames, alerts.fired_alerts, "fleet")
+    assert {tuple(r) for r in got} == {(1, "r", 0), (2, "r", 10), (1, "r", 900), (2, "r", 910)}
+
+
+def test_deltas_of_a_stream(spark, tmp_path):
+    from fleetlens.operators import fleet
+
+    snaps = [[(1, 0, "a", 5), (1, 0, "b", 1)], [(1, 60, "a", 9), (1, 60, "b", 1), (1, 60, "c", 4)], [(1, 120, "a", 1), (1, 120, "b", 2)], [(1, 180, "a", 3), (1, 180, "b", 2)], [(1, 9000, "a", 8), (2, 9000, "a", 8)]]
+    frames = [spark.createDataFrame(s, "instance_id long, at long, key string, total long") for s in snaps]
+    got = replayed(spark, tmp_path, frames, lambda df: alerts.counter_deltas(df, ["total"]), "deltas")
+    whole = spark.createDataFrame([r for s in snaps for r in s], "instance_id long, at long, key string, total long").selectExpr("instance_id", "timestamp_seconds(at) as captured_at", "key", "total")
+    want = {(r["instance_id"], int(r["captured_at"].timestamp()), r["key"], r["total"]) for r in fleet.trusted_deltas(whole, ["key"], ["total"], ["total"]).collect()}
+    assert {tuple(r) for r in got} == want == {(1, 60, "a", 4), (1, 60, "c", 4), (1, 180, "a", 2)}
+
+
+def test_events_of_a_stream_come_once(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", "x"), ("2024-01-01 00:00:01", "x"), ("2024-01-01 00:00:02", None)], [("2024-01-01 01:00:00", "x"), ("2024-01-01 01:00:00", "y")]
+    frames = [spark.createDataFrame(r, "at string, text string").selectExpr("cast(at as timestamp) as captured_at", "text") for r in rows]
+    got = replayed(spark, tmp_path, frames, lambda df: alerts.events_once(df, "text"), "events")
+    assert sorted(r["text"] for r in got) == ["x", "y"]

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("events", "lineitem", "part", "conversations", "customer", "orders"):
+    for t in ("events", "lineitem", "part", "conversations", "customer", "orders", "supplier", "nation", "region"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = catalogue.queries()[name](spark, SF), c.sql(catalogue.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
