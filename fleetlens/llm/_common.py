@@ -24,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """A folder of our own only where the cluster names none, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/fleetlens")
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """The folder that the cluster names; one of our own only in local mode, where every task sees it, as in tests."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not (context.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or "/tmp/checkpoints/fleetlens")
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -65,6 +68,12 @@ def blob(a: np.ndarray) -> bytes:
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate rows wherever it is stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def release() -> None:
     """Give freed memory back to the system: Spark keeps Python workers, and what they hold counts against the executor."""
     pa.default_memory_pool().release_unused()

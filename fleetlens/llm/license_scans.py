@@ -70,7 +70,45 @@ _WHOLE_RULES = {
     "GPL-3.0-or-later": ("GPL-3.0-or-later", ["gpl3-or-later-grant"]),
     "GPL-2.0-or-later": ("GPL-2.0-or-later", ["gpl2-or-later-grant"]),
 }
+#: What other published texts say, a sentence each that only they have, and what its identifier stands for.
+_ISC = "permission to use copy modify and{} distribute this software for any purpose with or without fee is hereby granted"
+_TO_GNU = "{begin}you can redistribute it and or modify it under the terms of the gnu {name} general public license as published by the free software foundation"
+OTHER_SENTENCES = {
+    **{f"{_ISC.format(x)} provided that the above copyright notice and this permission notice appear in all copies": "isc-grant" for x in ("", " or")},
+    **{_ISC.format(x): "0bsd-grant" for x in ("", " or")},
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-notice",
+    **{f"if a copy of the mpl was not distributed with this file you can obtain one at {x} mozilla org mpl 2 0": "mpl2-copy" for x in ("http", "https")},
+    **{_TO_GNU.format(begin=b, name="lesser"): "lgpl-grant" for b in ("", "this library is free software ", "this program is free software ")},
+    "either version 2 1 of the license or at your option any later version": "lgpl21-or-later",
+    **{f"{_TO_GNU.format(begin=b, name=name)} either version 3 of the license or at your option any later version": f"{tag}-or-later-grant" for b in ("", "this library is free software ", "this program is free software ") for name, tag in (("lesser", "lgpl3"), ("affero", "agpl3"))},
+    "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    **{f"this work is licensed under {article} creative commons {name} 4 0 international license": f"cc-{tag}4-work" for article in ("a", "the") for name, tag in (("attribution sharealike", "by-sa"), ("attribution noncommercial", "by-nc"), ("attribution noderivatives", "by-nd"), ("attribution noncommercial sharealike", "by-nc-sa"), ("attribution noncommercial noderivatives", "by-nc-nd"))},
+    "this work is licensed under the creative commons attribution 4 0 international license": "cc-by4-notice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl1-grant",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl-grant",
+}
+_SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "0BSD", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0", "WTFPL"]
+OTHER_SENTENCES |= {"spdx license identifier " + x.lower().replace("-", " ").replace(".", " "): "spdx-" + x.lower() for x in _SPDX}
+OTHER_RULES = [
+    ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("Unlicense", ["unlicense-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("MPL-2.0", ["mpl2-notice", "mpl2-copy"]),
+    ("LGPL-2.1-or-later", ["lgpl-grant", "lgpl21-or-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later-grant"]),
+    ("AGPL-3.0-or-later", ["agpl3-or-later-grant"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    *[(f"CC-{x.upper()}-4.0", [f"cc-{x}4-work"]) for x in ("by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")],
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("WTFPL", ["wtfpl-grant"]),
+    *[(x, ["spdx-" + x.lower()]) for x in _SPDX],
+]
 ALL_RULES = [r for rule in LICENSE_RULES for r in (_WHOLE_RULES.get(rule[0]), rule) if r]
+#: A reservation of all rights is the weakest of them.
+ALL_RULES = [*ALL_RULES[:-1], *OTHER_RULES, ALL_RULES[-1]]
 #: What isn't a word: typographic quotes are left out like the plain ones.
 NOT_WORD = "[^a-z0-9\\x{80}-\\x{2017}\\x{2020}-\\x{10FFFF}]+"
 _NO_WORD = "[^a-z0-9\\x{80}-\\x{10FFFF}\\n]*"
@@ -89,13 +127,13 @@ def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
     is looked up line by line, and from each line on to its end, as headings
     and notices on lines of their own often have no full stop.
     """
-    known = SENTENCES | WHOLE_SENTENCES if known is None else known
+    known = SENTENCES | WHOLE_SENTENCES | OTHER_SENTENCES if known is None else known
     pairs = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     # few sentences are of a length that the table has
     longest, shortest = max(map(len, known)), min(map(len, known))
 
     def fits(s: Column) -> Column:
-        return (F.length(s) >= shortest) & (F.length(s) <= 2 * longest)
+        return (F.length(s) >= shortest) & ((F.length(s) <= 2 * longest) | (F.length(F.regexp_replace(s, NOT_WORD, " ")) <= 2 * longest))
 
     def look(s: Column) -> Column:
         return F.when(fits(s), F.try_element_at(pairs, F.trim(F.regexp_replace(F.regexp_replace(s, _LEADER, " "), NOT_WORD, " "))))
@@ -124,9 +162,8 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] | None = None, rules: l
 
     ``sentence_ids`` is the comma-joined identifier sequence, ``licenses`` the
     sorted licences whose rules match, and ``license`` the first by the rules'
-    order, null without a match. A null text has no sentences. A sentence padded
-    by over a longest known sentence's length of punctuation isn't looked up.
-    Repeated rows come back as often; extra columns are left aside.
+    order, null without a match. A null text has no sentences. Repeated rows
+    come back as often; extra columns are left aside.
     """
     ids = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     found = [(name, ids.rlike(".*".join(f",{x}(?=,)" for x in seq))) for name, seq in (ALL_RULES if rules is None else rules)]

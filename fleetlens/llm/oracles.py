@@ -24,7 +24,7 @@ def _strength(groups: str, prior: str) -> str:
 OP1 = f"""
 with parts as (select page_id, {LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} as host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
-good as (select doc_id as page_id, avg(case when quality = 1 and toxic = 0 then 1 else 0 end) as good from labels where doc_id is not null group by 1),
+good as (select doc_id as page_id, avg(cast(quality = 1 and toxic = 0 as int)) as good from labels where doc_id is not null group by 1),
 counts as (select host, count(good) as n, coalesce(sum(good), 0) as k from parts left join good using (page_id) group by 1),
 hosts as (select *, case when {_LAST.format(2)} in ({_TWO}) then {_LAST.format(3)} else {_LAST.format(2)} end as domain,
     case when {_LAST.format(2)} in ({_TWO}) then {_LAST.format(2)} else {_LAST.format(1)} end as suffix from counts),

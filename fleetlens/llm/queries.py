@@ -20,7 +20,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0).alias("good"))
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
     return url_filters.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), outcomes)
 
 

@@ -48,15 +48,15 @@ def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
     return int((np.uint64(1) << np.flatnonzero(2 * counts > n).astype(np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint as long) for each row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint as long) for each row of ``docs`` (doc_id, text), and the columns ``keep``, which are longs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             fp = np.array([fingerprint(t) for t in texts(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), *[b.column(c) for c in keep]], names=["doc_id", "fingerprint", *keep])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, "doc_id long, fingerprint long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep), scan, ", ".join(["doc_id long, fingerprint long", *[f"{c} long" for c in keep]]))
 
 
 class CoveringCode:
@@ -121,7 +121,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block_length: int | Non
         u, v = u.view(np.int64), v.view(np.int64)
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    return map_batches(distinct.select("fingerprint"), deal, "anchor long, fingerprint long, home boolean").groupBy("anchor").applyInArrow(for_group(compare), "u long, v long").distinct()
+    # each fingerprint becomes some forty rows: spread them before that
+    spread = distinct.select("fingerprint").repartition(F.col("fingerprint"))
+    return map_batches(spread, deal, "anchor long, fingerprint long, home boolean").groupBy("anchor").applyInArrow(for_group(compare), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,7 +168,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, block_length: int
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns, one row of each component: that of the least doc_id. Rows without a doc_id stay only where a component has none but them, each different text once."""
-    chosen = near_duplicates(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    left = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_keep"]), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if "text" not in docs.columns else left.dropDuplicates(["doc_id", "text"])
+    """``docs`` with its columns, one row of each component: of those with the least doc_id one, chosen by its text and then its other columns. Rows without a doc_id stay only where a component has none but them. Columns may have any names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select("doc_id", "text", row.alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"))
+    known = fingerprints(held, keep=("row_hash",))
+    classes = near_duplicates(docs.select("doc_id", "text")).select("fingerprint", "component", "component_id").distinct()
+    hexed = known.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+    placed = hexed.join(classes, "fingerprint").where("doc_id <=> component_id")
+    chosen = placed.groupBy("component").agg(F.min_by(F.struct("doc_id", "row_hash"), F.struct("doc_id", "row_hash")).alias("one")).select(F.col("one.row_hash").alias("row_hash"))
+    left = held.join(chosen.distinct(), "row_hash", "left_semi").groupBy("row_hash").agg(F.first("row").alias("row"))
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

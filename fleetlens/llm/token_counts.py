@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm._common import batch_of, chunks, map_batches
 
 BLANK = "▁"
-#: Stretch counts that a worker keeps.
-CACHE = 400_000
+#: Stretch counts that a worker keeps, and the signs of the longest of them.
+CACHE, SHORT = 400_000, 64
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 DDL = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -47,7 +47,10 @@ class PieceCounter:
         self.outside = "\n" not in used  # then a line end is a token of one byte that nothing merges with
         #: a run of blank signs and what follows it up to the next run, or line end
         self.stretch = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+" if self.outside else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.count = lru_cache(CACHE)(self.merge)
+        self.known = lru_cache(CACHE)(self.merge)
+
+    def count(self, s: str) -> int:
+        return self.known(s) if len(s) <= SHORT else self.merge(s)
 
     def merge(self, s: str) -> int:
         """Tokens of a stretch: symbols less merges; a symbol left over that isn't a piece counts its UTF-8 bytes."""

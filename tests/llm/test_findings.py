@@ -159,3 +159,109 @@ def test_rows_that_share_a_doc_id_stay_apart_over_blocks(spark):
     found = lambda n: sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["spans"])) for r in decontamination.find_hits(docs, bench, block_bytes=n).collect())
     assert found(1) == found(1 << 20)
     assert len(found(1)) == len(rows)
+
+ISC = """Copyright (c) 2020, Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy it.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+CC = "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.\n"
+SPDX = "// SPDX-License-Identifier: BSD-3-Clause\n#include <x.h>\n"
+
+
+def test_more_published_licence_texts(spark):
+    from fleetlens.llm import license_scans
+
+    texts = {"ISC": ISC, "Unlicense": UNLICENSE, "Zlib": ZLIB, "MPL-2.0": MPL, "LGPL-2.1-or-later": LGPL21, "AGPL-3.0-or-later": AGPL, "CC-BY-NC-SA-4.0": CC, "BSD-3-Clause": SPDX}
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(100 + i, "".join(f" * {x}\n" for x in t.splitlines())) for i, t in enumerate(texts.values()) if i < 7]
+    got = {r["doc_id"]: r["license"] for r in license_scans.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: list(texts)[i % 100] for i, _ in rows}
+
+
+def test_padding_doesnt_hide_a_sentence(spark):
+    from fleetlens.llm import license_scans
+
+    rows = [(1, "released under" + " " * 5000 + "the MIT" + "-" * 5000 + "license")]
+    assert license_scans.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).first()["license"] == "MIT"
+
+
+def test_one_row_of_a_component_stays(spark):
+    from fleetlens.llm import simhash_dedup
+
+    rows = [(2, "a b c d", "x"), (5, "some other words here", "x"), (5, "a b c d", "x"), (7, "some other words here", "y"), (None, "only here is this", "z"), (None, "only here is this", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep string")
+    got = simhash_dedup.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(2, "a b c d", "x"), (5, "some other words here", "x"), (None, "only here is this", "z")]))
+
+
+def test_unknown_labels_dont_count(spark):
+    from fleetlens.llm import url_filters
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(i, None if i < 40 else 1, 0) for i in range(80)], "page_id long, quality int, toxic int")
+    outcomes = labels.select("page_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+    pages = spark.createDataFrame([(i, f"http://{'a' if i < 40 else 'b'}.net/") for i in range(80)], "page_id long, url string")
+    assert {r["verdict"] for r in url_filters.filter_urls(pages, outcomes).collect()} == {"allow"}
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    import pytest
+
+    from fleetlens.llm import _common
+
+    class Spark:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class Context:
+                        @staticmethod
+                        def getCheckpointDir():
+                            class Option:
+                                @staticmethod
+                                def isDefined():
+                                    return False
+
+                            return Option
+
+                    return Context
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _common.ensure_checkpoint_dir(Spark)
