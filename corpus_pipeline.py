@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontamination, mixing, near_copies, quality_rules, simhash_dedup, suffix_dedup
-from fleetlens.llm._common import ensure_checkpoint_dir, table
+from fleetlens.llm._common import ensure_checkpoint_dir, remove_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared checkpoint folder and read again."""
+    """All stages over documents, each written to the shared checkpoint folder and read again; a stage's table goes once the next one stands."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}")
     return docs.select(*[F.col(c) for c in docs.columns])
