@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm._common import WORD
+from fleetlens.llm._common import WORD, ensure_checkpoint_dir
 
 GOLDEN = 0.6180339887498949
 #: Slots of a schedule; the block size follows from it, so that errors don't depend on the data's size.
@@ -90,7 +90,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     and a null id hashes as an empty one. Sources may be null or empty; extra
     columns are left aside. No document is taken more than ``most`` times.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    # texts are read once: sums, places and rows all come from this small table
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).checkpoint()
     targets = source_targets(sized, weights, most).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = sized.withColumn("key", key).withColumn("part", F.substring("key", 1, 3))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetlens.llm.license_scans import LICENSE_RULES, SENTENCES
+from fleetlens.llm.mixing import GOLDEN, SLOTS
 from fleetlens.llm.url_filters import RULES, TWO_LABEL_SUFFIXES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -57,21 +58,27 @@ select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items,
 from d left join words using (r) left join items using (r)
 """
 
-# what a source gives is the first words of its stream, repeated; the schedule says only in which order
+# what a source gives is the first words of its stream, repeated; the schedule says in which slot each of its blocks comes
 OP3 = f"""
 with d as (select row_number() over () as r, doc_id, source, len({WORDS}) as size from documents),
 s0 as (select source, cast(sum(size) as bigint) as source_size from d group by 1),
-s1 as (select *, cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as bigint) as weight, 3 * source_size as cap from s0),
+s1 as (select *, row_number() over (order by source nulls last) as source_no, cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as bigint) as weight, 3 * source_size as cap from s0),
 s2 as (select *, row_number() over (order by cap / weight, source nulls last) as nth,
     (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) as level from s1),
 s3 as (select *, coalesce((select level from s2 where level * weight <= cap order by nth limit 1), 0.0) as first from s2),
-s4 as (select source, source_size, least(cast(cap as double), first * weight) as target from s3),
-p as (select r, doc_id, size, source_size, target, cast(round(target) as bigint) as words,
+s4 as (select source, source_no, source_size, least(cast(cap as double), first * weight) as target from s3),
+s5 as (select *, cast(round(target) as bigint) as words, sum(target) over () as total, sum(target) over (order by source_no) as high from s4),
+s6 as (select *, greatest(cast(ceil(round(total) / {SLOTS}) as bigint), 1) as block from s5),
+points as (select i as slot, i * {GOLDEN} - floor(i * {GOLDEN}) as point from range({SLOTS}) t(i)),
+hit as (select slot, source_no, row_number() over (partition by source_no order by slot) - 1 as rank from points join s6 on target > 0 and point >= (high - target) / total and point < high / total and slot < ceil(total / block)),
+p as (select r, doc_id, size, source_no, source_size, target, block, total, words,
     coalesce(sum(size) over (partition by d.source order by md5(coalesce(cast(doc_id as varchar), '')), doc_id, size rows between unbounded preceding and 1 preceding), 0) as place
-    from d join s4 on d.source is not distinct from s4.source)
+    from d join s6 on d.source is not distinct from s6.source)
 select doc_id, size, source_size, target,
-    cast(case when size = 0 then 0 else (words // source_size) * size + greatest(0, least(place + size, words % source_size) - place) end as bigint) as taken from p
+    cast(case when size = 0 then 0 else (words // source_size) * size + greatest(0, least(place + size, words % source_size) - place) end as bigint) as taken,
+    cast(case when size > 0 and place < words then coalesce(slot, ceil(total / p.block) + place // p.block) end as bigint) as first_slot
+from p left join hit on hit.source_no = p.source_no and hit.rank = place // p.block
 """
 
 _KNOWN = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"

@@ -31,7 +31,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return mixing.taken_by_document(mixed).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_by_document(mixed).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
