@@ -296,3 +296,45 @@ def test_columns_of_any_name_pass_the_repeat_removers(spark):
     assert suffix_dedup.remove_repeated_bytes(df).count() == 2
     kept = suffix_dedup.keep_unrepeated(df)
     assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+
+
+def test_schedule_has_low_discrepancy(spark):
+    targets = [1000.0, 2500.0, 500.0, 6000.0]
+    df = spark.createDataFrame(list(enumerate(targets, 1)), "source_no int, target double")
+    slots = 1 << 12
+    rows = sorted((r["slot"], r["source_no"], r["rank"]) for r in mixing.schedule(df, slots).collect())
+    total, count = sum(targets), Counter()
+    n_slots = math.ceil(total / math.ceil(total / slots))
+    for n, (slot, source, rank) in enumerate(r for r in rows if r[0] < n_slots):
+        assert rank == count[source]
+        count[source] += 1
+        for i, t in enumerate(targets, 1):
+            assert abs(count[i] - (slot + 1) * t / total) <= 4
+    assert sum(r[0] >= n_slots for r in rows) <= 2 * len(targets)  # blocks that the points left over
+
+
+def test_trie_between_pointers():
+    rng = np.random.default_rng(8)
+    words = np.sort(rng.integers(0, 1 << 64, 400, np.uint64))
+    pairs = sorted({(int(c), int(k)) for c, k in zip(rng.integers(0, 400, 5000), rng.integers(0, 1 << 45, 5000))})
+    counts = rng.integers(1, 1 << 40, 400)
+    context, keys = np.array([c for c, _ in pairs]), np.array([k for _, k in pairs], np.uint64)
+    trie = lm_scoring.Trie(lm_scoring.Trie.build(words, counts, context, keys, rng.integers(1, 9, len(pairs)), 0.7))
+    got, at = trie.count(np.concatenate([words, words + np.uint64(1)]))
+    assert got.tolist() == [*counts.tolist(), *[0] * 400] and at.tolist() == [*range(400), *[-1] * 400]
+    assert trie.first.access(np.arange(401)).tolist() == np.searchsorted(context, np.arange(401)).tolist()
+    assert (trie.code(context, keys) > 0).all() and not trie.code((context + 1) % 400, keys).any() and not trie.code(np.full(9, -1), keys[:9]).any()
+    assert trie.followers.lows.strides[0] < 8
+
+
+def test_a_stored_model_scores_alike(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id % 3 < 2")  # a small fixture
+    sizes = {"shard_bytes": 1 << 16, "chunk_bytes": 1 << 17}
+    lm_scoring.train(docs, str(tmp_path / "model"), **sizes)
+    want = {r["doc_id"]: tuple(r) for r in lm_scoring.score(docs, **sizes).collect()}
+    got = {r["doc_id"]: tuple(r) for r in lm_scoring.score_with(docs, str(tmp_path / "model"), chunk_bytes=1 << 16).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i][1:5] == w[1:5] and got[i][5:] == pytest.approx(w[5:])
+    other = lm_scoring.score_with(spark.createDataFrame([(1, "never seen words zzzq"), (None, None)], "doc_id long, text string"), str(tmp_path / "model")).collect()
+    assert sorted(r["n_tokens"] for r in other) == [1, 5]
