@@ -1,14 +1,14 @@
 """Near copies by exact similarity of five-word shingles, for stages without a contract of their own.
 
 Texts whose sets of shingles have a Jaccard similarity of 0.8 or more are
-linked. Candidates share a band of min-hashes: a pair at 0.8 shares none of
-BANDS bands of ROWS hashes in (1 - 0.8**6)**32, 1 of 17000, and closer pairs
-share one surer. Candidates are gathered by component and compared by their
-whole sets, so that nothing is linked on an estimate.
-
-A covering code of fingerprints isn't used here: at a similarity of 0.8 they
-lie some 7 to 13 bits apart, and a code for these distances sends each
-fingerprint to most of its anchors.
+linked. Candidates come from op 9's anchors, over fingerprints of the five-word
+shingles, as far as these differ in 3 bits or fewer; at a similarity of 0.8 they
+lie some 7 to 13 bits apart, and a covering code for these distances sends each
+fingerprint to most of its anchors. Those further apart so come from bands of
+min-hashes: a pair at 0.8 shares none of BANDS bands of ROWS hashes in
+(1 - 0.8**6)**32, 1 of 17000, and closer pairs share one surer. Candidates are
+gathered by component and compared by their whole sets, so that nothing is
+linked on an estimate.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from xxhash import xxh64_intdigest
 
 from fleetlens.llm._common import ASCII_LOWER, blob, chunks, ensure_checkpoint_dir, for_group, map_batches, texts
 from fleetlens.llm._repeats import MIN_ID
-from fleetlens.llm.simhash_dedup import components
+from fleetlens.llm.simhash_dedup import components, links, majority
 
 SHINGLE, SEED = 5, 42
 #: A similarity of NUM / DEN at least is a link.
@@ -102,17 +102,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
             found = [shingles(x) for x in lines]
             node = np.array([xxh64_intdigest(blob(x), SEED) for x in found], np.uint64).view(np.int64)
             keys = [bands(x).view(np.int64) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array([z.compress(x) for x in lines], pa.binary())], names=["doc_id", "text_hash", "node", "bands", "line"])
+            prints = [int(np.uint64(majority(x)).view(np.int64)) if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64()), pa.array([z.compress(x) for x in lines], pa.binary())], names=["doc_id", "text_hash", "node", "bands", "fingerprint", "line"])
 
     def compare(t: pa.Table) -> pa.Table:
         node, z = t.column("node").to_numpy(), zstandard.ZstdDecompressor()
         edges = np.array(linked([shingles(z.decompress(x)) for x in t.column("line").to_pylist()]), np.int64).reshape(-1, 2)
         return pa.table({"u": node[edges[:, 0]], "v": node[edges[:, 1]]})
 
-    known = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), scan, "doc_id long, text_hash long, node long, bands array<long>, line binary").checkpoint()
+    known = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), scan, "doc_id long, text_hash long, node long, bands array<long>, fingerprint long, line binary").checkpoint()
     keys = known.select("node", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m != x").select("band", "m")
-    candidates = components(keys.join(shared, "band").where("node != m").select(F.col("node").alias("u"), F.col("m").alias("v")).distinct())
+    banded = keys.join(shared, "band").where("node != m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    prints = known.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("node").alias("m"))
+    same = known.join(prints, "fingerprint").where("node != m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    near = links(prints).join(prints.select(F.col("fingerprint").alias("u"), F.col("m").alias("node_u")), "u").join(prints.select(F.col("fingerprint").alias("v"), F.col("m").alias("node_v")), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    candidates = components(banded.unionByName(same).unionByName(near).distinct())
     sets = known.select("node", "line").join(candidates, "node").groupBy("root", "node").agg(F.first("line").alias("line"))
     roots = components(sets.groupBy("root").applyInArrow(for_group(compare), "u long, v long"))
     distinct = known.groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -44,10 +44,23 @@ def fingerprint(text: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
     n, counts = len(begin), np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         h = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(begin[i : i + (1 << 16)], end[i : i + (1 << 16)], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += _bits_set(h)
+    return _over_half(counts, n)
+
+
+def _bits_set(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _over_half(counts: np.ndarray, n: int) -> int:
     return int((np.uint64(1) << np.flatnonzero(2 * counts > n).astype(np.uint64)).sum())
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    return _over_half(sum((_bits_set(h[i : i + (1 << 16)]) for i in range(0, len(h), 1 << 16)), np.zeros(64, np.int64)), len(h))
+
+
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fingerprint as long) for each row of ``docs`` (doc_id, text), and the columns ``keep``, which are longs."""
 
