@@ -49,20 +49,26 @@ _NAME = r"^[^0-9'@(),;.*+=<>!%&|^~/-]"
 
 def _v(i: int) -> Column:
     """The unit ``i`` places on, in upper case; '' beyond the script."""
-    return F.get("w", F.lit(sc.BACK + i))
+    return F.expr(f"get(w, {sc.BACK + i})")
 
 
 def _is(c: Column, *words: str) -> Column:
     return F.coalesce(c.isin(*words), F.lit(False))
 
 
+def _among(i: int, words: tuple[str, ...]) -> str:
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return f"coalesce(get(w, {sc.BACK + i}) in ({quoted}), false)"
+
+
 def _at(i: int, *words: str) -> Column:
-    return _is(_v(i), *words)
+    # one parsed expression: building these call by call takes longer than running them
+    return F.expr(_among(i, words))
 
 
 def _seq(*words: str | tuple[str, ...], start: int = 0) -> Column:
     """Units from ``start`` on are these words; a tuple lists alternatives."""
-    return reduce(lambda a, b: a & b, [_at(start + i, *((w,) if isinstance(w, str) else w)) for i, w in enumerate(words)])
+    return F.expr(" and ".join(_among(start + i, (w,) if isinstance(w, str) else w) for i, w in enumerate(words)))
 
 
 def _like(c: Column, pattern: str) -> Column:
