@@ -76,6 +76,23 @@ def plain_bytes(rows, w=50):
         yield i, len(x), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1])), sha(bytes(a for a, g in zip(x, gone) if not g))
 
 
+def without_bytes(rows, w=50):
+    """The texts by doc_id without the bytes that ``plain_bytes`` counts."""
+    raw = {i: (t or "").encode() for i, t in rows}
+    seen = {}
+    for i, x in sorted(raw.items()):
+        for s in range(len(x) - w + 1):
+            seen.setdefault(x[s : s + w], i)
+    out = {}
+    for i, t in rows:
+        x, gone = raw[i], bytearray(len(raw[i]))
+        for s in range(len(x) - w + 1):
+            if seen[x[s : s + w]] < i:
+                gone[s : s + w] = b"\1" * w
+        out[i] = None if t is None else bytes(c for c, g in zip(x, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
 @pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 1 << 15, "chunk_bytes": 1 << 16}])
 def test_repeated_windows(spark, documents, odd, sizes):
     for df, rows in ((spark.read.parquet(f"{SF}/documents.parquet"), [tuple(r) for r in documents]), (odd, [r[:2] for r in ODD])):
@@ -259,8 +276,7 @@ def test_pipeline(spark):
     near = simhash_dedup.near_duplicates(kept).collect()
     assert sorted(r["doc_id"] for r in one.collect()) == sorted({r["component_id"] for r in near})
     cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, one, SF).collect()}
-    want = {i: n - gone for i, n, gone, *_ in plain_bytes([(r["doc_id"], r["text"]) for r in one.collect()])}
-    assert all(0 <= want[i] - len(t.encode()) <= 8 for i, t in cut.items() if want[i] == len(t.encode())) and set(cut) == set(want)
+    assert cut == without_bytes([(r["doc_id"], r["text"]) for r in one.collect()])
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
@@ -338,3 +354,79 @@ def test_a_stored_model_scores_alike(spark, tmp_path):
         assert got[i][1:5] == w[1:5] and got[i][5:] == pytest.approx(w[5:])
     other = lm_scoring.score_with(spark.createDataFrame([(1, "never seen words zzzq"), (None, None)], "doc_id long, text string"), str(tmp_path / "model")).collect()
     assert sorted(r["n_tokens"] for r in other) == [1, 5]
+
+
+def test_token_counts_of_all_documents_equal_the_library(spark, documents):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r["n_tokens"] for r in queries()["op8_token_counts"](spark, SF).collect()}
+    assert got == {i: len(sp.encode(t or "")) for i, t in documents}
+
+
+def plain_verdict(text):
+    import zstandard
+
+    t = (text or "").encode()
+    words = t.split()
+    windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    inside = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+    if len(words) < 10 or 100 * len(inside) > 20 * len(words):
+        return False
+    squeeze = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+    band = lambda bands, n: [(lo, hi) for upto, lo, hi in bands if n <= upto][0]
+    lo, hi = band(quality_rules.BANDS, len(t))
+    if not lo <= squeeze(t) <= hi:
+        return False
+    outside = 0
+    for k in range(-(-len(t) // 1024)):
+        piece = t[1024 * k : 1024 * k + 1024]
+        lo, hi = band(quality_rules.CHUNK_BANDS, len(piece))
+        outside += 0 if lo <= squeeze(piece) <= hi else len(piece)
+    return outside <= 0.1 * len(t)
+
+
+def test_quality_verdicts(spark, documents):
+    got = {r["doc_id"]: r["kept"] for r in queries()["op4_quality_rules"](spark, SF).collect()}
+    assert got == {i: plain_verdict(t) for i, t in documents} and 0 < sum(got.values()) < len(got)
+
+
+def test_pipeline_against_a_plain_version(spark):
+    import re
+
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+    left = {i: t for i, t in left.items() if plain_verdict(t)}
+
+    def five(t):
+        w = (t or "").translate(LOWER).encode().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, label = {i: five(t) for i, t in left.items()}, {i: i for i in left}
+    links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    left = without_bytes([(i, t) for i, t in left.items() if label[i] == i])
+    words = lambda t: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (t or "").translate(LOWER))
+    items = [words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + min(10, len(w))]) for w in items if w for k in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    left = {i: t for i, t in left.items() if not any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))}
+    now = docs
+    for name in ("quality rules", "near duplicates", "repeated passages", "benchmark leaks"):
+        now = stages[name](spark, now, SF)
+        assert now.columns == docs.columns
+    rows = now.collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == left and len(rows) == len(left)
+    mixed = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in mixed} <= set(left)
+    taken, target = Counter(), {}
+    for r in mixed:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 < r["taken"] <= 3 * r["size"] == 3 * len((left[r["doc_id"]] or "").encode().split())
+    assert all(taken[x] == round(t) for x, t in target.items())
