@@ -290,7 +290,7 @@ def _cut_by(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut[:-1], cut[1:], strict=True))
 
 
-def _slices(raw: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
+def slices(raw: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
     """Rows of about ``limit`` bytes."""
     group = np.cumsum([len(x) for x in raw]) // limit if raw else np.zeros(0, np.int64)
     return (slice(a, b) for a, b in _cut_by(group))
@@ -310,7 +310,7 @@ def anchors_again(packed: DataFrame, read: Read, w: int, m: int, n_shards: int)
 
     def ask(t: pa.Table) -> pa.Table:
         z, raw = zstandard.ZstdCompressor(level=1), _row_bytes(t.column("_text"))
-        key, _ = distinct(np.concatenate([np.zeros(0, np.int64), *(distinct(_asked(segments_of(read(raw[x]), w, m)[4], n_shards))[0] for x in _slices(raw))]))
+        key, _ = distinct(np.concatenate([np.zeros(0, np.int64), *(distinct(_asked(segments_of(read(raw[x]), w, m)[4], n_shards))[0] for x in slices(raw))]))
         chunk = t.column("_chunk")[0].as_py()
         rows = [(int(key[a] >> 32), chunk, pack([key[a:b].astype(np.uint32)], z)) for a, b in _cut_by(key >> 32)]
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["shard", "chunk", "grams"])
@@ -359,7 +359,7 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
     def deal_again(left: pa.Table, right: pa.Table) -> pa.Table:
         z, raw = zstandard.ZstdCompressor(level=3), _row_bytes(left.column("_text"))
         ids, keys = left.column("_id").to_numpy(), left.column("_key").to_numpy()
-        segments = [segments_of(read(raw[x]), w, m) for x in _slices(raw)]
+        segments = [segments_of(read(raw[x]), w, m) for x in slices(raw)]
         own = [_asked(x[4], n_shards) for x in segments]
         key, times = distinct(np.concatenate([np.zeros(0, np.int64), *own]))
         twice = times > 1
@@ -367,7 +367,7 @@ def find_cuts(packed: DataFrame, read: Read, resolve: Callable, w: int, m: int,
             a, b = np.searchsorted(key, [s << 32, (s + 1) << 32])
             twice[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         found = []
-        for i, x in enumerate(_slices(raw)):
+        for i, x in enumerate(slices(raw)):
             chosen = np.flatnonzero(twice[np.searchsorted(key, own[i])])
             kept, segments[i], own[i] = tuple(y[chosen] for y in segments[i]), (), own[i][:0]
             found += deal_rows(ids[x], keys[x], read(raw[x]), kept, z)

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import mmap
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm._common import ASCII_LOWER, chunks, for_group, for_groups, map_batches
-from fleetlens.llm._repeats import MIN_ID, gather, mixed, pack, read_hashes, squeezed, unpack
+from fleetlens.llm._repeats import MIN_ID, distinct, mixed, pack, read_hashes, slices, squeezed, unpack, word_symbols
 
 #: Marks that no word can be: words hold no blanks.
 BEGIN, END = b" ", b"\n"
@@ -195,15 +194,24 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
+def _word_values(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, A-Z lower-cased, and how many each text has."""
+    parts = [word_symbols([t.translate(ASCII_LOWER) for t in raw[x]]) for x in slices(raw)]
+    return np.concatenate([np.zeros(0, np.uint64), *[p.values for p in parts]]), np.concatenate([np.zeros(0, np.int64), *[p.counts for p in parts]])
+
+
 class Chunk:
     """Different words and pairs of some texts, in an order that doesn't depend on the texts' order."""
 
     def __init__(self, raw: list[bytes], train: list[bool], shards: int, leaders: dict[int, int]) -> None:
-        words = [t.translate(ASCII_LOWER).split() for t in raw]
-        self.sizes = np.array([len(x) + 1 for x in words], np.int64)
-        values = read_hashes([w for x in words for w in (BEGIN, *x, END)])
+        words, own = _word_values(raw)
+        self.sizes = own + 1
+        begin = np.cumsum(self.sizes + 1) - (self.sizes + 1)
+        values, inside = np.empty(int((self.sizes + 1).sum()), np.uint64), np.ones(int((self.sizes + 1).sum()), bool)
+        values[begin], values[begin + self.sizes] = read_hashes([BEGIN, END])
+        inside[begin] = inside[begin + self.sizes] = False
+        values[inside] = words
         unique, ids = np.unique(values, return_inverse=True)
-        begin = np.concatenate([[0], np.cumsum(self.sizes + 1)])[:-1]
         token = np.ones(len(ids), bool)
         token[begin] = False
         place = np.flatnonzero(token)
@@ -274,16 +282,13 @@ def leaders_of(docs: DataFrame, shards: int) -> dict[int, int]:
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            c: Counter[bytes] = Counter()
-            n = 0
-            for t in b.column("text").cast(pa.large_binary()).to_pylist():
-                words = (t or b"").translate(ASCII_LOWER).split()
-                n += len(words) + 1
-                c.update(words)
-                c[BEGIN] += 1
-            best = [(w, x) for w, x in c.items() if x * 4 * shards >= n]
-            words = read_hashes([w for w, _ in best]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([x for _, x in best], pa.int64()), pa.array([n] + [0] * (len(best) - 1) if best else [], pa.int64())], names=["word", "n", "total"])
+            words, own = _word_values([t or b"" for t in b.column("text").cast(pa.large_binary()).to_pylist()])
+            word, times = distinct(np.concatenate([words, np.full(len(own), read_hashes([BEGIN])[0])]))
+            n = len(words) + len(own)
+            best = times * 4 * shards >= n
+            total = np.zeros(int(best.sum()), np.int64)
+            total[:1] = n
+            yield pa.RecordBatch.from_arrays([pa.array(word[best].view(np.int64)), pa.array(times[best]), pa.array(total)], names=["word", "n", "total"])
 
     seen = map_batches(docs.select("text"), top, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     seen = seen.persist()
