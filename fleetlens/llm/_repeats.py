@@ -435,8 +435,9 @@ def with_repeats(docs: DataFrame, read: Read, resolve: Callable, keep: Callable,
     n_shards, n_chunks = max(1, -(-total // shard_bytes)), max(1, -(-total // chunk_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     keyed = docs.select(row.alias("row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("_id"), F.xxhash64("doc_id", "text").alias("_key"))
+    # asking, dealing and cutting share one shuffle of the whole rows
     left = squeezed(keyed).withColumn("_chunk", F.pmod("_key", F.lit(n_chunks)).cast("int"))
-    cuts = find_cuts(left.select("_id", "_key", "_chunk", "_text") if ask_first else keyed.select("_id", "_key", "text"), read, resolve, w, m, by_row, n_shards, n_chunks, ask_first)
+    cuts = find_cuts(left if ask_first else keyed.select("_id", "_key", "text"), read, resolve, w, m, by_row, n_shards, n_chunks, ask_first)
     schema = keyed.selectExpr("row", "text", *[f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in fields.split(", ")]).schema
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
