@@ -102,4 +102,62 @@ n as (select doc_id, count(*) as n_removed from gone group by 1)
 select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join n using (doc_id) left join left_ using (doc_id)
 """
 
-ORACLES = {"op1_url_filters": OP1, "op2_benchmark_decontamination": OP2, "op3_mixing": OP3, "op5_license_scans": OP5, "op6_substring_dedup": OP6}
+_CRC = """xor(list_reduce(list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: cast(ascii(c) as bigint)),
+    lambda crc, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::bigint), 4294967295::bigint)"""
+_CLOSED = "[least(x[1], 2 + least(x[3], 2 + x[4])), least(x[2], 2 + least(x[3], 2 + x[4])), least(x[3], 2 + x[4]), least(x[4], 2 + least(x[3], 2 + x[4]))]"
+_KEEP = "case when lead = 's' and q = 0 then 1 when lead = 'u' and q <> 2 then 2 when lead = 'a' and q = 2 then 3 end"
+# costs to go before each row, from the last to the first; then the walk, an edit a step
+OP11 = rf"""
+with recursive r as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC} % 20 as kind from conversations),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case kind when 0 then [] when 3 then [1, 2] else [1] end) as copy from r),
+o as (select *, dense_rank() over (order by conv_id nulls first) as k from d),
+p as (select *, row_number() over (partition by k order by turn nulls first, role, text) as i, left(role, 1) as lead from o),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by k, role, text order by i) > 1 then 'd' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 't' else 'f' end as fault, lag(lead) over (partition by k order by i) as led from p),
+n as (select k, any_value(conv_id) as conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+    count(*) filter (where led is not null and led || lead not in ('su', 'ua', 'au')) as illegal from f group by 1),
+back as (select k, n as i, [0, 4, 2, 0]::bigint[] as v from n
+    union all select k, i, {_CLOSED} from (select f.k, f.i - 1 as i, case when fault in ('b', 'd') then list_transform(v, lambda y: y + 3) else [
+        least(3 + v[1], 2 + t + v[3], case lead when 's' then t + v[2] when 'u' then t + v[3] else 99999999 end), least(3 + v[2], 2 + t + v[3], case when lead = 'u' then t + v[3] else 99999999 end),
+        least(3 + v[3], 2 + t + v[4], case when lead = 'a' then t + v[4] else 99999999 end), least(3 + v[4], 2 + t + v[3], case when lead = 'u' then t + v[3] else 99999999 end)] end as x
+        from back join (select *, cast(fault = 't' as bigint) as t from f) f on f.k = back.k and f.i = back.i)),
+walk as (select k, 0::bigint as i, 0 as q, '' as audit, 0::bigint as cost, []::varchar[] as said from n
+    union all select k, case edit when 'I' then i else i + 1 end, case edit when 'D' then q when 'K' then keep else nxt end, audit || edit, cost + case edit when 'D' then 3 when 'I' then 2 when 'K' then t else 2 + t end,
+        case edit when 'D' then said when 'I' then list_append(said, want || ':') when 'K' then list_append(said, role || ':' || text) else list_append(said, want || ':' || text) end
+    from (select *, case when i < n and (fault in ('b', 'd') or 3 + after[q + 1] = now[q + 1]) then 'D' when 2 + now[nxt + 1] = now[q + 1] then 'I' when keep is not null and t + after[keep + 1] = now[q + 1] then 'K' else 'R' end as edit
+        from (select w.*, n.n, f.fault, f.role, f.text, cast(coalesce(f.fault, '') = 't' as bigint) as t, b.v as now, a.v as after, case when q = 2 then 3 else 2 end as nxt, case when q = 2 then 'assistant' else 'user' end as want, {_KEEP} as keep
+            from walk w join n on n.k = w.k join back b on b.k = w.k and b.i = w.i left join back a on a.k = w.k and a.i = w.i + 1 left join f on f.k = w.k and f.i = w.i + 1
+            where w.i < n.n or q in (1, 2)))),
+done as (select walk.k, audit, cost, said from walk join n on n.k = walk.k where i = n and q in (0, 3)),
+every as (select distinct conv_id from conversations)
+select every.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(said, chr(10)), '')) as repaired_sha256
+from every left join n on n.conv_id is not distinct from every.conv_id left join done on done.k = n.k
+"""
+
+OP12 = """
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1),
+j as (select p.*, case when first is not null and page_id is distinct from first then first end as refers_to from p left join f using (payload_digest))
+select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to from j
+"""
+
+_SQUARES = "list_sum(list_transform(list_zip(v.c, m.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _round(i: int) -> str:
+    """Vectors with their nearest centroid of round i, and the centroids of the next."""
+    return f"""
+a{i} as materialized (select r, any_value(vec_id) as vec_id, any_value(v.c) as c, min({_SQUARES}::hugeint * 16 + n) as best from v, c{i} m group by r),
+s{i} as (select n, j, cast(floor(sum(x) / count(*)) as bigint) as x from (select cast(best % 16 as bigint) as n, unnest(c) as x, unnest(range(64)) as j from a{i}) group by 1, 2),
+c{i + 1} as materialized (select n, coalesce(u.c, m.c) as c from c{i} m left join (select n, list(x order by j) as c from s{i} group by 1) u using (n))"""
+
+
+OP13 = f"""
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * greatest(least(cast(x as double), 131072.0), -131072.0)) as bigint)) as c from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (select row_number() over (order by h, c) - 1 as n, c from (select sha256('3:' || coalesce(cast(vec_id as varchar), '')) as h, c from v order by h, c limit 8)),
+{",".join(_round(i) for i in range(11))},
+f as (select vec_id, cast(best % 16 as bigint) as n, cast(best // 16 as bigint) as distance from a10)
+select vec_id, cast(n as int) as cluster, distance, cast(sum(distance) over (partition by n) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(c10.c, ',')) as centroid_sha256 from f join c10 using (n)
+"""
+
+ORACLES = {"op1_url_filters": OP1, "op2_benchmark_decontamination": OP2, "op3_mixing": OP3, "op5_license_scans": OP5, "op6_substring_dedup": OP6, "op11_conversation_repair": OP11, "op12_warc": OP12, "op13_centroid_clustering": OP13}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontamination, license_scans, lm_scoring, mixing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, url_filters
+from fleetlens.llm import ball_kmeans, conversation_repair, decontamination, license_scans, lm_scoring, mixing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_counts, url_filters, warc_archives
 from fleetlens.llm._common import ensure_checkpoint_dir, table
 from fleetlens.llm.oracles import ORACLES
 
@@ -65,8 +66,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/warc-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("captured_at", F.timestamp_seconds(1_704_067_200 + F.col("page_id")))
+    return warc_archives.archived(pages, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_benchmark_decontamination, op3_mixing, op4_quality_rules, op5_license_scans, op6_substring_dedup, op7_suffix_array_dedup, op8_token_counts, op9_simhash_near_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_url_filters, op2_benchmark_decontamination, op3_mixing, op4_quality_rules, op5_license_scans, op6_substring_dedup, op7_suffix_array_dedup, op8_token_counts, op9_simhash_near_dedup, op10_lm_scoring, op11_conversation_repair, op12_warc, op13_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
