@@ -7,18 +7,23 @@ come from ``max_by``, which combines before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 #: Fixed values of the regression test and the trust rule.
 Z_SCORE, MIN_SAMPLES, MIN_EXECUTIONS, MIN_DELTA_MS = 3.0, 6, 10, 5.0
 MAX_GAP_SECONDS = 3600
 UNUSED_UPDATES, UNUSED_LIMIT, REGRESSION_LIMIT = 100, 50, 50
 COOLDOWN_SECONDS = 900
+#: Seconds of a key's breaches that are one row at least, and two cooldowns.
+STRETCH = 4 * 86_400
 
 
 def top_queries(store: DataFrame, n: int, by: str = "duration") -> DataFrame:
@@ -91,33 +96,82 @@ def fired_alerts(breaches: DataFrame, cooldown: int = COOLDOWN_SECONDS) -> DataF
     """Of (keys, at seconds), those that fire: a key's first, and each at least ``cooldown`` after its last that fired.
 
     All columns but ``at`` are the key: the rule, and in a fleet the instance.
-    Breaches are cut to one a second. After a gap of the cooldown the next one
-    fires in any case, so that a key's breaches fall into runs that are folded
-    apart, in order, with one number of state; nothing is gathered. Rows
-    without a time are left out.
+    Breaches are cut to one a second while they are dealt to stretches of time,
+    so that a key with a third of all rows is many tasks. What a stretch makes
+    of the last alert before it is a step function of few steps; a key's
+    functions, one a stretch, are composed in order, and each stretch then
+    follows its breaches from where its key stands. Rows without a time are left out.
     """
     keys = [c for c in breaches.columns if c != "at"]
-    schema = StructType([*[breaches.schema[k] for k in keys], StructField("fired_at", LongType())])
-    by = Window.partitionBy(*keys).orderBy("at")
-    once = breaches.where("at is not null").select(*keys, F.col("at").cast("long").alias("at")).distinct()
-    parted = once.withColumn("parts", F.coalesce(F.col("at") - F.lag("at").over(by) >= cooldown, F.lit(True)))
-    runs = parted.withColumn("run", F.sum(F.col("parts").cast("long")).over(by))
-    in_order = runs.repartition(*keys, "run").sortWithinPartitions(*keys, "run", "at").select(*keys, "run", "at")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, last = None, 0
+    cooldown = max(1, cooldown)  # breaches are one a second
+    width = max(2, -(-STRETCH // cooldown)) * cooldown
+    kinds = [breaches.schema[k] for k in keys]
+    at = F.col("at").cast("long")
+    dealt = breaches.where("at is not null").select(*keys, (at - F.pmod(at, F.lit(width))).alias("stretch"), at.alias("at"))
+    dealt = dealt.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_set("at")).alias("times"))
+    steps = dealt.mapInArrow(_steps(keys, cooldown), StructType([*kinds, StructField("stretch", LongType()), StructField("limits", ArrayType(LongType())), StructField("ends", ArrayType(LongType()))]))
+    before = steps.groupBy(*keys).applyInArrow(_composed(keys, cooldown), StructType([*kinds, StructField("stretch", LongType()), StructField("last", LongType())]))
+    before = before.select(*[F.col(k).alias(f"of_{i}") for i, k in enumerate(keys)], F.col("stretch").alias("from"), "last")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{i}")) for i, k in enumerate(keys)], F.col("stretch") == F.col("from"))
+    return dealt.join(before, same).select(*keys, "times", "last").mapInArrow(_followed(keys, cooldown), StructType([*kinds, StructField("fired_at", LongType())]))
+
+
+def _times(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for x in batch.column("times"):
+        yield x.values.to_numpy(zero_copy_only=False)
+
+
+def _steps(keys: list[str], cooldown: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The last alert of a stretch by when the first may come: ``ends[i]`` for the i-th step, up to ``limits[i]``; null if none comes."""
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            limits, ends = [], []
+            for start, times in zip(b.column("stretch").to_pylist(), _times(b), strict=True):
+                # an alert before the stretch bars nothing beyond its first cooldown
+                first = times[: np.searchsorted(times, start + cooldown) + 1]
+                last = first.copy()
+                while (found := np.searchsorted(times, last + cooldown)).min(initial=len(times)) < len(times):
+                    last = np.where(found < len(times), times[np.minimum(found, len(times) - 1)], last)
+                cuts = np.flatnonzero(np.diff(last))
+                limits.append([*first[cuts].tolist(), int(first[-1])])
+                ends.append([*last[cuts].tolist(), int(last[-1]), None])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("stretch"), pa.array(limits, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=[*keys, "stretch", "limits", "ends"])
+
+    return steps
+
+
+def _composed(keys: list[str], cooldown: int) -> Callable[[pa.Table], pa.Table]:
+    """A key's last alert before each of its stretches; a row a stretch, so that a key's rows grow with the time it spans only."""
+
+    def composed(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("stretch").to_numpy())
+        limits, ends, last, found = t.column("limits").to_pylist(), t.column("ends").to_pylist(), None, [None] * len(order)
+        for i in order:
+            found[i] = last
+            step = 0 if last is None else bisect_left(limits[i], last + cooldown)
+            last = last if ends[i][step] is None else ends[i][step]
+        return t.select([*keys, "stretch"]).append_column("last", pa.array(found, pa.int64()))
+
+    return composed
+
+
+def _followed(keys: list[str], cooldown: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The alerts of each stretch."""
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [b.column(k).to_pylist() for k in keys]
-            fired = []
-            for i, (run, t) in enumerate(zip(b.column("run").to_pylist(), b.column("at").to_pylist(), strict=True)):
-                key = (*(c[i] for c in own), run)
-                if key != current or t - last >= cooldown:
-                    fired.append(i)
-                    current, last = key, t
-            rows = b.take(pa.array(fired, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], rows.column("at")], names=[*keys, "fired_at"])
-
-    return in_order.mapInArrow(fold, schema)
+            rows, fired = [], []
+            for i, (times, last) in enumerate(zip(_times(b), b.column("last").to_pylist(), strict=True)):
+                at = 0 if last is None else int(np.searchsorted(times, last + cooldown))
+                while at < len(times):
+                    rows.append(i)
+                    fired.append(int(times[at]))
+                    at = int(np.searchsorted(times, times[at] + cooldown))
+            own = b.select(keys).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(fired, pa.int64())], names=[*keys, "fired_at"])
+
+    return followed
 
 
 def top_wait(waits: DataFrame, ignorable: list[str]) -> DataFrame:

@@ -42,3 +42,26 @@ def test_rules_fire_and_stay_silent(spark):
     sql = ["SELECT * FROM dbo.a WITH (NOLOCK) WHERE b NOT IN (SELECT c FROM dbo.d) AND e LIKE '%f'", "SELECT [*], a /* NOLOCK */ FROM dbo.b WHERE c LIKE 'x%' AND d IN (1)", None]
     got = rules.findings(tsql.tokens(spark.createDataFrame(list(enumerate(sql)), "doc_id long, sql string"))).collect()
     assert {(r["doc_id"], r["rule"]) for r in got} == {(0, x) for x in ("hygiene.select_star", "hygiene.nolock", "sarg.not_in_nullable", "sarg.leading_wildcard")}
+
+
+def test_cooldown_of_one_large_key_is_many_rows(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    for cooldown, span in ((900, 3_000_000), (72_000, 40_000_000), (500_000, 9_000_000), (1, 500_000)):
+        rng = random.Random(cooldown)
+        times = sorted({rng.randrange(-span, span) for _ in range(4000)} | set(range(0, 3000, 7)))
+        want, last = [], None
+        for t in times:
+            if last is None or t - last >= cooldown:
+                want.append(t)
+                last = t
+        df = spark.createDataFrame([(None, t) for t in times] + [(None, times[5])], "rule_id string, at long").repartition(5)
+        got = telemetry.fired_alerts(df, cooldown)
+        assert sorted(r["fired_at"] for r in got.collect()) == want
+    grown = [spark.range(n * 400_000).select(F.lit(1).alias("instance_id"), (F.col("id") * 7).alias("at")) for n in (1, 4)]
+    width = 345_600
+    sizes = [max(r["n"] for r in g.groupBy(F.floor(F.col("at") / width)).agg(F.count("*").alias("n")).collect()) for g in grown]
+    assert sizes[0] == sizes[1]  # rows that meet in one array don't grow with the key
+    assert telemetry.fired_alerts(grown[1]).count() == -(-4 * 400_000 * 7 // 903)
