@@ -71,6 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "missing_index_findings": lambda s, d: _keyed(advisor.missing_index_findings(catalog.missing_indexes(s, d), _rows(s, d))),
         "create_index": lambda s, d: _keyed(advisor.create_index(catalog.missing_indexes(s, d), _rows(s, d))),
         "missing_without_prefixes": lambda s, d: _keyed(advisor.without_prefixes(catalog.missing_indexes(s, d))).withColumn("included_columns", F.array_join("included_columns", ",")),
+        "consolidated_indexes": lambda s, d: _keyed(advisor.consolidated(catalog.missing_indexes(s, d))).withColumn("included_columns", F.array_join("included_columns", ",")),
+        "advised_indexes": lambda s, d: _keyed(advisor.advised_indexes(catalog.missing_indexes(s, d), _rows(s, d), catalog.indexes(s, d))).withColumn("included_columns", F.array_join("included_columns", ",")),
         "drop_index": lambda s, d: advisor.drop_index(catalog.indexes(s, d)),
         "merge_index": lambda s, d: advisor.merge_index(catalog.indexes(s, d)),
         "columnstore_candidates": lambda s, d: advisor.columnstore_candidates(_table_uses(s, d)),
@@ -82,9 +84,20 @@ _READS = "seeks + scans + lookups"
 _SMS = "samples as (select query_id, captured_at, event_id, total_duration_ms / executions as ms from query_store where executions > 0)"
 
 
+#: Each request's way up to the first one that extends it, again and again.
+_CONSOLIDATED = """one as (select table_name, key_columns as keys, max(impact) as impact, max(cost) as cost, cast(sum(seeks) as bigint) as seeks, count(*) as requests from missing group by 1, 2),
+extras as (select table_name, key_columns as keys, unnest(included_columns) as x from missing),
+ups as (select a.table_name, a.keys, min(b.keys) as up from one a join one b on a.table_name = b.table_name and len(b.keys) > len(a.keys) and b.keys[1 : len(a.keys)] = a.keys group by 1, 2),
+way as (select table_name, keys, keys as top from one union all select way.table_name, way.keys, ups.up from way join ups on ups.table_name = way.table_name and ups.keys = way.top),
+ended as (select * from way where not exists (select 1 from ups where ups.table_name = way.table_name and ups.keys = way.top)),
+sums as (select e.table_name, e.top as keys, max(impact) as impact, max(cost) as cost, cast(sum(seeks) as bigint) as seeks, cast(sum(requests) as bigint) as requests from ended e join one on one.table_name = e.table_name and one.keys = e.keys group by 1, 2),
+names as (select e.table_name, e.top as keys, list(distinct x order by x) as extra from ended e join extras x on x.table_name = e.table_name and x.keys = e.keys group by 1, 2),
+whole as (select sums.*, coalesce(extra, []) as extra, array_to_string(sums.keys, ',') as key_columns, coalesce(array_to_string(extra, ','), '') as included_columns from sums left join names on names.table_name = sums.table_name and names.keys = sums.keys)"""
+
+
 def oracle_sql(deltas: str) -> dict[str, str]:
     """``deltas``: the text of the views that end in ``deltas``."""
-    w, c = f"with recursive {views.SQL}", f"with {views.SQL}, {catalog.SQL}"
+    w, c, r = f"with recursive {views.SQL}", f"with {views.SQL}, {catalog.SQL}", f"with recursive {views.SQL}, {catalog.SQL}"
     snap = "snap as (select instance_id, date_trunc('hour', ts) as captured_at, count(*) filter (where event_type = 'error') as deadlocks, round(avg(value), 4) as latency, count(*) * 100 as life, cast(max(k) as double) as gb from ev group by all)"
     merged = "max(impact) as impact, max(cost) as cost, cast(sum(seeks) as bigint) as seeks"
     return {
@@ -113,6 +126,17 @@ def oracle_sql(deltas: str) -> dict[str, str]:
             whole as (select a.table_name, a.key_columns, b.key_columns as part, b.impact, b.cost, b.seeks from one a join one b on a.table_name = b.table_name and a.key_columns[1 : len(b.key_columns)] = b.key_columns and len(b.key_columns) <= len(a.key_columns)),
             top as (select * from whole where (table_name, key_columns) not in (select (table_name, part) from whole where len(key_columns) > len(part)))
             select table_name, array_to_string(key_columns, ',') as key_columns, {merged}, coalesce((select string_agg(distinct x, ',' order by x) from extra e where e.table_name = top.table_name and top.key_columns[1 : len(e.key_columns)] = e.key_columns), '') as included_columns from top group by top.table_name, top.key_columns""",
+        "consolidated_indexes": f"{r}, {_CONSOLIDATED} select table_name, key_columns, included_columns, impact, cost, seeks, requests from whole",
+        "advised_indexes": f"""{r}, {_CONSOLIDATED}, there as (select table_name, index_name, key_columns, included_columns from indexes where not is_primary_key and not is_unique and not is_clustered),
+            wanted as (select whole.* from whole left join table_rows using (table_name) where rows >= 1000 or rows is null),
+            met as (select w.table_name, w.key_columns, bool_or(len(list_filter(w.extra, lambda x: not list_contains(list_concat(t.key_columns, t.included_columns), x))) = 0) as served,
+                min(case when t.key_columns = w.keys then index_name end) as old from wanted w join there t on t.table_name = w.table_name and t.key_columns[1 : len(w.keys)] = w.keys group by 1, 2),
+            left_ as (select w.*, old, case when old is null then w.extra else list_sort(list_distinct(list_concat(w.extra, t.included_columns))) end as held, substr('IX_' || regexp_replace(w.table_name || '_' || array_to_string(w.keys, '_'), '[^A-Za-z0-9_]', '', 'g'), 1, 120) as base
+                from wanted w left join met using (table_name, key_columns) left join there t on t.table_name = w.table_name and t.index_name = met.old where not coalesce(served, false)),
+            s as (select *, case when old is not null then old when turn = 1 then base else base || '_' || turn end as index_name, round(cost * impact / 100 * greatest(seeks, 1) / case when len(keys) >= 5 or 2 * len(keys) + len(extra) >= 12 then cast(3 as double) when len(keys) >= 3 or 2 * len(keys) + len(extra) >= 6 then cast(1.75 as double) else cast(1 as double) end, 6) as score
+                from (select *, row_number() over (partition by table_name, base, old is null order by keys) as turn from left_))
+            select table_name, key_columns, case when len(held) = 0 then '' else array_to_string(held, ',') end as included_columns, case when old is null then 'create' else 'widen' end as kind, index_name, score, case when score >= 10 then 'high' when score >= 1 then 'medium' else 'low' end as priority,
+                'CREATE NONCLUSTERED INDEX [' || index_name || '] ON [' || table_name || '] ([' || array_to_string(keys, '], [') || '])' || case when len(held) = 0 then '' else ' INCLUDE ([' || array_to_string(held, '], [') || '])' end || case when old is null then '' else ' WITH (DROP_EXISTING = ON)' end || ';' as ddl from s""",
         "drop_index": f"{c}, spare as (select * from indexes where {_READS} = 0 and not is_primary_key and not is_unique and not is_clustered) select table_name, index_name, case when updates > 100 then 'write_only' else 'never_touched' end as kind, case when updates >= 100000 then 'high' when updates >= 10000 then 'medium' else 'low' end as priority from spare where updates > 100 or updates = 0",
         "merge_index": f"{c} select a.table_name, a.index_name as retire, min(b.index_name) as keep from indexes a join indexes b on a.table_name = b.table_name and len(b.key_columns) > len(a.key_columns) and b.key_columns[1 : len(a.key_columns)] = a.key_columns where not a.is_primary_key and not a.is_unique group by 1, 2",
         "columnstore_candidates": f"{c}, u as (select table_name, cast(sum(seeks) as bigint) as seeks, cast(sum(scans) as bigint) as scans, sum(lookups) as lookups, sum(updates) as updates from indexes group by 1) select table_name, scans, seeks from u join table_rows using (table_name) where (rows >= 1000000 or reserved_kb >= 1048576) and scans > seeks and scans >= 100 and ({_READS} = 0 or updates < 0.2 * ({_READS}))",

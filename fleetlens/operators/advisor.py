@@ -8,8 +8,10 @@ column, never from all pairs of a table.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Limits of the findings and recommendations.
 UNUSED_UPDATES, SMALL_ROWS, LARGE_ROWS, HUGE_ROWS = 100, 1_000, 100_000, 1_000_000
@@ -110,6 +112,96 @@ def without_prefixes(missing: DataFrame) -> DataFrame:
     return folded.withColumnRenamed("whole", "key_columns").join(extended, ["table_name", "key_columns"], "left_anti")
 
 
+def _plain(columns: Column) -> Column:
+    """Column names to compare by: lower case, without brackets; null as none."""
+    return F.transform(F.coalesce(columns, F.array().cast("array<string>")), lambda c: F.lower(F.btrim(c, F.lit("[] "))))
+
+
+def _together(lists: str) -> Column:
+    """All names of a column of lists, each once by any case and brackets, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(_plain(F.col(lists))))))
+
+
+def _roots(t: pa.Table) -> pa.Table:
+    """``root`` of each key list of one table and leading column: the list that it ends up in when each folds into the first of those that extend it."""
+    keys = [tuple(k) for k in t.column("plain").to_pylist()]
+    place = dict(zip(keys, zip(t.column("place").to_pylist(), keys, strict=True), strict=True))
+    into: dict[tuple, tuple] = {}
+    for k in keys:
+        for n in range(1, len(k)):
+            if k[:n] in place and (k[:n] not in into or place[k] < place[into[k[:n]]]):
+                into[k[:n]] = k
+
+    def root(k: tuple) -> tuple:
+        while k in into:
+            k = into[k]
+        return k
+
+    return t.append_column("root", pa.array([list(root(k)) for k in keys], pa.list_(pa.string())))
+
+
+def consolidated(missing: DataFrame) -> DataFrame:
+    """(table_name, key_columns, included_columns, impact, cost, seeks, requests): index requests without those that a longer one serves.
+
+    A request whose keys are a prefix of another's on its table folds into the
+    first such one, by ``place`` where ``missing`` has it and by the keys else,
+    and that one into the first that extends it, so that each request's seeks
+    count once. The survivor has the most impact and cost, all seeks and all
+    included columns. Names compare without case and brackets; keys come back
+    as the first such request spells them. Requests without keys are left out.
+
+    Equal key lists are one row before lists meet; what meets in a task is a
+    table's different lists with one leading column, of which a server keeps a few hundred.
+    """
+    place = F.col("place").cast("long") if "place" in missing.columns else F.lit(0).cast("long")
+    said = missing.where("size(key_columns) > 0").select("table_name", "key_columns", "included_columns", "impact", "cost", "seeks", place.alias("place"), _plain(F.col("key_columns")).alias("plain"))
+    evidence = [F.max("impact").alias("impact"), F.max("cost").alias("cost"), F.sum("seeks").alias("seeks"), _together("included_columns").alias("included_columns")]
+    one = said.withColumn("lead", F.element_at("plain", 1)).groupBy("table_name", "lead", "plain").agg(F.min("place").alias("place"), F.min_by("key_columns", F.struct("place", "key_columns")).alias("key_columns"), *evidence, F.count("*").alias("requests"))
+    schema = StructType([*one.schema.fields, StructField("root", ArrayType(StringType()))])
+    rooted = one.groupBy("table_name", "lead").applyInArrow(_roots, schema)
+    own = F.col("plain") == F.col("root")
+    return rooted.groupBy("table_name", "root").agg(F.max(F.when(own, F.col("key_columns"))).alias("key_columns"), *evidence, F.sum("requests").alias("requests")).select("table_name", "key_columns", "included_columns", "impact", "cost", "seeks", "requests")
+
+
+def advised_indexes(missing: DataFrame, rows: DataFrame, indexes: DataFrame) -> DataFrame:
+    """(table_name, key_columns, included_columns, kind, index_name, score, priority, ddl): what to build for ``consolidated`` requests beside the indexes there are.
+
+    A request is served, and left out, where an index has its keys first and all
+    its columns. One with just its keys is widened in place (kind ``widen``);
+    else there is a new index (``create``), whose name is free on its table:
+    requests that would share one are numbered. Primary keys, unique and
+    clustered indexes neither serve nor widen. Tables known to be small are left out.
+    """
+    names = F.concat(F.col("plain"), _plain(F.col("included_columns")))
+    wanted = consolidated(missing).withColumn("plain", _plain(F.col("key_columns"))).join(rows.select("table_name", "rows"), "table_name", "left").where((F.col("rows") >= SMALL_ROWS) | F.col("rows").isNull()).drop("rows")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    there = indexes.where(F.col("index_name").isNotNull() & ~flag("is_primary_key") & ~flag("is_unique") & ~flag("is_clustered")).withColumn("plain", _plain(F.col("key_columns"))).where("size(plain) > 0")
+    firsts = there.select("table_name", F.col("index_name").alias("old"), F.col("plain").alias("old_keys"), names.alias("old_columns"), _plain(F.col("included_columns")).alias("old_included"), F.explode(F.transform(F.sequence(F.lit(1), F.size("plain")), lambda n: F.slice("plain", 1, n))).alias("plain"))
+    met = wanted.select("table_name", "plain", "included_columns").join(firsts, ["table_name", "plain"])
+    serves = F.size(F.array_except("included_columns", "old_columns")) == 0
+    same = F.when(F.col("plain") == F.col("old_keys"), F.struct("old", "old_included"))
+    found = met.groupBy("table_name", "plain").agg(F.max(serves).alias("served"), F.min(same).alias("same"))
+    left = wanted.join(found, ["table_name", "plain"], "left").where(~F.coalesce("served", F.lit(False)))
+    widened = F.col("same").isNotNull()
+    included = F.when(widened, F.array_sort(F.array_union("included_columns", F.col("same.old_included")))).otherwise(F.col("included_columns"))
+    base = F.substring(F.concat(F.lit("IX_"), F.regexp_replace(F.concat_ws("_", "table_name", F.array_join("plain", "_")), "[^A-Za-z0-9_]", "")), 1, 120)
+    score = F.round(F.col("cost") * F.col("impact") / 100 * F.greatest(F.col("seeks"), F.lit(1)) / write_cost(F.size("key_columns"), F.size("included_columns")), 6)
+    t = left.select("table_name", "plain", "key_columns", included.alias("included_columns"), F.when(widened, "widen").otherwise("create").alias("kind"), F.col("same.old").alias("old"), base.alias("base"), score.alias("score"))
+    number = F.regexp_extract(F.lower("index_name"), "_([0-9]{1,9})$", 1)
+    stem = F.when(F.length(number) > 0, F.regexp_replace(F.lower("index_name"), "_[0-9]{1,9}$", ""))
+    used = F.explode(F.array(F.struct(F.lower("index_name").alias("stem"), F.lit(1).alias("n")), F.struct(stem.alias("stem"), F.try_to_number(number, F.lit("999999999")).cast("int").alias("n"))))
+    taken = indexes.where("index_name is not null").select("table_name", used.alias("u")).where("u.stem is not null").groupBy("table_name", F.col("u.stem").alias("stem")).agg(F.array_sort(F.collect_set("u.n")).alias("used"))
+    named = t.withColumn("stem", F.lower("base")).join(taken, ["table_name", "stem"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
+    turn = F.row_number().over(Window.partitionBy("table_name", "stem", "kind").orderBy("plain"))
+    free = F.element_at(F.array_except(F.sequence(F.lit(1), F.size("used") + turn), F.col("used")), turn)
+    name = F.when(F.col("kind") == "widen", F.col("old")).when(free == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), free.cast("string")))
+    out = named.withColumn("index_name", name).withColumn("priority", F.when(F.col("score") >= 10, "high").when(F.col("score") >= 1, "medium").otherwise("low"))
+    include = F.when(F.size("included_columns") > 0, F.concat(F.lit(" INCLUDE ("), _column_list(F.col("included_columns")), F.lit(")"))).otherwise("")
+    rebuilt = F.when(F.col("kind") == "widen", " WITH (DROP_EXISTING = ON)").otherwise("")
+    ddl = F.concat(F.lit("CREATE NONCLUSTERED INDEX "), quoted(F.col("index_name")), F.lit(" ON "), quoted(F.col("table_name")), F.lit(" ("), _column_list(F.col("plain")), F.lit(")"), include, rebuilt, F.lit(";"))
+    return out.select("table_name", "key_columns", "included_columns", "kind", "index_name", "score", "priority", ddl.alias("ddl"))
+
+
 def drop_index(indexes: DataFrame, counters_young: bool = False, monitored_days: int = 0) -> DataFrame:
     """(table_name, index_name, kind, priority): indexes only written to, and those never touched. Heaps, primary keys, unique and clustered ones stay."""
     spare = indexes.where((_reads() == 0) & F.col("index_name").isNotNull() & ~F.coalesce("is_primary_key", F.lit(False)) & ~F.coalesce("is_unique", F.lit(False)) & ~F.coalesce("is_clustered", F.lit(False)))

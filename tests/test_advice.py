@@ -37,3 +37,55 @@ def test_one_row_an_issue_and_plan(spark):
     one = health.one_an_issue(spark.createDataFrame(rows, "instance_id long, issue_id string, source string, rule string, severity string, table_name string, impact int"))
     assert {(r["issue_id"], r["source"], r["impact"]) for r in one.collect()} == {("x", "advisor", 4), ("y", None, 1)}
     assert [(r["issue_id"], r["place"]) for r in health.action_plan(one).collect()] == [("x", 1)]
+
+
+REQUESTS = "table_name string, key_columns array<string>, included_columns array<string>, impact double, cost double, seeks long"
+INDEXES = "table_name string, index_name string, key_columns array<string>, included_columns array<string>, is_primary_key boolean, is_unique boolean, is_clustered boolean"
+
+
+def test_a_prefix_folds_into_the_wider_request(spark):
+    rows = [("orders", ["CustomerId"], ["Total"], 60.0, 5.0, 100), ("orders", ["[customerid]", "OrderDate"], ["Amount"], 90.0, 12.0, 300)]
+    (got,) = advisor.consolidated(spark.createDataFrame(rows, REQUESTS)).collect()
+    assert (got["key_columns"], got["included_columns"], got["impact"], got["cost"], got["seeks"], got["requests"]) == (["[customerid]", "OrderDate"], ["amount", "total"], 90.0, 12.0, 400, 2)
+
+
+def test_other_leads_and_other_tables_stay_apart(spark):
+    rows = [("orders", ["a"], [], 50.0, 1.0, 10), ("orders", ["b"], [], 50.0, 1.0, 10), ("invoices", ["a"], [], 50.0, 1.0, 10), ("orders", [], [], 1.0, 1.0, 1), ("orders", None, None, 1.0, 1.0, 1), ("x", ["a", "c"], None, 1.0, 1.0, 1), ("x", ["b", "a", "c"], None, 1.0, 1.0, 1)]
+    assert advisor.consolidated(spark.createDataFrame(rows, REQUESTS)).count() == 5
+
+
+def test_seeks_count_once_as_in_the_greedy_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    for round_ in range(4):
+        rows = [(f"t{rng.randrange(3)}", [rng.choice("ab") for _ in range(rng.randrange(1, 5))], [rng.choice("xyz")], float(rng.randrange(9)), float(rng.randrange(9)), rng.randrange(100), i) for i in range(40)]
+        want = []
+        for table in {r[0] for r in rows}:
+            left = [[list(r[1]), set(r[2]), r[3], r[4], r[5]] for r in rows if r[0] == table]
+            folded = True
+            while folded:  # the plain way: any pair, from the start each time
+                folded = False
+                for i, a in enumerate(left):
+                    j = next((j for j, b in enumerate(left) if j != i and a[0][: len(b[0])] == b[0] and (len(a[0]) > len(b[0]) or i < j)), None)
+                    if j is not None:
+                        b = left.pop(j)
+                        a[1] |= b[1]
+                        a[2], a[3], a[4] = max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]
+                        folded = True
+                        break
+            want += [(table, tuple(k), tuple(sorted(x)), i, c, s) for k, x, i, c, s in left]
+        df = spark.createDataFrame(rows, REQUESTS + ", place long").repartition(3)
+        got = advisor.consolidated(df).collect()
+        assert sorted((r["table_name"], tuple(r["key_columns"]), tuple(r["included_columns"]), r["impact"], r["cost"], r["seeks"]) for r in got) == sorted(want)
+        assert sum(r["seeks"] for r in got) == sum(r[5] for r in rows) and sum(r["requests"] for r in got) == 40
+
+
+def test_advice_knows_the_indexes_there_are(spark):
+    requests = [("t", ["a"], ["x"], 50.0, 10.0, 10), ("t", ["b"], ["y"], 50.0, 10.0, 10), ("t", ["c"], [], 50.0, 10.0, 10), ("t", ["d"], [], 50.0, 10.0, 10), ("t", ["e", "f"], [], 50.0, 10.0, 10), ("t", ["e_f"], [], 50.0, 10.0, 10), ("small", ["a"], [], 50.0, 10.0, 10), ("new", ["a"], None, None, 1.0, 1)]
+    there = [("t", "serves", ["[A]", "q"], ["X"], False, None, False), ("t", "narrow", ["B"], ["z"], False, False, False), ("t", "pk", ["c"], [], True, True, True), ("t", "IX_t_d", ["z"], [], False, False, False), ("t", "ix_t_d_2", ["z", "y"], [], False, False, False), ("t", None, [], None, None, None, None)]
+    rows = spark.createDataFrame([("t", 5000), ("small", 999)], "table_name string, rows long")
+    got = {(r["table_name"], tuple(r["key_columns"])): r for r in advisor.advised_indexes(spark.createDataFrame(requests, REQUESTS), rows, spark.createDataFrame(there, INDEXES)).collect()}
+    assert {k: (r["kind"], r["index_name"]) for k, r in got.items()} == {("t", ("b",)): ("widen", "narrow"), ("t", ("c",)): ("create", "IX_t_c"), ("t", ("d",)): ("create", "IX_t_d_3"), ("t", ("e", "f")): ("create", "IX_t_e_f"), ("t", ("e_f",)): ("create", "IX_t_e_f_2"), ("new", ("a",)): ("create", "IX_new_a")}
+    assert got["t", ("b",)]["ddl"] == "CREATE NONCLUSTERED INDEX [narrow] ON [t] ([b]) INCLUDE ([y], [z]) WITH (DROP_EXISTING = ON);"
+    assert got["t", ("c",)]["ddl"] == "CREATE NONCLUSTERED INDEX [IX_t_c] ON [t] ([c]);" and (got["t", ("c",)]["score"], got["t", ("c",)]["priority"]) == (50.0, "high")
