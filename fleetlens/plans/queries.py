@@ -18,10 +18,23 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("plan_id"), F.concat(*parts).alias("xml"))
 
 
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for each part: a missing index, and a lookup beside a seek on the table of its brand, whose name is spelt in two cases; every third has no such seek."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    table, column, key = F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string")
+    seek = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit('<RelOp NodeId="1" PhysicalOp="Index Seek"><OutputList/><IndexScan><SeekPredicates><SeekPredicateNew><SeekKeys><Prefix><RangeColumns><ColumnReference Column="k'), key, F.lit('"/></RangeColumns></Prefix></SeekKeys></SeekPredicateNew></SeekPredicates><Object Schema="[s]" Table="['), F.lower(table), F.lit(']" Index="[ix'), key, F.lit(']"/></IndexScan></RelOp>'))).otherwise("")
+    parts = [
+        F.lit('<ShowPlanXML><QueryPlan><MissingIndexes><MissingIndexGroup Impact="'), F.col("p_size").cast("string"), F.lit('"><MissingIndex Schema="[s]" Table="['), table, F.lit(']"><ColumnGroup Usage="INEQUALITY"><Column Name="[b]"/></ColumnGroup><ColumnGroup Usage="EQUALITY"><Column Name="['), column, F.lit(']"/></ColumnGroup></MissingIndex></MissingIndexGroup></MissingIndexes><RelOp NodeId="0" PhysicalOp="Nested Loops">'), seek,
+        F.lit('<RelOp NodeId="2" PhysicalOp="KEY LOOKUP"><OutputList><ColumnReference Column="'), column, F.lit('"/></OutputList><IndexScan><SeekPredicates><RangeColumns><ColumnReference Column="id"/></RangeColumns></SeekPredicates><Object Schema="[s]" Table="['), table, F.lit(']" Index="[pk]"/></IndexScan></RelOp></RelOp></QueryPlan></ShowPlanXML>'),
+    ]
+    return p.select(F.col("p_partkey").alias("plan_id"), F.concat(*parts).alias("xml"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "plan_treemap": lambda s, d: findings.treemap(showplan.operators(plans(s, d))),
         "plan_findings": lambda s, d: findings.findings(showplan.operators(plans(s, d))).select("plan_id", "seq", "rule", "severity"),
+        "plan_index_ddl": lambda s, d: findings.findings(showplan.operators(lookups(s, d))).select("plan_id", "seq", "rule", "severity", "detail", "ddl"),
     }
 
 
@@ -33,4 +46,8 @@ def oracle_sql() -> dict[str, str]:
             union all select o_orderkey, 1, 'plan.missing_join_predicate', 'error' from orders
             union all select o_orderkey, 1, 'plan.sort_large', case when o_orderkey >= 10000 then 'warning' else 'info' end from orders where o_orderkey >= 1000
             union all select o_orderkey, 0, 'plan.memory_grant_large', case when o_custkey * 1000 >= 1048576 then 'warning' else 'info' end from orders where o_custkey * 1000 >= 102400""",
+        "plan_index_ddl": """with p as (select p_partkey as plan_id, p_brand as t, p_type as c, p_size, 'k' || p_partkey as k, 'ix' || p_partkey as ix, p_partkey % 3 > 0 as beside from part)
+            select plan_id, 0 as seq, 'plan.missing_index' as rule, 'warning' as severity, p_size || '|' || t || '|' || c || ',b|' as detail, 'CREATE NONCLUSTERED INDEX [IX_' || regexp_replace(t || '_' || c || '_b', '[^A-Za-z0-9_]', '_', 'g') || '] ON [s].[' || t || '] ([' || c || '], [b]);' as ddl from p
+            union all select plan_id, case when beside then 2 else 1 end, 'plan.lookup', 'warning', case when beside then ix end,
+                case when beside then 'CREATE NONCLUSTERED INDEX [' || ix || '] ON [s].[' || t || '] ([' || k || ']) INCLUDE ([' || c || ']) WITH (DROP_EXISTING = ON);' else 'CREATE NONCLUSTERED INDEX [IX_' || regexp_replace(t, '[^A-Za-z0-9_]', '_', 'g') || '_id] ON [s].[' || t || '] ([id]) INCLUDE ([' || c || ']);' end from p""",
     }
