@@ -27,7 +27,7 @@ _MODULES = {"PROC": "PROCEDURE", "PROCEDURE": "PROCEDURE", "FUNCTION": "FUNCTION
 #: Databases and schemas of the server itself.
 _SYSTEM = {"SYS", "INFORMATION_SCHEMA", "MSDB", "MASTER", "MODEL", "TEMPDB"}
 
-FIELDS = [("n", pa.int32()), ("kind", pa.string()), ("v", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("w", pa.list_(pa.string())), ("batch", pa.int32()), ("module", pa.string()), ("stmt", pa.int32()), ("head", pa.string()), ("first", pa.bool_()), ("depth", pa.int32()), ("open", pa.int32()), ("fn", pa.string()), ("item", pa.int32()), ("place", pa.int32()), ("block", pa.int32()), ("own", pa.bool_()), ("verb", pa.string()), ("clause", pa.string()), ("cond", pa.int32()), ("cases", pa.int32()), ("role", pa.string()), ("alias", pa.string()), ("ref", pa.bool_()), ("args", pa.list_(pa.string())), ("after", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("table", pa.string()), ("unicode", pa.bool_()), ("beyond", pa.list_(pa.string())), ("outer", pa.int32()), ("within", pa.string())]
+FIELDS = [("n", pa.int32()), ("kind", pa.string()), ("v", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("w", pa.list_(pa.string())), ("batch", pa.int32()), ("module", pa.string()), ("stmt", pa.int32()), ("head", pa.string()), ("first", pa.bool_()), ("depth", pa.int32()), ("open", pa.int32()), ("fn", pa.string()), ("item", pa.int32()), ("place", pa.int32()), ("block", pa.int32()), ("own", pa.bool_()), ("verb", pa.string()), ("clause", pa.string()), ("cond", pa.int32()), ("cases", pa.int32()), ("role", pa.string()), ("alias", pa.string()), ("ref", pa.bool_()), ("args", pa.list_(pa.string())), ("after", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("table", pa.string()), ("unicode", pa.bool_()), ("beyond", pa.list_(pa.string())), ("outer", pa.int32()), ("within", pa.string()), ("spelt", pa.string())]
 SCHEMA = pa.schema([("doc_id", pa.int64()), *FIELDS])
 _DDL_TYPE = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.string()): "array<string>"}
 DDL = ", ".join(f"`{f.name}` {_DDL_TYPE[f.type]}" for f in SCHEMA)
@@ -36,10 +36,11 @@ _COMPARE = {"<", ">", "=", "!", "*", "+", "-"}
 
 
 class Unit:
-    __slots__ = ("kind", "v", "name", "start", "end", "line", "col", "last_line", "unicode")
+    __slots__ = ("kind", "v", "name", "start", "end", "line", "col", "last_line", "unicode", "text")
 
     def __init__(self, kind: str, text: str, start: int, end: int, line: int, col: int) -> None:
         self.kind, self.start, self.end, self.line, self.col, self.last_line, self.unicode = kind, start, end, line, col, line, False
+        self.text = text
         upper = text.upper()
         self.v = upper
         self.name = upper
@@ -241,7 +242,7 @@ def scoped(us: list[Unit]) -> list[list]:
         if not is_open:
             f.place += 1
         ref = u.kind == "Word" and not v.startswith("@") and args is None and role is None and (v not in RESERVED) and not (len(v) and v[0] == "#" and "." not in v)
-        rows.append([i, u.kind, u.v, u.name, u.start, u.line, u.col, values[i : i + BACK + 1 + AHEAD], batch, module, stmt, head, first, len(frames) - 1, f.open, f.fn, f.item, f.place, f.block, f.owner, f.verb, f.clause, f.cond, cases, role, alias, ref, args, after, None, f.table or None, u.unicode, f.beyond, f.outer, f.within])
+        rows.append([i, u.kind, u.v, u.name, u.start, u.line, u.col, values[i : i + BACK + 1 + AHEAD], batch, module, stmt, head, first, len(frames) - 1, f.open, f.fn, f.item, f.place, f.block, f.owner, f.verb, f.clause, f.cond, cases, role, alias, ref, args, after, None, f.table or None, u.unicode, f.beyond, f.outer, f.within, us[i - 1].text if i and f.table else None])
         if not is_open and v == "," and u.kind == "Punct":
             f.item, f.place = f.item + 1, -1
         if word and v == "ADD" and head == "ALTER TABLE" and len(frames) == 1:

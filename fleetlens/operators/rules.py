@@ -19,8 +19,9 @@ from fleetlens.functions import scopes as sc
 _DML = ("SELECT", "INSERT", "UPDATE", "DELETE", "MERGE")
 _COMPARE = ("=", "<", ">", "<=", ">=", "<>", "!=")
 _TRAN = ("TRAN", "TRANSACTION")
-#: Functions that hide the column they are given from an index.
-_HIDING = ("UPPER", "LOWER", "LTRIM", "RTRIM", "TRIM", "SUBSTRING", "LEFT", "RIGHT", "CAST", "CONVERT", "TRY_CAST", "TRY_CONVERT", "ISNULL", "COALESCE", "YEAR", "MONTH", "DAY", "DATEPART", "DATENAME", "DATEDIFF", "LEN", "REPLACE", "ABS", "ROUND", "FLOOR", "CEILING", "FORMAT", "STR", "REVERSE", "EOMONTH")
+#: Functions that hide the column they are given from an index, and those that do so in a join.
+_HIDING = ("UPPER", "LOWER", "LTRIM", "RTRIM", "TRIM", "SUBSTRING", "LEFT", "RIGHT", "CONVERT", "CAST", "ISNULL", "COALESCE", "DATEPART", "DATEDIFF", "YEAR", "MONTH", "DAY", "FORMAT", "REPLACE")
+_HIDING_JOINS = (*_HIDING, "CONCAT", "STR")
 _SECOND = ("CONVERT", "TRY_CONVERT", "DATEPART", "DATENAME")
 #: Methods of typed columns, called with a dot as schema functions are.
 _METHODS = ("VALUE", "QUERY", "EXIST", "NODES", "MODIFY", "GETLEVEL", "GETANCESTOR", "GETDESCENDANT", "ISDESCENDANTOF", "TOSTRING", "STASTEXT", "STDISTANCE", "STINTERSECTS", "STAREA", "STLENGTH", "STBUFFER", "STCONTAINS", "STWITHIN", "STX", "STY", "WRITE", "PARSE", "READ")
@@ -38,8 +39,12 @@ _SINCE = {
     2025: ("REGEXP_LIKE", "REGEXP_REPLACE", "REGEXP_SUBSTR", "JSON_OBJECTAGG", "JSON_ARRAYAGG", "VECTOR_DISTANCE"),
 }
 #: Built-in roles by how much they give away.
-_ROLES = {"critical": ("SYSADMIN", "SECURITYADMIN"), "error": ("DB_OWNER", "SERVERADMIN", "DB_SECURITYADMIN", "##MS_SERVERSTATEMANAGER##"), "warning": ("DB_ACCESSADMIN", "DB_DDLADMIN", "SETUPADMIN", "PROCESSADMIN", "DB_BACKUPOPERATOR")}
-_MONEY = r"(^|_)?(PRICE|AMOUNT|AMT|COST|TOTAL|BALANCE|SALARY|FEE|PAYMENT|REVENUE|TAX|DISCOUNT|WAGE|BUDGET)$"
+_ROLES = {"critical": ("SYSADMIN",), "error": ("SECURITYADMIN", "SERVERADMIN", "DB_OWNER", "DB_SECURITYADMIN", "DB_ACCESSADMIN"), "warning": ("DB_DDLADMIN",)}
+#: Last words of a column's name that say money; words that make a cost money, and those that make it a plan's.
+_MONEY = ("amount", "amt", "price", "salary", "wage", "revenue", "payment", "subtotal", "discount")
+_TRADE = ("unit", "item", "product", "purchase", "shipping", "standard", "labor", "labour", "material", "goods", "sales", "order", "freight", "landed", "acquisition", "replacement", "total", "avg", "average", "net", "gross", "actual", "estimated", "budget", "budgeted", "list", "invoice", "billed", "billing")
+_PLAN = ("plan", "query", "spool", "sort", "lookup", "subtree", "operator", "cpu", "io", "statement", "estimate", "node", "compile", "optimizer", "optimiser", "seek", "scan")
+#: How names of catalog columns end.
 _METADATA = r"(NAME|TABLE|SCHEMA|DATABASE|DB|COLUMN|INDEX|OBJECT|VIEW|PROC|PROCEDURE|FUNCTION|TRIGGER|USER|LOGIN|ROLE|TYPE|SERVER|ID|_ON)$"
 
 
@@ -56,6 +61,12 @@ def _is(c: Column, *words: str) -> Column:
     return F.coalesce(c.isin(*words), F.lit(False))
 
 
+def _words(name: Column) -> Column:
+    """The words of a name in lower case, cut at ``_``, blanks, ``$`` and where capitals say so: unitPrice, HTTPServer."""
+    apart = F.regexp_replace(F.btrim(name, F.lit('[]"')), "([a-z0-9])([A-Z])", "$1_$2")
+    return F.filter(F.split(F.lower(F.regexp_replace(apart, "([A-Z])([A-Z][a-z])", "$1_$2")), "[_ $]+"), lambda w: w != "")
+
+
 def _among(i: int, words: tuple[str, ...]) -> str:
     quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
     return f"coalesce(get(w, {sc.BACK + i}) in ({quoted}), false)"
@@ -406,7 +417,10 @@ def _rules(target: int | None) -> list[tuple[str, str | Column, Column]]:
     typed = lambda *names: _typed() & _is(F.col("v"), *names)
     declared = (_at(-1, "AS") & _like(_v(-2), "^@")) | (_like(_v(-1), "^@") & ~_at(-2, "=", "+", ",", "(") | (_like(_v(-1), "^@") & _at(-2, "DECLARE", ",")))
     cast_to = (_at(-1, "AS") & _is(F.col("fn"), "CAST", "TRY_CAST")) | (_is(F.col("fn"), "CONVERT", "TRY_CONVERT") & _at(-1, "("))
-    column_name = _v(-1)
+    column_name, words = _v(-1), _words(F.col("spelt"))
+    one_of = lambda names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
+    last_word = F.try_element_at(words, F.lit(-1))
+    money = _is(last_word, *_MONEY) | (_is(last_word, "cost") & one_of(_TRADE) & ~one_of(_PLAN))
     privileged = lambda level: _any(*[_like(F.upper(F.concat_ws(" ", F.slice("w", sc.BACK + 1, 9))), rf"(^|[ \['\"]){r}([ \]'\"]|$)") for r in _ROLES[level]])
     adds_member = (_seq("ALTER", "ROLE") & _seq("ADD", "MEMBER", start=3)) | (_seq("ALTER", "SERVER", "ROLE") & _seq("ADD", "MEMBER", start=4)) | _is(_last(), "SP_ADDROLEMEMBER", "SP_ADDSRVROLEMEMBER")
     newer = _any(*[_call() & _is(F.col("v"), *names) & known_before(year) for year, names in _SINCE.items()])
@@ -478,7 +492,7 @@ def _rules(target: int | None) -> list[tuple[str, str | Column, Column]]:
         ("joins.right_outer_join_readability", "info", _seq("RIGHT", "JOIN") | _seq("RIGHT", "OUTER", "JOIN")),
         ("joins.comma_cross_join", "warning", _first(_own() & _at(0, ",") & (F.col("clause") == "FROM") & _is(F.col("verb"), *_DML), "block")),
         ("joins.join_without_on", "error", _own() & _at(0, "JOIN") & ~_at(-1, "CROSS") & (F.col("b_ons") < F.col("b_joins")) & (F.col("verb") != "MERGE") & _first(_own() & _at(0, "JOIN") & ~_at(-1, "CROSS"), "block")),
-        ("joins.function_on_join_column", "warning", _call() & (F.col("clause") == "ON") & _cond() & _is(F.col("name"), *_HIDING) & given & compared & (F.col("cases") == 0) & ~_is(F.col("name"), "ISNULL", "COALESCE") & (F.col("b_user") | ~F.col("b_system"))),
+        ("joins.function_on_join_column", "warning", _call() & (F.col("clause") == "ON") & _cond() & _is(F.col("name"), *_HIDING_JOINS) & given & compared & (F.col("cases") == 0) & ~_is(F.col("name"), "ISNULL", "COALESCE") & (F.col("b_user") | ~F.col("b_system"))),
         ("joins.distinct_with_join_fanout", "info", _at(0, "DISTINCT") & _at(-1, "SELECT") & _own() & F.col("b_join")),
         ("antipattern.count_for_existence", "info", count_star & _arg(0, "o*") & (F.col("cases") == 0) & _like(F.concat_ws(" ", "beyond"), r"^(=|>|>=|<|<>|!=) (0|1)$")),
         ("antipattern.union_should_be_union_all", "info", _at(0, "UNION") & ~_at(1, "ALL") & (F.size("f_sources") >= 2) & (F.size(F.array_distinct("f_sources")) == F.size("f_sources")) & F.col("f_real")),
@@ -505,7 +519,7 @@ def _rules(target: int | None) -> list[tuple[str, str | Column, Column]]:
         ("tran.ddl_inside_explicit_tran", "warning", ddl & in_tran & ~temp_ddl & ~_like(F.col("head"), "^ALTER DATABASE")),
         ("datatype.implicit_string_length", F.when(F.col("table").startswith("@"), "info").otherwise("warning"), typed(*_STRINGS) & ~_at(1, "(")),
         ("datatype.implicit_string_length_cast", "warning", _at(0, *_STRINGS) & cast_to & ~_at(1, "(") & ~(_is(F.col("fn"), "CONVERT", "TRY_CONVERT") & F.col("f_styled"))),
-        ("datatype.float_for_money", "warning", typed("FLOAT", "REAL") & _like(column_name, _MONEY) & ~_like(column_name, r"PLAN_?COST|LOOKUP_COST|SORT_COST|SPOOL_COST|SUBTREE_?COST|QUERY_?COST|OPERATOR_?COST")),
+        ("datatype.float_for_money", "warning", typed("FLOAT", "REAL") & money),
         ("datatype.datetime_legacy", "info", typed("DATETIME")),
         ("datatype.sysname_general_string", "info", typed("SYSNAME") & ~_like(column_name, _METADATA)),
         ("ddl.varchar_max_overuse", "info", typed("VARCHAR", "NVARCHAR") & _seq("(", "MAX", ")", start=1)),

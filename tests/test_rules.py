@@ -115,3 +115,22 @@ def test_odd_scripts_have_scopes(spark):
     odd = ["", None, ")", "(((", "SELECT", "WITH", "WITH a AS", "CASE END END", "'", "[", "GO", ";", "EXEC(", "SELECT * FROM", "CREATE TABLE", "CREATE TABLE a (", "é", "@", "N'x", "a..b.c", "MERGE", "UPDATE", "DELETE TOP", "ROW_NUMBER() OVER (", "/* x"]
     df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, sql string")
     rules.findings_in(scopes.scopes(df)).count()
+
+
+def test_money_names_roles_and_hiding_functions(spark):
+    from fleetlens.functions import scopes
+
+    sql = [
+        "CREATE TABLE dbo.m (Coffee float, RecordTotal float, Taxonomy real, HeartRate float, CostumeWeight real, PaymentLag float, QueryPlanCost float, lookup_cost real, Cost float, FeeBalance float)",
+        "CREATE TABLE dbo.m (GrossAmount float, UnitPrice real, [Net Salary] float, shipping_cost float, ITEM_PRICE real, XMLPayment float, TotalCost real)",
+        "DECLARE @t TABLE (k int, [UnitPrice] float)",
+        *[f"ALTER ROLE {r} ADD MEMBER someone" for r in ("db_accessadmin", "db_securityadmin", "db_owner", "db_ddladmin", "db_backupoperator", "readers")],
+        *[f"ALTER SERVER ROLE {r} ADD MEMBER someone" for r in ("sysadmin", "securityadmin", "serveradmin", "processadmin", "setupadmin")],
+        "EXEC sp_addsrvrolemember 'someone', 'sysadmin'", "EXEC sp_addrolemember 'db_backupoperator', 'someone'",
+        "SELECT a FROM shop.b WHERE ABS(c) = 1", "SELECT a FROM shop.b WHERE LEN(c) = 1", "SELECT a FROM shop.b WHERE YEAR(c) = 1", "SELECT b.a FROM shop.b b JOIN shop.c c ON CONCAT(c.k, 'x') = b.k",
+    ]
+    df = spark.createDataFrame(list(enumerate(sql)), "doc_id long, sql string")
+    watched = ("datatype.float_for_money", "security.add_to_privileged_role", "sarg.function_on_column", "joins.function_on_join_column")
+    got = [(r["doc_id"], r["rule"], r["severity"]) for r in rules.findings_in(scopes.scopes(df)).collect() if r["rule"] in watched]
+    role, money = "security.add_to_privileged_role", "datatype.float_for_money"
+    assert sorted(got) == sorted([(1, money, "warning")] * 7 + [(2, money, "warning")] + [(3, role, "error"), (4, role, "error"), (5, role, "error"), (6, role, "warning"), (9, role, "critical"), (10, role, "error"), (11, role, "error"), (14, role, "critical"), (18, "sarg.function_on_column", "error"), (19, "joins.function_on_join_column", "warning")])
