@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens import advice, fleet_queries, reporting, scenarios
+from fleetlens import advice, fleet_queries, reporting, scenarios, store_queries
 from fleetlens.functions import scopes, tsql
 from fleetlens.operators import rules, telemetry
 from fleetlens.plans import queries as plans
@@ -45,7 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "script_tokens": lambda s, d: tsql.tokens(corpus(s, d)),
         "script_findings": lambda s, d: rules.findings_in(scopes.scopes(corpus(s, d))),
         "rule_grades": lambda s, d: scenarios.graded(s),
-    } | advice.queries() | fleet_queries.queries() | reporting.queries() | plans.queries()
+    } | advice.queries() | fleet_queries.queries() | reporting.queries() | plans.queries() | store_queries.queries()
 
 
 _DELTAS = """
@@ -94,4 +94,4 @@ def oracle_sql() -> dict[str, str]:
         "alert_cooldown": """with recursive b as (select distinct user_id % 5 as instance_id, event_type as rule_id, epoch_us(ts) // 1000000 as secs from events where value >= 120),
             fired as (select instance_id, rule_id, min(secs) as fired_at from b group by 1, 2 union all select instance_id, rule_id, fired_at from (select f.instance_id, f.rule_id, (select min(b.secs) from b where b.rule_id = f.rule_id and b.instance_id = f.instance_id and b.secs >= f.fired_at + 900) as fired_at from fired f) where fired_at is not null)
             select instance_id, rule_id, fired_at from fired""",
-    } | advice.oracle_sql(_DELTAS) | fleet_queries.oracle_sql(_DELTAS) | reporting.oracle_sql() | plans.oracle_sql()
+    } | advice.oracle_sql(_DELTAS) | fleet_queries.oracle_sql(_DELTAS) | reporting.oracle_sql() | plans.oracle_sql() | store_queries.oracle_sql()

@@ -6,6 +6,7 @@ half-open. A null is unknown: it neither counts nor fires.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +36,63 @@ def newest_tick(table: DataFrame) -> DataFrame:
     return table.join(ticks, ["instance_id", "captured_at"], "left_semi")
 
 
+def newest_ticks(table: DataFrame, n: int) -> DataFrame:
+    """All rows of each instance's newest ``n`` captures. The rank is cut below the shuffle too, so that no task sees an instance's whole history."""
+    place = F.dense_rank().over(Window.partitionBy("instance_id").orderBy(F.desc("captured_at")))
+    return table.where("captured_at is not null").withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+#: Surfaces of the vitals with their tables, and the series behind each.
+SURFACES = {
+    "cpu_pressure": ("cpu_pressure_snapshot", "cpu_runnable_tasks", "runnable_tasks"),
+    "memory_headroom": ("memory_headroom_snapshot", "memory_ple", "page_life_expectancy"),
+    "tempdb_contention": ("tempdb_contention_snapshot", "tempdb_total_waiters", "pagelatch_waiters"),
+    "plan_cache": ("plan_cache_snapshot", "plan_cache_single_use", "single_use_plan_count"),
+}
+SERIES = 60
+
+
+def deep_vitals(instances: DataFrame, tables: Callable[[str], DataFrame], since: object = None, points: int = SERIES) -> DataFrame:
+    """A row for each of ``instances`` (instance_id): its newest capture of every surface, the series behind them and the tables that wanted indexes.
+
+    ``tables`` gives a stored table by its name. ``has_data``, ``captured_at``
+    (the newest of all surfaces), a struct by surface, ``io_latency`` with a row
+    by file, and series of the newest ``points`` captures, oldest first, as
+    arrays of (captured_at, value); captures of one instant are one point, the
+    greatest value. ``missing_index_history`` counts days from ``since`` on.
+    What was never captured is null or an empty array. An instance's rows of
+    all surfaces are cut to ``points`` captures before they meet, and all
+    surfaces share the partitioning by instance.
+    """
+    found, newest = instances.select("instance_id").distinct(), []
+    by_time = lambda value: F.array_sort(F.collect_list(F.struct("captured_at", value)))
+    for surface, (table, series, value) in SURFACES.items():
+        rows = newest_ticks(tables(table), points)
+        rest = [c for c in rows.columns if c != "instance_id"]
+        ticks = rows.groupBy("instance_id", "captured_at").agg(F.max(F.expr(value).cast("double")).alias("value"), F.max(F.struct(*rest)).alias("row"))
+        found = found.join(ticks.groupBy("instance_id").agg(F.max_by("row", "captured_at").alias(surface), by_time("value").alias(series)), "instance_id", "left")
+        newest.append(F.col(f"{surface}.captured_at"))
+    rows = newest_ticks(tables("io_latency_delta"), points)
+    rest = [c for c in rows.columns if c != "instance_id"]
+    worst = F.greatest("avg_read_latency_ms", "avg_write_latency_ms")
+    ticks = rows.groupBy("instance_id", "captured_at").agg(F.max(worst).alias("value"), F.array_sort(F.collect_list(F.struct(*rest))).alias("files"))
+    found = found.join(ticks.groupBy("instance_id").agg(F.max_by("files", "captured_at").alias("io_latency"), by_time("value").alias("io_worst_latency_ms"), F.max("captured_at").alias("_io")), "instance_id", "left")
+    wanted = tables("missing_index_snapshot").where("captured_at is not null")
+    wanted = wanted if since is None else wanted.where(F.col("captured_at") >= F.lit(since))
+    day = F.to_date("captured_at")
+    by_table = wanted.groupBy("instance_id", "db_name", "schema_name", "table_name").agg(F.countDistinct(day).alias("days_seen"), F.max("user_seeks").alias("max_user_seeks"))
+    observed = wanted.groupBy("instance_id").agg(F.countDistinct(day).alias("days_observed"))
+    first = [(-F.col("days_seen")).alias("a"), (-F.coalesce("max_user_seeks", F.lit(0))).alias("b"), "db_name", "schema_name", "table_name"]
+    listed = F.array_sort(F.collect_list(F.struct(*first, F.struct("db_name", "schema_name", "table_name", "days_seen", "days_observed", "max_user_seeks").alias("row"))))
+    history = by_table.join(observed, "instance_id").where("table_name <> ''").groupBy("instance_id").agg(F.transform(listed, lambda x: x["row"]).alias("missing_index_history"))
+    found = found.join(history, "instance_id", "left")
+    captured = F.greatest(*newest, F.col("_io"))
+    lists = [*(series for _, series, _ in SURFACES.values()), "io_worst_latency_ms", "io_latency", "missing_index_history"]
+    kinds = dict(found.dtypes)
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c)
+    return found.select("instance_id", captured.isNotNull().alias("has_data"), captured.alias("captured_at"), *SURFACES, *[empty(c) for c in lists])
+
+
 def signal_wait_pct(waits: DataFrame) -> DataFrame:
     """Share of signal waits at each instance's newest capture, null where nothing waited."""
     sums = newest_tick(waits).groupBy("instance_id").agg(F.sum("signal_ms").alias("signal_ms"), F.sum("delta_ms").alias("total_ms"))

@@ -185,7 +185,7 @@ class Snapshot:
             if dirty:
                 rows = rows.unionByName(self.merged(table, dirty))
         else:
-            low, high = (None if x is None else str(x)[:10] for x in (since, until))
+            low, high = (None if x is None else table.folder_day(str(x)[:10]) for x in (since, until))
             inside = [p for p in parts if p.value == NO_DAY and low is None and high is None or p.value != NO_DAY and (low is None or p.value >= low) and (high is None or p.value <= high)]
             rows = self.raw(table, inside).select(*table.columns)
         if since is not None:
@@ -236,6 +236,7 @@ class Store:
             shaped = shaped.withColumn("bucket", _bucket(table)).repartition(BUCKETS, "bucket")
         else:
             day = F.to_date(table.at) if table.at else F.lit(None).cast("date")
+            day = F.trunc(day, "month") if table.monthly else day
             shaped = shaped.withColumn("day", day).hint("rebalance", "day")  # a day with many rows is split
         shaped.write.partitionBy(table.by).parquet(f"{self.root}/data/{table.name}/commit={commit}")
         found = [n.partition("=")[2] for n, _ in self.files.names(f"data/{table.name}/commit={commit}") if n.startswith(f"{table.by}=")]
@@ -295,8 +296,9 @@ class Store:
                 n = rows.where(old).count() if gone else 0
                 new = self._staged(table, rows.where(~F.coalesce(old, F.lit(False)))) if gone else []
             else:
-                whole = [p for p in parts if p.value != NO_DAY and p.value < day]
-                edge = [p for p in parts if p.value == day]
+                edge_day = table.folder_day(day)
+                whole = [p for p in parts if p.value != NO_DAY and p.value < edge_day]
+                edge = [p for p in parts if p.value == edge_day]
                 n = now.raw(table, [*whole, *edge]).where(old).count() if whole or edge else 0
                 edge = edge if now.raw(table, edge).where(old).limit(1).count() else []
                 gone, new = [*whole, *edge], self._staged(table, now.raw(table, edge).select(*table.columns).where(~old)) if edge else []

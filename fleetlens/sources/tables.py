@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Table:
-    """A table of events, by the day of ``at``; or, with ``keys``, of one row a key, by bucket.
+    """A table of events, by the day of ``at``, its month's first if ``monthly``; or, with ``keys``, of one row a key, by bucket.
 
     Of a key's rows the one of the greatest ``version`` stands, in a table whose
     ``first`` row stays the earliest commit's. A null in a key is a value like any other.
@@ -20,6 +20,7 @@ class Table:
     version: str | None = None
     first: bool = False
     ages: bool = False
+    monthly: bool = False
 
     @property
     def types(self) -> list[tuple[str, str]]:
@@ -29,6 +30,10 @@ class Table:
     def columns(self) -> list[str]:
         return [c for c, _ in self.types]
 
+    def folder_day(self, day: str) -> str:
+        """The day whose folder holds a day's rows."""
+        return f"{day[:8]}01" if self.monthly else day
+
     @property
     def by(self) -> str:
         return "bucket" if self.keys else "day"
@@ -56,7 +61,7 @@ _ALL = [
     Table("poller_state", "instance_id long, key string, value string, updated_at timestamp", "updated_at", ("instance_id", "key"), "updated_at"),
     Table("meta", "key string, value string, updated_at timestamp", "updated_at", ("key",), "updated_at"),
     Table("ai_interactions", "id string, occurred_at timestamp, provider string, model string, system_prompt string, user_prompt string, response string, status string, error_message string, latency_ms long, tokens_in long, tokens_out long", "occurred_at", ("id",), "occurred_at"),
-    Table("analysis_runs", "id string, occurred_at timestamp, server_name string, database_name string, mode string, sql_hash string, sql_preview string, server_version int, findings_total long, findings_critical long, findings_error long, findings_warning long, findings_info long, plan_attached boolean, plan_subtree_cost double, plan_op_count long, duration_ms long", "occurred_at"),
+    Table("analysis_runs", "id string, occurred_at timestamp, server_name string, database_name string, mode string, sql_hash string, sql_preview string, server_version int, findings_total long, findings_critical long, findings_error long, findings_warning long, findings_info long, plan_attached boolean, plan_subtree_cost double, plan_op_count long, duration_ms long", "occurred_at", monthly=True),
     Table("analysis_findings", "run_id string, rule_id string, severity string, line_no int, col_no int, message string, recommendation string", None),
 ]
 TABLES = {t.name: t for t in _ALL}

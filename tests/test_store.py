@@ -146,3 +146,23 @@ def test_batches_of_a_stream_count_once(spark, store, tmp_path):
         store.sink(stream, "analysis_runs", "runs", str(tmp_path / checkpoint)).awaitTermination(120)
         assert ids(store.snapshot()) == ["s0", "s1", "s2"]
     assert store.manifest().batches == {"runs": 2} and pinned.read("analysis_runs").count() == 0
+
+
+def test_monthly_folders(spark, store):
+    store.write({"analysis_runs": runs(spark, "a", at=datetime(2024, 1, 31)).unionByName(runs(spark, "b", at=datetime(2024, 2, 1))).unionByName(runs(spark, "c", at=datetime(2024, 2, 29)))})
+    shot = store.snapshot()
+    assert [p.value for p in shot.parts("analysis_runs")] == ["2024-01-01", "2024-02-01"]
+    assert sorted(r["id"] for r in shot.read("analysis_runs", datetime(2024, 2, 1), datetime(2024, 2, 29)).collect()) == ["b"]
+    assert store.prune(datetime(2024, 2, 10), ["analysis_runs"]) == {"analysis_runs": 2} and ids(store.snapshot()) == ["c"]
+
+
+def test_vitals_are_cut_before_they_meet(spark):
+    from fleetlens.operators import vitals
+
+    rows = spark.createDataFrame([(1, DAY + timedelta(hours=i % 50), i) for i in range(200)] + [(2, None, 1)], "instance_id long, captured_at timestamp, runnable_tasks long")
+    newest = vitals.newest_ticks(rows, 3)
+    assert newest.count() == 12 and "WindowGroupLimit" in newest._jdf.queryExecution().executedPlan().toString()
+    table = lambda name: rows if name == "cpu_pressure_snapshot" else spark.createDataFrame([], TABLES[name].ddl)
+    got = {r["instance_id"]: r for r in vitals.deep_vitals(spark.createDataFrame([(1,), (2,), (3,)], "instance_id long"), table, points=3).collect()}
+    assert got[1]["has_data"] and [p["value"] for p in got[1]["cpu_runnable_tasks"]] == [197.0, 198.0, 199.0] and got[1]["cpu_pressure"]["runnable_tasks"] == 199 and got[1]["io_latency"] == [] and got[1]["memory_headroom"] is None
+    assert not got[2]["has_data"] and got[3]["captured_at"] is None and got[3]["memory_ple"] == []
