@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fleetlens.functions.spread import spread
+from fleetlens.functions.tsql import batches as cut
 from fleetlens.functions.tsql import tokenize
 
 #: Neighbours handed on with each unit.
@@ -262,9 +264,24 @@ def scoped(us: list[Unit]) -> list[list]:
                 g.table = us[i - 2].v if us[i - 2].v.startswith("@") else at(i - 3)
             frames.append(g)
     _item_words(rows)
+    _within_batches(rows)
     return rows
 
 
+def _within_batches(rows: list[list]) -> None:
+    """Neighbours of another batch are none: a separator ends what stands before it."""
+    names = [f for f, _ in FIELDS]
+    batch, w = names.index("batch"), names.index("w")
+    starts = [i for i in range(1, len(rows)) if rows[i][batch] != rows[i - 1][batch]]
+    for at in starts:
+        for i in range(max(0, at - AHEAD), at):
+            keep = BACK + at - i
+            rows[i][w] = rows[i][w][:keep] + [""] * (BACK + 1 + AHEAD - keep)
+        for i in range(at, min(len(rows), at + BACK)):
+            gone = BACK - (i - at)
+            rows[i][w] = [""] * gone + rows[i][w][gone:]
+
+
 def _args(us: list[Unit], o: int, e: int, close: list[int]) -> list[str]:
     """The first unit of each argument, its kind before it: c column, v variable, s string, n number, f call, q query, o other."""
     out, j, begin = [], o + 1, True
@@ -306,22 +323,45 @@ def _item_words(rows: list[list]) -> None:
             own.append(r[2])
 
 
+#: Fields that are numbers of units, which a batch's place in its script makes the script's.
+_NUMBERS = [[f for f, _ in FIELDS].index(x) for x in ("n", "stmt", "open", "block", "outer")]
+_BATCH, _START, _LINE, _COL = ([f for f, _ in FIELDS].index(x) for x in ("batch", "start", "line", "col"))
+
+
+def _placed(rows: list[list], batch: int, start: int, line: int, col: int) -> list[list]:
+    """Units of a batch with their places in the script; numbers of units and statements grow with the bytes before them."""
+    for r in rows:
+        for i in _NUMBERS:
+            if r[i] is not None and r[i] >= 0:
+                r[i] += start
+        if r[_LINE] == 1:
+            r[_COL] += col - 1
+        r[_START] += start
+        r[_LINE] += line - 1
+        r[_BATCH] = batch
+    return rows
+
+
 def scopes(scripts: DataFrame) -> DataFrame:
-    """Units with their scopes for each row of ``scripts`` (doc_id, sql); a null script has none."""
+    """Units with their scopes for each row of ``scripts`` (doc_id, sql); a null script has none.
+
+    A script is cut at its separators first, and its batches are dealt to
+    tasks, so that a script of many megabytes is scoped by many.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[list] = []
-            for doc, sql in zip(b.column("doc_id").to_pylist(), b.column("sql").cast(pa.binary()).to_pylist(), strict=True):
+            for doc, *place, sql in zip(*[b.column(c).to_pylist() for c in ("doc_id", "batch", "start", "line", "col", "sql")], strict=True):
                 tokens = ((k, t.decode("utf-8", "ignore"), *rest) for k, t, *rest in tokenize(sql or b""))
-                found += [[doc, *r] for r in scoped(units_of(tokens))]
+                found += [[doc, *r] for r in _placed(scoped(units_of(tokens)), *place)]
                 if len(found) > 20_000:
                     yield _batch(found)
                     found = []
             if found:
                 yield _batch(found)
 
-    return scripts.selectExpr("cast(doc_id as long) as doc_id", "sql").mapInArrow(scan, DDL)
+    return spread(cut(scripts), "doc_id", "batch").mapInArrow(scan, DDL)
 
 
 def scopes_of_tokens(tokens: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ def _plain(c: Column) -> Column:
 
 
 def declared(t: DataFrame) -> DataFrame:
-    """(doc_id, columns, keys, variables, aliases): what a script declares, each list in the script's order."""
+    """Units with columns, keys, included, variables and aliases: what their script declares, by the windows that know the script."""
     kind = _plain(_v(1))
     size = F.coalesce(F.when(_at(2, "("), _v(3)).try_cast("int"), F.when(_at(2, "(") & _at(3, "MAX"), F.lit(8000)), F.lit(1))
     width = F.when(_is(kind, "CHAR", "VARCHAR", "BINARY", "VARBINARY"), size).when(_is(kind, "NCHAR", "NVARCHAR"), 2 * size)
@@ -321,7 +321,7 @@ def declared(t: DataFrame) -> DataFrame:
     variable = F.when(_like(F.col("v"), "^@") & _is(text_type, *_STRINGS), F.struct("v", text_type.alias("type")))
     alias = F.when(F.col("role").isNotNull() & _own(), F.struct("block", "alias"))
     t = t.withColumn("clustered", F.coalesce(F.max(_at(0, "CLUSTERED") & (F.col("depth") == 0)).over(_window("stmt")), F.lit(False)))
-    return t.groupBy("doc_id").agg(*[F.collect_list(c).alias(n) for n, c in (("columns", column), ("keys", key), ("included", included), ("variables", variable), ("aliases", alias))])
+    return t.withColumns({n: F.array_sort(F.collect_list(c).over(_window())) for n, c in (("columns", column), ("keys", key), ("included", included), ("variables", variable), ("aliases", alias))}).drop("clustered")
 
 
 def _declared_rules() -> list[tuple[str, str | Column, Column]]:
@@ -538,8 +538,7 @@ def findings(tokens: DataFrame, target: int | None = 2025) -> DataFrame:
 
 def findings_in(units: DataFrame, target: int | None = 2025) -> DataFrame:
     """The same from ``scopes.scopes``."""
-    units = units.repartition("doc_id")  # one shuffle serves all windows and the join
-    t = in_scope(units).join(declared(units), "doc_id", "left")
+    t = declared(in_scope(units.repartition("doc_id")))  # one shuffle serves all windows
     named = [F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(rule).alias("rule"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))) for rule, severity, hit in _rules(target) + _declared_rules()]
     found = t.select("doc_id", "line", "col", "start", F.array(*named).alias("found"))
     hits = found.select("doc_id", "line", "col", "start", F.explode(F.filter("found", lambda f: f.isNotNull())).alias("f"))

@@ -134,3 +134,40 @@ def test_money_names_roles_and_hiding_functions(spark):
     got = [(r["doc_id"], r["rule"], r["severity"]) for r in rules.findings_in(scopes.scopes(df)).collect() if r["rule"] in watched]
     role, money = "security.add_to_privileged_role", "datatype.float_for_money"
     assert sorted(got) == sorted([(1, money, "warning")] * 7 + [(2, money, "warning")] + [(3, role, "error"), (4, role, "error"), (5, role, "error"), (6, role, "warning"), (9, role, "critical"), (10, role, "error"), (11, role, "error"), (14, role, "critical"), (18, "sarg.function_on_column", "error"), (19, "joins.function_on_join_column", "warning")])
+
+
+def test_batches_are_cut_where_separators_stand():
+    cut = lambda sql: [(b, s, line, col, t.decode()) for b, s, line, col, t in tsql.batches_of(sql.encode())]
+    assert cut("") == [(0, 0, 1, 1, "")]
+    assert cut("a\nGO\nb\n go 5\nc") == [(0, 0, 1, 1, "a\n"), (1, 2, 2, 1, "GO\nb\n "), (2, 8, 4, 2, "go 5\nc")]
+    for one in ("x GO", "GO x", "/*\nGO\n*/", "/* /* */\nGO\n*/", "'\nGO\n'", "[\nGO\n]", '"\nGO\n"', "--\\\n@GO\nGO1\nGO.a\na.GO", "x /* c */ GO", "GO /* c */ x"):
+        assert len(cut(one)) == 1, one
+    for two in ("GO", "a\nGO", "a\nGO -- c", "a\n/* c */ GO /* d */", "a /*\n*/ GO", "a\nGO 3 -- x", "a -- '\nGO\n'", "GO\r\nb"):
+        assert len(cut(two)) == 2, two
+    text = "".join(t for *_, t in cut("é'\nGO\nb'\nGO\n/*é*/GO"))
+    assert text == "é'\nGO\nb'\nGO\n/*é*/GO"
+
+
+def test_a_script_gives_the_same_units_whole_and_in_batches(spark):
+    from fleetlens import scenarios
+    from fleetlens.functions import scopes
+
+    sql = [r["sql"] for r in scenarios.scripts(spark).collect()]
+    joined = "\nGO\n".join(s or "" for s in sql)
+    df = spark.createDataFrame([(1, joined)], "doc_id long, sql string")
+    assert tsql.batches(df).count() > len(sql) * 0.9
+    apart = scopes.scopes(df).select("batch", "line", "col", "start", "kind", "v", "clause", "role", "alias", "head", "verb", "first").collect()
+    whole = scopes.scopes_of_tokens(tsql.tokens(df)).select("batch", "line", "col", "start", "kind", "v", "clause", "role", "alias", "head", "verb", "first").collect()
+    assert sorted(map(str, apart)) == sorted(map(str, whole))
+    found = lambda t: sorted((r["rule"], r["line"], r["col"], r["start"]) for r in rules.findings_in(t).collect())
+    assert found(scopes.scopes(df)) == found(scopes.scopes_of_tokens(tsql.tokens(df)))
+
+
+def test_batches_of_a_large_script_are_many_tasks(spark):
+    from fleetlens.functions import scopes
+
+    df = spark.createDataFrame([(1, "\nGO\n".join(f"SELECT a{i} FROM dbo.t{i}" for i in range(4000)))], "doc_id long, sql string")
+    from pyspark.sql import functions as F
+
+    sizes = [r["n"] for r in scopes.scopes(df).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * min(sizes)
