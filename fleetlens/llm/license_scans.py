@@ -89,8 +89,12 @@ OTHER_SENTENCES = {
     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl1-grant",
     "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl-grant",
 }
+#: Identifiers of version lists that are no longer used, and those that say the same.
+_SPDX_OLD = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
 _SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "ISC", "0BSD", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0", "WTFPL"]
-OTHER_SENTENCES |= {"spdx license identifier " + x.lower().replace("-", " ").replace(".", " "): "spdx-" + x.lower() for x in _SPDX}
+OTHER_SENTENCES |= {"spdx license identifier " + x.lower().replace("-", " ").replace(".", " "): "spdx-" + _SPDX_OLD.get(x, x).lower() for x in (*_SPDX, *_SPDX_OLD)}
+OTHER_SENTENCES |= {f"licensed under {x}": "apache2-notice" for x in ("the apache license 2 0", "apache license 2 0", "apache license version 2 0", "the apache 2 0 license")}
+OTHER_SENTENCES |= {_TO_GNU.format(begin=b, name="affero"): "agpl-grant" for b in ("", "this program is free software ")}
 OTHER_RULES = [
     ("ISC", ["isc-grant"]),
     ("0BSD", ["0bsd-grant"]),
@@ -99,7 +103,9 @@ OTHER_RULES = [
     ("MPL-2.0", ["mpl2-notice", "mpl2-copy"]),
     ("LGPL-2.1-or-later", ["lgpl-grant", "lgpl21-or-later"]),
     ("LGPL-3.0-or-later", ["lgpl3-or-later-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl-grant", "gpl3-or-later"]),
     ("AGPL-3.0-or-later", ["agpl3-or-later-grant"]),
+    ("AGPL-3.0-or-later", ["agpl-grant", "gpl3-or-later"]),
     ("CC0-1.0", ["cc0-waiver"]),
     *[(f"CC-{x.upper()}-4.0", [f"cc-{x}4-work"]) for x in ("by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")],
     ("BSL-1.0", ["bsl1-grant"]),
@@ -116,8 +122,13 @@ _NO_WORD = "[^a-z0-9\\x{80}-\\x{10FFFF}\\n]*"
 SENTENCE_END = f"[.!?;][\\x20\\t\\n\\r]+|\\n{_NO_WORD}(?:(?:dnl|rem){_NO_WORD})?\\n|(?<=free software|conditions are met):"
 #: Comment leaders that are words.
 _LEADER = "(?:^|[\\n\\r])[\\x20\\t]*(?:dnl|rem)[\\x20\\t]"
-#: Lines that a known sentence may stand on below others of its block.
-_WRAPPED = 100
+#: Sentences with an open place, as expressions over normalised ones, and the known sentence that each stands for: the owner of a BSD clause, of whom a full stop may cut off the first part, and what a notice speaks of.
+_ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission"
+_OPEN = [
+    (f"^(?:.+ )?nor the names of (?:its |their )?contributors {_ENDORSE}$", f"neither the name of the copyright holder nor the names of its contributors {_ENDORSE}"),
+    ("^(?:this|the) (?:[a-z0-9]+ ){1,3}(?:is|are) (?:licensed|released|distributed|made available) under (?:the terms of )?(?=the mit|the apache|apache|cc )", "licensed under "),
+]
+_SPDX_LINE = "spdx license identifier "
 
 
 def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
@@ -135,16 +146,29 @@ def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
     def fits(s: Column) -> Column:
         return (F.length(s) >= shortest) & ((F.length(s) <= 2 * longest) | (F.length(F.regexp_replace(s, NOT_WORD, " ")) <= 2 * longest))
 
+    def normal(s: Column) -> Column:
+        later = F.when(s.contains("spdx-license-identifier"), F.regexp_replace(s, "([0-9])\\+", "$1-or-later")).otherwise(s)
+        return F.trim(F.regexp_replace(F.regexp_replace(later, _LEADER, " "), NOT_WORD, " "))
+
+    def opened(s: Column) -> Column:
+        for of, to in _OPEN:
+            s = F.regexp_replace(s, of, to)
+        return s
+
     def look(s: Column) -> Column:
-        return F.when(fits(s), F.try_element_at(pairs, F.trim(F.regexp_replace(F.regexp_replace(s, _LEADER, " "), NOT_WORD, " "))))
+        """The identifiers of a sentence, none or one, but for expressions of SPDX, which name several."""
+        n = F.transform(F.array(s), normal)  # an array of one, so that the text is normalised once
+        known_as = F.transform(n, lambda x: F.coalesce(F.try_element_at(pairs, x), F.when(x.rlike("^(?:this|the) .* under |nor the names of "), F.try_element_at(pairs, opened(x)))))
+        several = F.flatten(F.transform(n, lambda x: F.when(x.startswith(_SPDX_LINE) & x.rlike(" (or|and) (?!later)"), F.transform(F.split(F.substring(x, len(_SPDX_LINE) + 1, 500), " (?:or|and) (?!later)"), lambda part: F.try_element_at(pairs, F.concat(F.lit(_SPDX_LINE), part)))).otherwise(F.array().cast("array<string>"))))
+        return F.when(fits(s), F.filter(F.concat(known_as, several), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
     def found(*ids: Column) -> Column:
-        return F.filter(F.array(*ids), lambda x: x.isNotNull())
+        return F.flatten(F.array(*ids))
 
     def by_lines(lines: Column) -> Column:
         def from_line(x: Column, i: Column) -> Column:
             left = F.size(lines) - i
-            return found(look(x), F.when((i > 0) & (left > 1) & (left <= _WRAPPED), look(F.array_join(F.slice(lines, i + 1, left), "\n"))))
+            return found(look(x), F.when((i > 0) & (left > 1), look(F.array_join(F.slice(lines, i + 1, left), "\n"))).otherwise(F.array().cast("array<string>")))
 
         return F.flatten(F.transform(lines, from_line))
 

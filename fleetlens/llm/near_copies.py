@@ -127,9 +127,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns, one row of each component: that of the least doc_id, or one without a doc_id where a component has none but these."""
+    """``docs`` with its columns, one row of each component: that of the least doc_id, or one without a doc_id where a component has none but these.
+
+    Columns may have any names. Of rows that agree in doc_id and text, whatever
+    else they hold, one stays: the least by its other columns' JSON, so that reruns agree.
+    """
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_ID)).alias("_id")
     chosen = near_copies(docs.select("doc_id", "text")).where("doc_id <=> component_id").groupBy("component").agg(F.first(row_id).alias("_id"), F.min("text_hash").alias("_hash"))
-    # texts move once: equal keys share a partition already
-    keyed = docs.select("*", row_id, F.xxhash64("text").alias("_hash"))
-    return keyed.join(chosen.select("_id", "_hash"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    # texts move once, and with them the other columns in one struct: equal keys share a partition already
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = F.struct("doc_id", "text", *[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)])
+    keyed = docs.select(row_id, F.xxhash64("text").alias("_hash"), own.alias("_row"), (F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(rest)])) if rest else F.lit("")).alias("_rest"))
+    kept = keyed.join(chosen.select("_id", "_hash"), ["_id", "_hash"], "left_semi").groupBy("_id", "_hash").agg(F.min_by("_row", "_rest").alias("_row"))
+    named = {c: F.col("_row").getField(f"f{rest.index(c)}" if c in rest else c).alias(c) for c in docs.columns}
+    return kept.select(*named.values())

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+from fleetlens.llm import license_scans
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -265,3 +267,38 @@ def test_a_cluster_must_name_its_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         _common.ensure_checkpoint_dir(Spark)
+
+
+def test_open_places_and_spdx_expressions(spark):
+    owner = lambda name: BSD3.replace("the copyright holder", name)
+    texts = [
+        (owner("Google Inc."), "BSD-3-Clause"), (owner("the Regents of the University of X"), "BSD-3-Clause"), (owner("Foo, Ltd. & Sons"), "BSD-3-Clause"), (BSD2, "BSD-2-Clause"),
+        ("This project is licensed under the MIT License.", "MIT"), ("The source code is released under the MIT License.", "MIT"), ("Licensed under the Apache License 2.0", "Apache-2.0"), ("This library is distributed under the terms of the Apache License, Version 2.0.", "Apache-2.0"),
+        ("# SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"), ("// SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("SPDX-License-Identifier: (ISC AND GPL-2.0-or-later)", "GPL-2.0-or-later,ISC"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "LGPL-3.0-or-later"),
+        ("We think this text is licensed under no terms at all.", ""), ("Neither the name of the game nor the names of its players matter.", ""), ("", ""), (None, ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scans.scan_licenses(df).collect()}
+    assert [got[i]["licenses"] if "," in want else got[i]["license"] or "" for i, (_, want) in enumerate(texts)] == [want for _, want in texts]
+
+
+def test_a_notice_below_many_lines_of_its_block(spark):
+    text = "\n".join([f"row {i}" for i in range(150)] + ["permission to use, copy, modify, and/or distribute this software for any", "purpose with or without fee is hereby granted"])
+    got = license_scans.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["licenses"] == "0BSD"
+
+
+def test_near_copies_of_odd_columns_and_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlens.llm import near_copies
+
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "b"), (1, text, "a"), (2, text + " end", "c"), (3, "other words stand here", "d"), (None, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other string").withColumns({"_id": F.lit("x"), "_hash": F.lit(1), "odd.name": F.lit(2), "_row": F.lit(3), "component": F.lit(4)})
+    for _ in range(2):
+        kept = near_copies.keep_one(df.repartition(3))
+        assert kept.dtypes == df.dtypes
+        assert sorted(map(str, ((r["doc_id"], r["other"], r["odd.name"]) for r in kept.collect()))) == sorted(map(str, [(1, "a", 2), (3, "d", 2), (None, "e", 2)]))
+    assert near_copies.keep_one(df.limit(0)).count() == 0 and near_copies.keep_one(df.select("doc_id", "text")).count() == 3
