@@ -44,7 +44,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alert_cooldown": lambda s, d: telemetry.fired_alerts(_breaches(s, d)),
         "script_tokens": lambda s, d: tsql.tokens(corpus(s, d)),
         "script_findings": lambda s, d: rules.findings_in(scopes.scopes(corpus(s, d))),
-        "rule_grades": lambda s, d: scenarios.graded(s),
+        "rule_grades": scenarios.graded,
+        "rule_firings": scenarios.firings,
     } | advice.queries() | fleet_queries.queries() | reporting.queries() | plans.queries() | store_queries.queries()
 
 
@@ -91,6 +92,7 @@ def oracle_sql() -> dict[str, str]:
         "script_findings": f"""with {_TOKENS} select doc_id, rule, severity, line, col, start from placed join (values (1, 'hygiene.select_star', 'warning'), (8, 'hygiene.nolock', 'error'), (13, 'sarg.leading_wildcard', 'warning'), (16, 'hygiene.unbounded_dml', 'critical'), (18, 'modern.missing_schema_prefix', 'info'),
             (20, 'hygiene.top_without_order_by', 'warning'), (24, 'modern.missing_schema_prefix', 'info'), (29, 'sarg.not_in_nullable', 'warning'), (34, 'modern.missing_schema_prefix', 'info')) f(idx, rule, severity) using (idx)""",
         "rule_grades": scenarios.SQL,
+        "rule_firings": scenarios.FIRINGS_SQL,
         "alert_cooldown": """with recursive b as (select distinct user_id % 5 as instance_id, event_type as rule_id, epoch_us(ts) // 1000000 as secs from events where value >= 120),
             fired as (select instance_id, rule_id, min(secs) as fired_at from b group by 1, 2 union all select instance_id, rule_id, fired_at from (select f.instance_id, f.rule_id, (select min(b.secs) from b where b.rule_id = f.rule_id and b.instance_id = f.instance_id and b.secs >= f.fired_at + 900) as fired_at from fired f) where fired_at is not null)
             select instance_id, rule_id, fired_at from fired""",

@@ -45,12 +45,14 @@ class Conflict(RuntimeError):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder of that name under the one that the cluster shares; under Spark's own checkpoint folder where spark.checkpoint.dir is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if named is None and not own.isDefined():
+    """A new folder of that name under the one that the cluster shares, or Spark's own checkpoint folder; one of our own only in local mode, where every task sees it."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    own = context._jsc.sc().getCheckpointDir()
+    if named is None and own.isDefined():
+        named = own.get()
+    if named is None and not (context.master or "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{named or own.get()}/{name}-{uuid.uuid4().hex}"
+    return f"{named or '/tmp/checkpoints/fleetlens'}/{name}-{uuid.uuid4().hex}"
 
 
 @dataclass(frozen=True)

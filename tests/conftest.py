@@ -1,9 +1,11 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    s = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoints-")).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s

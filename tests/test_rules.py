@@ -4,45 +4,7 @@ import pytest
 
 from fleetlens.functions import tsql
 from fleetlens.operators import rules
-
-FIRES = {
-    "hygiene.select_star": ("SELECT TOP 5 * FROM a", "SELECT a FROM b WHERE c IN (SELECT * FROM d)"),
-    "hygiene.at_at_identity": ("SELECT @@IDENTITY", "SELECT SCOPE_IDENTITY() -- @@IDENTITY"),
-    "hygiene.global_temp_table": ("SELECT a INTO ##t FROM b", "INSERT INTO ##t SELECT a FROM b"),
-    "sarg.datetime_fn_between": ("SELECT a FROM b WHERE YEAR(b.c) BETWEEN 1 AND 2", "SELECT a FROM b WHERE c BETWEEN 1 AND 2"),
-    "deprecated.outer_join_star_equal": ("SELECT a FROM b, c WHERE b.x *= c.x", "UPDATE b SET x *= 2 WHERE y = 1"),
-    "deprecated.sp_dboption": ("EXEC sp_dboption 'a'", "SELECT 'sp_dboption'"),
-    "deprecated.raiserror_legacy": ("RAISERROR 50001 'a'", "RAISERROR('a', 16, 1)"),
-    "deprecated.set_rowcount_dml": ("SET ROWCOUNT 5; DELETE FROM a WHERE b = 1", "SET ROWCOUNT 0; DELETE FROM a WHERE b = 1"),
-    "modern.missing_set_nocount": ("CREATE PROC a AS SELECT 1", "CREATE PROCEDURE a AS SET NOCOUNT ON SELECT 1"),
-    "modern.string_agg_replaces_for_xml": ("SELECT ',' + a FROM b FOR XML PATH('')", "SELECT a FROM b FOR XML AUTO"),
-    "modern.sp_executesql_optimized_2025": ("EXEC sys.sp_executesql @a", "SELECT 'sp_executesql'"),
-    "plan.option_recompile_overuse": ("SELECT 1 OPTION (RECOMPILE) " * 3, "SELECT 1 OPTION (RECOMPILE) " * 2),
-    "plan.optimize_for_unknown": ("SELECT a FROM b OPTION (OPTIMIZE FOR (@p UNKNOWN))", "SELECT a FROM b OPTION (OPTIMIZE FOR (@p = 1))"),
-    "plan.merge_join_hint_pinned": ("SELECT a FROM b INNER LOOP JOIN c ON b.d = c.d", "SELECT a FROM b INNER JOIN c ON b.d = c.d"),
-    "plan.read_committed_lock_hint_redundant_with_optimized_locking": ("SELECT a FROM b WITH (READCOMMITTEDLOCK)", "SELECT READCOMMITTEDLOCK FROM b"),
-    "locking.set_transaction_isolation_read_uncommitted": ("SET TRANSACTION ISOLATION LEVEL READ UNCOMMITTED", "SET TRANSACTION ISOLATION LEVEL READ COMMITTED"),
-    "locking.lock_escalation_disabled_globally": ("DBCC TRACEON (1211, -1)", "SELECT 1211"),
-    "maintenance.adr_required_for_optimized_locking": ("ALTER DATABASE a SET OPTIMIZED_LOCKING = ON", "ALTER DATABASE a SET ACCELERATED_DATABASE_RECOVERY = ON; ALTER DATABASE a SET OPTIMIZED_LOCKING = ON"),
-    "stats.auto_create_stats_off": ("ALTER DATABASE a SET AUTO_CREATE_STATISTICS OFF", "ALTER DATABASE a SET AUTO_CREATE_STATISTICS ON"),
-    "stats.auto_update_stats_off": ("ALTER DATABASE a SET AUTO_UPDATE_STATISTICS OFF", "ALTER DATABASE a SET AUTO_UPDATE_STATISTICS ON"),
-    "stats.update_statistics_fullscan_on_huge_table": ("UPDATE STATISTICS a WITH FULLSCAN", "UPDATE STATISTICS a WITH FULLSCAN, INCREMENTAL = ON"),
-    "joins.right_outer_join_readability": ("SELECT a FROM b RIGHT OUTER JOIN c ON b.d = c.d", "SELECT RIGHT(a, 2) FROM b"),
-    "config.auto_shrink_on": ("ALTER DATABASE a SET AUTO_SHRINK ON", "ALTER DATABASE a SET AUTO_SHRINK OFF"),
-    "config.auto_close_on": ("ALTER DATABASE a SET AUTO_CLOSE ON", "SELECT AUTO_CLOSE ON"),
-    "config.page_verify_not_checksum": ("ALTER DATABASE a SET PAGE_VERIFY NONE", "ALTER DATABASE a SET PAGE_VERIFY CHECKSUM"),
-    "config.recovery_model_simple": ("ALTER DATABASE a SET RECOVERY SIMPLE", "ALTER DATABASE a SET RECOVERY FULL"),
-    "config.dbcc_shrink": ("DBCC SHRINKFILE (a, 5)", "DBCC SHRINKFILE (a, EMPTYFILE)"),
-    "config.dbcc_traceon_global": ("DBCC TRACEON (3604, -1)", "DBCC TRACEON (1211, -1)"),
-    "config.maxdop_zero": ("EXEC sp_configure 'max degree of parallelism', 0", "EXEC sp_configure 'max degree of parallelism', 8"),
-    "config.cost_threshold_default": ("EXEC sp_configure N'cost threshold for parallelism', 5", "EXEC sp_configure 'cost threshold for parallelism', 50"),
-    "security.xp_cmdshell": ("EXEC master..[xp_cmdshell] 'dir'", "SELECT a FROM sys.configurations WHERE name = 'xp_cmdshell'"),
-    "security.grant_to_public": ("GRANT SELECT, UPDATE ON a TO b, public", "GRANT SELECT ON a TO b; SELECT x FROM c, public.d"),
-    "security.grant_control": ("GRANT CONTROL ON a TO b", "GRANT SELECT ON a TO control"),
-    "security.grant_with_grant_option": ("GRANT SELECT ON a TO b WITH GRANT OPTION", "GRANT SELECT ON a TO b"),
-    "tran.begin_without_try_catch": ("BEGIN TRAN; DELETE FROM a WHERE b = 1; COMMIT", "BEGIN TRY BEGIN TRAN; COMMIT END TRY BEGIN CATCH ROLLBACK END CATCH"),
-    "tran.begin_without_commit": ("BEGIN TRAN; SAVE TRAN s; ROLLBACK TRAN s", "BEGIN TRAN; ROLLBACK TRAN"),
-}
+from fleetlens.scenarios import MORE as FIRES
 
 
 @pytest.fixture(scope="module")
