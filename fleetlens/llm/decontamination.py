@@ -1,7 +1,7 @@
 """Benchmark decontamination by a broadcast set of normalised test n-grams.
 
-Windows of each benchmark item are hashed into a sorted table that every task
-gets; training texts are scanned for windows whose hash is in it, and each hit
+Windows of each benchmark item are hashed into a sorted table, which is made
+once, broadcast and kept by each worker; training texts are scanned for windows whose hash is in it, and each hit
 is verified word by word. The broadcast is bounded by ``block_bytes`` of their
 text: a larger benchmark is scanned in several blocks, each broadcast on
 its own, and each row passes through the blocks one after another.
@@ -9,13 +9,14 @@ its own, and each row passes through the blocks one after another.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from fleetlens.llm._common import ASCII_LOWER, batch_of, chunks, map_batches, texts
 
@@ -44,40 +45,84 @@ def rolled(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def hashed(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
+
+
 class Windows:
-    """The windows of some items by length: sorted hashes for the scan, word tuples for the check."""
+    """The windows of some items by length, as arrays that are made once and broadcast: sorted hashes for the scan, places in the packed words for the check, items by window.
+
+    Windows with equal words are one entry with all their items; two different
+    ones of one hash are two entries.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        self.exact: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if ids:
-                k = min(window, len(ids))
-                table = self.exact.setdefault(k, {})
-                for i in range(len(ids) - k + 1):
-                    table.setdefault(tuple(ids[i : i + k]), set()).add(name)
-        self.hashes = {k: np.unique(rolled(np.array(list(t), np.int64).reshape(-1), k)[::k]) for k, t in self.exact.items()}
+        self.names = [name for name, _ in items]
+        split = [words_of(text) for _, text in items]
+        counts = np.array([len(w) for w in split], np.int64)
+        self.raw = b" ".join(chain.from_iterable(split)) + b" "
+        sizes = np.fromiter((len(w) + 1 for w in chain.from_iterable(split)), np.int64, int(counts.sum()))
+        #: Where each word begins, and where the last one's blank ends.
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        values = hashed(chain.from_iterable(split), len(sizes))
+        del split
+        owner, first = np.repeat(np.arange(len(items)), counts), np.cumsum(counts) - counts
+        left = np.repeat(first + counts, counts) - np.arange(len(owner))  # words from here to the item's end
+        length = np.minimum(window, counts)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(length[length > 0]).tolist():
+            at = np.flatnonzero((length[owner] == k) & (left >= k))
+            self.tables[k] = self._table(k, at, rolled(values, k)[at], owner[at])
+        self._quick: dict[int, np.ndarray] = {}
+
+    def words_at(self, i: int, k: int) -> bytes:
+        return self.raw[self.begin[i] : self.begin[i + k] - 1]
+
+    def _table(self, k: int, at: np.ndarray, h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, places, ends of items, items) of the entries in order of hash."""
+        order = np.lexsort((owner, h))
+        at, h, owner = at[order], h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        same, head = np.flatnonzero(~new), np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        apart = [i for i in same.tolist() if self.words_at(int(at[i]), k) != self.words_at(int(at[head[i]]), k)]
+        new[apart] = True  # of one hash, not one window; rows of the first window that follow it are an entry again
+        for i in (i + 1 for i in apart if i + 1 < len(new)):
+            new[i] = True
+        entry = np.cumsum(new) - 1
+        keep = new.copy()
+        keep[1:] |= (entry[1:] != entry[:-1]) | (owner[1:] != owner[:-1])
+        ends = np.cumsum(np.bincount(entry[keep], minlength=int(new.sum())))
+        return h[new], at[new].astype(np.int64), ends, owner[keep].astype(np.int32)
+
+    def quick(self, k: int) -> np.ndarray:
+        """Whether any entry's hash begins with 24 bits; made once a worker."""
+        if k not in self._quick:
+            self._quick[k] = np.zeros(1 << 24, bool)
+            self._quick[k][self.tables[k][0] >> np.uint64(40)] = True
+        return self._quick[k]
 
     def scan(self, docs: list[list[bytes]]) -> tuple[np.ndarray, list[set[str]]]:
         """Which words are hit, over the documents' words one after another with one place between documents, and the items by document."""
         starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])])
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in chain.from_iterable((*d, None) for d in docs)), np.int64, int(starts[-1]))
-        hit, items = np.zeros(len(ids), bool), [set() for _ in docs]
-        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-        for k, table in self.exact.items():
-            n = len(ids) - k + 1
-            if n <= 0:
+        values = hashed((w for d in docs for w in (*d, b"")), int(starts[-1]))
+        hit, items = np.zeros(len(values), bool), [set() for _ in docs]
+        for k, (known, places, ends, owners) in self.tables.items():
+            if len(values) < k:
                 continue
-            at = np.flatnonzero(unknown[k:] == unknown[:-k])  # every word is a benchmark word
-            h = rolled(ids, k)[at]
-            known = self.hashes[k]
-            at = at[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
-            for i in at.tolist():
-                if names := table.get(tuple(ids[i : i + k].tolist())):
-                    hit[i : i + k] = True
-                    items[int(np.searchsorted(starts, i, "right")) - 1] |= names
+            h = rolled(values, k)
+            at = np.flatnonzero(self.quick(k)[h >> np.uint64(40)])
+            entry = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+            found = known[entry] == h[at]
+            for i, e in zip(at[found].tolist(), entry[found].tolist(), strict=True):
+                doc = int(np.searchsorted(starts, i, "right")) - 1
+                place = i - int(starts[doc])
+                words = b" ".join(docs[doc][place : place + k])
+                while e < len(known) and known[e] == h[i]:
+                    if words == self.words_at(int(places[e]), k):
+                        hit[i : i + k] = True
+                        items[doc].update(self.names[o] for o in owners[ends[e - 1] if e else 0 : ends[e]].tolist())
+                    e += 1
         return hit, items
 
 
@@ -112,12 +157,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     blocks = _blocks(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text"), block_bytes)
     following = next(blocks)
     while following is not None:
-        shared = spark.sparkContext.broadcast(following)  # at most block_bytes of text, or one item
+        shared = spark.sparkContext.broadcast(Windows(following, window))  # of at most block_bytes of text, or one item
         following = next(blocks, None)
         last = following is None
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, window)
+            windows = shared.value
             for b in chunks(batches):
                 words = [words_of(t) for t in texts(b.column("text"))]
                 hit, items = windows.scan(words)
@@ -145,10 +190,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "docu
     """
     spark, schema = docs.sparkSession, docs.schema
     for block in _blocks(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text"), block_bytes):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(Windows(block, window))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = Windows(shared.value, window)
+            windows = shared.value
             for b in chunks(batches):
                 raw = texts(b.column("text"))
                 words = [words_of(t) for t in raw]

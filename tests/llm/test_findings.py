@@ -302,3 +302,40 @@ def test_near_copies_of_odd_columns_and_equal_rows(spark):
         assert kept.dtypes == df.dtypes
         assert sorted(map(str, ((r["doc_id"], r["other"], r["odd.name"]) for r in kept.collect()))) == sorted(map(str, [(1, "a", 2), (3, "d", 2), (None, "e", 2)]))
     assert near_copies.keep_one(df.limit(0)).count() == 0 and near_copies.keep_one(df.select("doc_id", "text")).count() == 3
+
+
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    import pickle
+
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    from fleetlens.llm import decontamination as d
+
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n)).encode()
+    items = [(f"i{i}", text(rng.choice([0, 1, 2, 3, 5, 8]))) for i in range(60)]
+    docs = [d.words_of(text(n)) for n in (0, 1, 2, 40, 300)]
+
+    def plain(words, window):
+        hit, names = [False] * len(words), set()
+        for name, t in items:
+            w = d.words_of(t)
+            k = min(window, len(w))
+            for i in range(len(w) - k + 1 if w else 0):
+                for j in range(len(words) - k + 1):
+                    if words[j : j + k] == w[i : i + k]:
+                        hit[j : j + k] = [True] * k
+                        names.add(name)
+        return hit, names
+
+    few = lambda words, n: np.fromiter((xxh64_intdigest(w) % 3 for w in words), np.uint64, n)
+    for hashed in (d.hashed, few):
+        monkeypatch.setattr(d, "hashed", hashed)
+        w = pickle.loads(pickle.dumps(d.Windows(items, 3)))
+        hit, names = w.scan(docs)
+        ends = np.cumsum([len(x) + 1 for x in docs]) - 1
+        for x, e, found in zip(docs, ends, names):
+            assert (hit[e - len(x) : e].tolist(), found) == plain(x, 3)
+    large = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(100)).encode()) for i in range(1500)]
+    assert len(pickle.dumps(d.Windows(large, 10))) < 8 * sum(len(t) for _, t in large)

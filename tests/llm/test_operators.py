@@ -35,7 +35,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations", "embeddings"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = queries()[name](spark, SF), c.sql(oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
