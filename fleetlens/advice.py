@@ -67,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "table_rows": _rows,
         "unused_index_findings": lambda s, d: advisor.unused_findings(catalog.indexes(s, d)),
         "index_heatmap": lambda s, d: advisor.heatmap(catalog.indexes(s, d)),
+        "heatmap_order": lambda s, d: advisor.heatmap_order(catalog.indexes(s, d)),
+        "unused_existing": lambda s, d: advisor.unused_existing(catalog.indexes(s, d)),
         "index_pairs": lambda s, d: advisor.index_pairs(catalog.indexes(s, d)),
         "missing_index_findings": lambda s, d: _keyed(advisor.missing_index_findings(catalog.missing_indexes(s, d), _rows(s, d))),
         "create_index": lambda s, d: _keyed(advisor.create_index(catalog.missing_indexes(s, d), _rows(s, d))),
@@ -116,6 +118,8 @@ def oracle_sql(deltas: str) -> dict[str, str]:
         "table_rows": f"{c} select * from table_rows",
         "unused_index_findings": f"{c} select table_name, index_name, 'dmv.unused_index' as rule, 'warning' as severity from indexes where {_READS} = 0 and updates > 100 and not is_primary_key",
         "index_heatmap": f"{c} select table_name, index_name, {_READS} - updates as score from indexes",
+        "heatmap_order": f"{c} select table_name, index_name, {_READS} as reads, updates as writes, {_READS} - updates as score from indexes where (select sum({_READS} + updates) from indexes) > 0",
+        "unused_existing": f"{c} select table_name, index_name, updates from indexes where {_READS} = 0 and updates > 100 and not is_primary_key and not is_unique and not is_clustered and not starts_with(lower(index_name), 'pk_')",
         "index_pairs": f"{c} select a.table_name, a.index_name as index_a, b.index_name as index_b, 'dmv.duplicate_or_overlapping_index' as rule, case when a.key_columns = b.key_columns and a.included_columns = b.included_columns then 'error' else 'info' end as severity from indexes a join indexes b on a.table_name = b.table_name and a.key_columns[1] = b.key_columns[1] and a.index_name < b.index_name",
         "missing_index_findings": f"{c} select table_name, array_to_string(key_columns, ',') as key_columns, 'dmv.missing_index' as rule, 'info' as severity from missing left join table_rows using (table_name) where rows >= 1000 or rows is null",
         "create_index": f"""{c}, n as (select *, len(key_columns) as nk, 2 * len(key_columns) + len(included_columns) as units from missing left join table_rows using (table_name) where rows >= 1000 or rows is null),

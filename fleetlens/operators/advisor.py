@@ -45,6 +45,20 @@ def heatmap(indexes: DataFrame) -> DataFrame:
     return indexes.select("table_name", "index_name", (_reads() - F.col("updates")).alias("score"))
 
 
+def heatmap_order(indexes: DataFrame) -> DataFrame:
+    """(table_name, index_name, reads, writes, score) as a heatmap lists them: the most used first, then by score and names. None where nothing was used at all."""
+    rows = indexes.select("table_name", "index_name", _reads().alias("reads"), F.col("updates").alias("writes"), (_reads() - F.col("updates")).alias("score"))
+    used = rows.agg(F.sum(F.col("reads") + F.col("writes")).alias("used")).where("used > 0").select(F.lit(True).alias("used"))
+    return rows.join(F.broadcast(used)).drop("used").orderBy(F.desc_nulls_last(F.col("reads") + F.col("writes")), F.desc_nulls_last("score"), "table_name", "index_name")  # one row
+
+
+def unused_existing(indexes: DataFrame, least: int = UNUSED_UPDATES) -> DataFrame:
+    """(table_name, index_name, updates): indexes with over ``least`` updates and no read. Heaps, unique and clustered ones and primary keys, by their flag or a name like PK_, don't count."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    key = F.lower("index_name").startswith("pk_") | (F.lower("index_name") == "pk")
+    return indexes.where((_reads() == 0) & (F.col("updates") > least) & ~key & ~flag("is_primary_key") & ~flag("is_unique") & ~flag("is_clustered")).select("table_name", "index_name", "updates")
+
+
 def index_pairs(indexes: DataFrame) -> DataFrame:
     """(table_name, index_a, index_b, rule, severity): index pairs that lead with the same column; error where keys and the set of included columns agree."""
     lower = lambda c: F.transform(c, lambda x: F.lower(x))

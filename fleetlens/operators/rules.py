@@ -536,10 +536,20 @@ def findings(tokens: DataFrame, target: int | None = 2025) -> DataFrame:
     return findings_in(sc.scopes_of_tokens(tokens), target)
 
 
-def findings_in(units: DataFrame, target: int | None = 2025) -> DataFrame:
-    """The same from ``scopes.scopes``."""
+def _object() -> Column:
+    """What a finding is about, as far as its unit says: the table or function that the unit names, the table that it defines, or the table of its query block."""
+    named = F.col("role").isNotNull() | F.col("args").isNotNull() & _like(F.col("name"), _NAME)
+    column = F.when(F.col("ref") & F.col("table").isNull(), F.col("name"))
+    defined = F.when(F.col("place") == 1, F.concat(F.col("table"), F.lit("."), F.upper("spelt")))
+    name = F.coalesce(defined, F.when(named, F.col("name")), column, F.col("table"), F.col("b_target"), F.col("b_source"))
+    return F.nullif(F.translate(name, "[]", ""), F.lit(""))
+
+
+def findings_in(units: DataFrame, target: int | None = 2025, objects: bool = False) -> DataFrame:
+    """The same from ``scopes.scopes``; with ``objects`` each finding names what it is about, in upper case, as far as the script says."""
     t = declared(in_scope(units.repartition("doc_id")))  # one shuffle serves all windows
     named = [F.when(F.coalesce(hit, F.lit(False)), F.struct(F.lit(rule).alias("rule"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))) for rule, severity, hit in _rules(target) + _declared_rules()]
-    found = t.select("doc_id", "line", "col", "start", F.array(*named).alias("found"))
-    hits = found.select("doc_id", "line", "col", "start", F.explode(F.filter("found", lambda f: f.isNotNull())).alias("f"))
-    return hits.select("doc_id", "f.rule", "f.severity", "line", "col", "start")
+    own = ["line", "col", "start", *([_object().alias("object")] if objects else [])]
+    found = t.select("doc_id", *own, F.array(*named).alias("found"))
+    hits = found.select("doc_id", "line", "col", "start", *(["object"] if objects else []), F.explode(F.filter("found", lambda f: f.isNotNull())).alias("f"))
+    return hits.select("doc_id", "f.rule", "f.severity", "line", "col", "start", *(["object"] if objects else []))

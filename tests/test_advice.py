@@ -89,3 +89,12 @@ def test_advice_knows_the_indexes_there_are(spark):
     assert {k: (r["kind"], r["index_name"]) for k, r in got.items()} == {("t", ("b",)): ("widen", "narrow"), ("t", ("c",)): ("create", "IX_t_c"), ("t", ("d",)): ("create", "IX_t_d_3"), ("t", ("e", "f")): ("create", "IX_t_e_f"), ("t", ("e_f",)): ("create", "IX_t_e_f_2"), ("new", ("a",)): ("create", "IX_new_a")}
     assert got["t", ("b",)]["ddl"] == "CREATE NONCLUSTERED INDEX [narrow] ON [t] ([b]) INCLUDE ([y], [z]) WITH (DROP_EXISTING = ON);"
     assert got["t", ("c",)]["ddl"] == "CREATE NONCLUSTERED INDEX [IX_t_c] ON [t] ([c]);" and (got["t", ("c",)]["score"], got["t", ("c",)]["priority"]) == (50.0, "high")
+
+
+def test_heatmap_order_and_unused_indexes(spark):
+    schema = "table_name string, index_name string, seeks long, scans long, lookups long, updates long, is_primary_key boolean, is_unique boolean, is_clustered boolean"
+    rows = [("t", "a", 1, 1, 1, 7, None, None, None), ("t", "b", 9, 0, 0, 1, False, False, False), ("t", "c", 0, 0, 0, 101, False, None, False), ("t", "d", 0, 0, 0, 100, False, False, False), ("t", "PK_x", 0, 0, 0, 500, False, False, False), ("t", None, 0, 0, 0, 500, None, None, None), ("t", "u", 0, 0, 0, 500, False, True, False)]
+    df = spark.createDataFrame(rows, schema)
+    assert [r["index_name"] for r in advisor.heatmap_order(df).collect()] == ["PK_x" if i == 1 else n for i, n in enumerate([None, "PK_x", "u", "c", "d", "b", "a"])]
+    assert [r["index_name"] for r in advisor.unused_existing(df).collect()] == ["c"]
+    assert advisor.heatmap_order(df.withColumns({c: df[c] * 0 for c in ("seeks", "scans", "lookups", "updates")})).count() == 0

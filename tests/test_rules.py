@@ -133,3 +133,14 @@ def test_batches_of_a_large_script_are_many_tasks(spark):
 
     sizes = [r["n"] for r in scopes.scopes(df).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 4 and max(sizes) < 1.5 * min(sizes)
+
+
+def test_findings_name_what_they_are_about(spark):
+    from fleetlens.functions import scopes
+    from fleetlens.operators import texts
+
+    sql = [(0, "DELETE FROM shop.basket"), (1, "SELECT a FROM shop.b WHERE YEAR(c) = 1"), (2, "CREATE TABLE dbo.m (UnitPrice float)"), (3, "BEGIN TRAN")]
+    found = rules.findings_in(scopes.scopes(spark.createDataFrame(sql, "doc_id long, sql string")), objects=True)
+    got = {(r["doc_id"], r["rule"]): r["message"] for r in texts.explained(found).collect()}
+    assert got[0, "hygiene.unbounded_dml"].endswith(" (SHOP.BASKET)") and got[1, "sarg.function_on_column"].endswith(" (YEAR)") and got[2, "datatype.float_for_money"].endswith(" (DBO.M.UNITPRICE)")
+    assert not got[3, "tran.begin_without_commit"].endswith(")")
