@@ -339,3 +339,21 @@ def test_windows_of_one_hash_stay_apart(monkeypatch):
             assert (hit[e - len(x) : e].tolist(), found) == plain(x, 3)
     large = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(100)).encode()) for i in range(1500)]
     assert len(pickle.dumps(d.Windows(large, 10))) < 8 * sum(len(t) for _, t in large)
+
+
+def test_empty_tables_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlens.llm import decontamination, quality_rules, url_filters
+
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None), (2, "http://a.org:80/y"), (None, "ftp://u@b.co.id/")], "page_id long, url string")
+    good = spark.createDataFrame([(1, 1), (9, 0)], "page_id long, good int")
+    assert url_filters.filter_urls(pages.limit(0), good).count() == 0
+    clashing = pages.withColumns({c: F.lit("x") for c in ("host", "domain", "suffix", "rule", "verdict", "good", "n", "k")})
+    got = {(r["page_id"], r["host"], r["path"]) for r in url_filters.filter_urls(clashing.select(*clashing.columns), good).collect()}
+    assert got == {(1, "a.org", "/x"), (2, "", ""), (2, "a.org:80", "/y"), (None, "u@b.co.id", "/")}
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten", "s", 3)], "doc_id long, text string, n_words string, hit int")
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    for kept in (quality_rules.keep_good(docs.limit(0)), decontamination.remove_contaminated(docs.limit(0), items)):
+        assert kept.columns == docs.columns and kept.count() == 0
+    assert decontamination.remove_contaminated(docs, items.limit(0)).count() == 1 and decontamination.remove_contaminated(docs, items).count() == 0
