@@ -263,9 +263,12 @@ class Store:
         return self.publish(added)
 
     def sink(self, rows: DataFrame, name: str, stream: str, checkpoint: str) -> StreamingQuery:
-        """A running query that commits each batch of a stream once."""
-        write = lambda df, i: self.write({name: df}, stream, i)
-        return rows.writeStream.queryName(stream).foreachBatch(lambda df, i: write(df, i) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        """A running query that commits each batch of a stream once; ``stream`` names it in the manifests, so that a lost checkpoint doesn't count batches twice."""
+
+        def commit(batch: DataFrame, number: int) -> None:
+            self.write({name: batch}, stream, number)
+
+        return rows.writeStream.queryName(stream).foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def compact(self, name: str) -> int:
         """Rewrites the days or buckets that have several folders into one each; others aren't read. A change made meanwhile stays."""
