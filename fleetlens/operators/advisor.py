@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from fleetlens.functions.spread import spread
+
 #: Limits of the findings and recommendations.
 UNUSED_UPDATES, SMALL_ROWS, LARGE_ROWS, HUGE_ROWS = 100, 1_000, 100_000, 1_000_000
 PRIMARY_KEY_ROWS, FORWARDED_RECORDS = 100, 1_000
@@ -229,8 +231,10 @@ def drop_index(indexes: DataFrame, counters_young: bool = False, monitored_days:
 def merge_index(indexes: DataFrame) -> DataFrame:
     """(table_name, retire, keep): non-unique indexes whose key is a strict left prefix of another's, each with the least such index by name."""
     i = indexes.where("index_name is not null and size(key_columns) > 0").select("table_name", "index_name", F.transform("key_columns", lambda x: F.lower(x)).alias("keys"), F.coalesce("is_primary_key", F.lit(False)).alias("pk"), F.coalesce("is_unique", F.lit(False)).alias("uq"))
-    longer = i.where("size(keys) > 1").select("table_name", F.col("index_name").alias("keep"), F.explode(F.transform(F.sequence(F.lit(1), F.size("keys") - 1), lambda n: F.slice("keys", 1, n))).alias("keys"))
-    return i.where("not pk and not uq").join(longer, ["table_name", "keys"]).groupBy("table_name", F.col("index_name").alias("retire")).agg(F.min("keep").alias("keep"))
+    prefixes = i.where("size(keys) > 1").select("table_name", F.col("index_name").alias("keep"), F.explode(F.transform(F.sequence(F.lit(1), F.size("keys") - 1), lambda n: F.slice("keys", 1, n))).alias("keys"))
+    first = spread(prefixes, "table_name", "keys").groupBy("table_name", "keys").agg(F.min("keep").alias("keep"))  # one row a prefix: an index meets no more than one
+    met = spread(i.where("not pk and not uq"), "table_name", "keys").join(first, ["table_name", "keys"]).select("table_name", F.col("index_name").alias("retire"), "keep")
+    return spread(met, "table_name", "retire").groupBy("table_name", "retire").agg(F.min("keep").alias("keep"))
 
 
 def columnstore_candidates(tables: DataFrame) -> DataFrame:

@@ -98,3 +98,29 @@ def test_heatmap_order_and_unused_indexes(spark):
     assert [r["index_name"] for r in advisor.heatmap_order(df).collect()] == ["PK_x" if i == 1 else n for i, n in enumerate([None, "PK_x", "u", "c", "d", "b", "a"])]
     assert [r["index_name"] for r in advisor.unused_existing(df).collect()] == ["c"]
     assert advisor.heatmap_order(df.withColumns({c: df[c] * 0 for c in ("seeks", "scans", "lookups", "updates")})).count() == 0
+
+
+def test_merged_indexes_meet_one_row_a_prefix(spark):
+    n = 400
+    rows = [("t", f"s{i:03}", ["A"], [], None, False, False) for i in range(n)] + [("t", f"w{i:03}", ["a", f"b{i % 7}"], [], False, False, False) for i in range(n)] + [("t", "pk", ["a"], [], True, True, True), ("u", "s", ["a"], [], False, False, False), ("t", "w3", ["a", "b0", "c"], None, False, False, False)]
+    got = advisor.merge_index(spark.createDataFrame(rows, INDEXES))
+    assert sorted(map(tuple, got.collect())) == sorted([("t", f"s{i:03}", "w000") for i in range(n)] + [("t", f"w{i:03}", "w3") for i in range(0, n, 7)])
+    assert max(_joined_rows(got)) < 4 * n
+
+
+def _joined_rows(df):
+    """Rows that came out of each join of an executed query."""
+    import re
+
+    df.collect()
+    plans, joins = [df._jdf.queryExecution().executedPlan()], []
+    while plans:
+        p = plans.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            plans.append(p.executedPlan())
+        elif re.search("QueryStage", p.nodeName()):
+            plans.append(p.plan())
+        if p.nodeName().endswith("Join"):
+            joins.append(p.metrics().apply("numOutputRows").value())
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return joins
