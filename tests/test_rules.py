@@ -144,3 +144,11 @@ def test_findings_name_what_they_are_about(spark):
     got = {(r["doc_id"], r["rule"]): r["message"] for r in texts.explained(found).collect()}
     assert got[0, "hygiene.unbounded_dml"].endswith(" (SHOP.BASKET)") and got[1, "sarg.function_on_column"].endswith(" (YEAR)") and got[2, "datatype.float_for_money"].endswith(" (DBO.M.UNITPRICE)")
     assert not got[3, "tran.begin_without_commit"].endswith(")")
+
+
+def test_units_are_neither_sorted_nor_dealt_for_facts(spark):
+    from fleetlens import catalogue
+
+    df = catalogue.queries()["script_findings"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3  # the longest script of a doc_id in either branch, and which findings are a script's first
