@@ -172,7 +172,7 @@ def consolidated(missing: DataFrame) -> DataFrame:
     place = F.col("place").cast("long") if "place" in missing.columns else F.lit(0).cast("long")
     said = missing.where("size(key_columns) > 0").select("table_name", "key_columns", "included_columns", "impact", "cost", "seeks", place.alias("place"), _plain(F.col("key_columns")).alias("plain"))
     evidence = [F.max("impact").alias("impact"), F.max("cost").alias("cost"), F.sum("seeks").alias("seeks"), _together("included_columns").alias("included_columns")]
-    one = said.withColumn("lead", F.element_at("plain", 1)).groupBy("table_name", "lead", "plain").agg(F.min("place").alias("place"), F.min_by("key_columns", F.struct("place", "key_columns")).alias("key_columns"), *evidence, F.count("*").alias("requests"))
+    one = spread(said.withColumn("lead", F.element_at("plain", 1)), "table_name", "lead", "plain").groupBy("table_name", "lead", "plain").agg(F.min("place").alias("place"), F.min_by("key_columns", F.struct("place", "key_columns")).alias("key_columns"), *evidence, F.count("*").alias("requests"))
     schema = StructType([*one.schema.fields, StructField("root", ArrayType(StringType()))])
     rooted = one.groupBy("table_name", "lead").applyInArrow(_roots, schema)
     own = F.col("plain") == F.col("root")
@@ -192,7 +192,8 @@ def advised_indexes(missing: DataFrame, rows: DataFrame, indexes: DataFrame) ->
     wanted = consolidated(missing).withColumn("plain", _plain(F.col("key_columns"))).join(rows.select("table_name", "rows"), "table_name", "left").where((F.col("rows") >= SMALL_ROWS) | F.col("rows").isNull()).drop("rows")
     flag = lambda c: F.coalesce(c, F.lit(False))
     there = indexes.where(F.col("index_name").isNotNull() & ~flag("is_primary_key") & ~flag("is_unique") & ~flag("is_clustered")).withColumn("plain", _plain(F.col("key_columns"))).where("size(plain) > 0")
-    firsts = there.select("table_name", F.col("index_name").alias("old"), F.col("plain").alias("old_keys"), names.alias("old_columns"), _plain(F.col("included_columns")).alias("old_included"), F.explode(F.transform(F.sequence(F.lit(1), F.size("plain")), lambda n: F.slice("plain", 1, n))).alias("plain"))
+    shapes = spread(there.select("table_name", "index_name", "plain", _plain(F.col("included_columns")).alias("included_columns")), "table_name", "plain", "included_columns").groupBy("table_name", "plain", "included_columns").agg(F.min("index_name").alias("index_name"))  # indexes of one shape serve alike
+    firsts = shapes.select("table_name", F.col("index_name").alias("old"), F.col("plain").alias("old_keys"), names.alias("old_columns"), F.col("included_columns").alias("old_included"), F.explode(F.transform(F.sequence(F.lit(1), F.size("plain")), lambda n: F.slice("plain", 1, n))).alias("plain"))
     met = wanted.select("table_name", "plain", "included_columns").join(firsts, ["table_name", "plain"])
     serves = F.size(F.array_except("included_columns", "old_columns")) == 0
     same = F.when(F.col("plain") == F.col("old_keys"), F.struct("old", "old_included"))
@@ -206,7 +207,8 @@ def advised_indexes(missing: DataFrame, rows: DataFrame, indexes: DataFrame) ->
     number = F.regexp_extract(F.lower("index_name"), "_([0-9]{1,9})$", 1)
     stem = F.when(F.length(number) > 0, F.regexp_replace(F.lower("index_name"), "_[0-9]{1,9}$", ""))
     used = F.explode(F.array(F.struct(F.lower("index_name").alias("stem"), F.lit(1).alias("n")), F.struct(stem.alias("stem"), F.try_to_number(number, F.lit("999999999")).cast("int").alias("n"))))
-    taken = indexes.where("index_name is not null").select("table_name", used.alias("u")).where("u.stem is not null").groupBy("table_name", F.col("u.stem").alias("stem")).agg(F.array_sort(F.collect_set("u.n")).alias("used"))
+    said = indexes.where("index_name is not null").select("table_name", used.alias("u")).where("u.stem is not null").select("table_name", "u.stem", "u.n")
+    taken = spread(said, "table_name", "stem").groupBy("table_name", "stem").agg(F.array_sort(F.collect_set("n")).alias("used"))
     named = t.withColumn("stem", F.lower("base")).join(taken, ["table_name", "stem"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
     turn = F.row_number().over(Window.partitionBy("table_name", "stem", "kind").orderBy("plain"))
     free = F.element_at(F.array_except(F.sequence(F.lit(1), F.size("used") + turn), F.col("used")), turn)

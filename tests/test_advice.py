@@ -124,3 +124,11 @@ def _joined_rows(df):
             joins.append(p.metrics().apply("numOutputRows").value())
         plans += [p.children().apply(i) for i in range(p.children().size())]
     return joins
+
+
+def test_indexes_of_one_shape_meet_a_request_once(spark):
+    there = [("t", f"i{i:03}", ["b"], ["z"], False, False, False) for i in range(400)]
+    rows = spark.createDataFrame([("t", 5000)], "table_name string, rows long")
+    got = advisor.advised_indexes(spark.createDataFrame([("t", ["b"], ["y"], 50.0, 10.0, 10)], REQUESTS), rows, spark.createDataFrame(there, INDEXES))
+    assert [(r["kind"], r["index_name"]) for r in got.collect()] == [("widen", "i000")]
+    assert max(_joined_rows(got)) < 10
