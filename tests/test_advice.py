@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from fleetlens.operators import advisor, health, vitals
 
 
@@ -132,3 +134,16 @@ def test_indexes_of_one_shape_meet_a_request_once(spark):
     got = advisor.advised_indexes(spark.createDataFrame([("t", ["b"], ["y"], 50.0, 10.0, 10)], REQUESTS), rows, spark.createDataFrame(there, INDEXES))
     assert [(r["kind"], r["index_name"]) for r in got.collect()] == [("widen", "i000")]
     assert max(_joined_rows(got)) < 10
+
+
+def test_pairs_of_one_column_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(advisor, "PAIRS_BLOCK", 16, raising=False)
+    keys = [["A"], ["a", "b"], ["a", "B"]]
+    rows = [("t", f"i{i:03}", keys[i % 3], [["x", "Y"], ["y", "X"], None, []][i % 4], False, False, False) for i in range(200)]
+    rows += [("t", "i000", ["a"], ["x", "y"], False, False, False), ("t", "z", ["c"], [], False, False, False), ("u", "i001", ["a"], [], False, False, False), (None, "n", ["a"], [], False, False, False), ("t", None, ["a"], [], False, False, False), ("t", "e", [], [], False, False, False), ("t", "k", None, [], False, False, False), ("t", "l", [None, "a"], [], False, False, False), ("t", "m", [None, "a"], [], False, False, False)]
+    plain = [(r[1], [k.lower() for k in r[2]], sorted(x.lower() for x in r[3] or [])) for r in rows[:201]]
+    want = sorted(("t", a[0], b[0], "error" if a[1:] == b[1:] else "info") for a in plain for b in plain if a[0] < b[0])
+    got = advisor.index_pairs(spark.createDataFrame(rows, INDEXES).coalesce(1))
+    assert sorted((r["table_name"], r["index_a"], r["index_b"], r["severity"]) for r in got.collect()) == want
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == len(want) and max(made) < 0.6 * len(want)
