@@ -147,3 +147,13 @@ def test_pairs_of_one_column_are_made_by_many_tasks(spark, monkeypatch):
     assert sorted((r["table_name"], r["index_a"], r["index_b"], r["severity"]) for r in got.collect()) == want
     made = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(made) == len(want) and max(made) < 0.6 * len(want)
+
+
+def test_pairs_are_met_by_runs_of_names(spark, monkeypatch):
+    monkeypatch.setattr(advisor, "PAIRS_RUN", 16, raising=False)
+    plain = [(f"i{i // 2 if i < 80 else i:03}", [["a"], ["a", "b"]][i % 2], [["x"], []][i % 3 == 0]) for i in range(400)]  # names twice, in one run and over two
+    plain += [("i005", ["a"], ["x"])] * 40
+    got = advisor.index_pairs(spark.createDataFrame([("t", n, k, x, False, False, False) for n, k, x in plain], INDEXES))
+    want = sorted((a[0], b[0], "error" if a[1:] == b[1:] else "info") for a in plain for b in plain if a[0] < b[0])
+    assert sorted((r["index_a"], r["index_b"], r["severity"]) for r in got.collect()) == want
+    assert max(_joined_rows(got)) < len(want) / 8
